@@ -17,8 +17,8 @@ def named(df: DataFrame) -> DataFrame:
 
 def available_models(*tables: DataFrame, defaults: Sequence[str] = C.DEFAULT_MODEL_NAMES) -> DataFrame:
     """Distinct tenant names over several tables, plus the configured ones."""
-    spark = tables[0].sparkSession
-    names = spark.createDataFrame([(d,) for d in defaults], "model_name string")
+    configured = F.array(*[F.lit(d) for d in defaults]).cast("array<string>")
+    names = tables[0].sparkSession.range(1).select(F.explode(configured).alias("model_name"))
     for df in tables:
         # Distinct per table first: only names travel to the union.
         names = names.union(named(df).select("model_name").filter("model_name <> ''").distinct())

@@ -34,6 +34,11 @@ def edges_from_deciles(profile: DataFrame) -> DataFrame:
     return profile.select(*KEYS, psi.inner_edges(F.col("deciles")).alias("edges"))
 
 
+def edges_between_deciles(profile: DataFrame) -> DataFrame:
+    """Every distinct decile as a cut point; goes with ``decile_mass``."""
+    return profile.select(*KEYS, F.array_sort(F.array_distinct("deciles")).alias("edges"))
+
+
 def edges_from_sigma(profile: DataFrame) -> DataFrame:
     """Evenly spaced cut points, for profiles stored without deciles."""
     return profile.select(*KEYS, psi.sigma_edges(F.col("median"), F.col("std")).alias("edges"))

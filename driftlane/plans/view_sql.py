@@ -71,9 +71,9 @@ VIEWS = {
         FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'view')""",
     "accuracies": """
         SELECT event_id AS id, 'm' || (user_id % 5) || ':v1' AS model_id, ts - INTERVAL 1 DAY AS window_start,
-               ts AS window_end, CASE WHEN event_id % 5 <> 0 THEN value / 500.0::DOUBLE END AS f1,
-               CASE WHEN event_id % 7 <> 0 THEN value / 510.0::DOUBLE END AS "precision",
-               value / 520.0::DOUBLE AS recall, value / 490.0::DOUBLE AS roc_auc,
+               ts AS window_end, CASE WHEN event_id % 5 <> 0 THEN round(value / 500.0::DOUBLE, 4) END AS f1,
+               CASE WHEN event_id % 7 <> 0 THEN round(value / 510.0::DOUBLE, 4) END AS "precision",
+               round(value / 520.0::DOUBLE, 4) AS recall, round(value / 490.0::DOUBLE, 4) AS roc_auc,
                event_id % 1000 AS n_samples, ts AS created_at
         FROM events WHERE event_type = 'click' AND value > 150""",
     "incidents": """

@@ -12,8 +12,6 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlane.functions.ids import hash_bucket
-
 SCHEMAS = {
     "lineitem": (
         "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
@@ -183,10 +181,10 @@ def accuracy_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         _tenant(F.col("user_id"), 5).alias("model_id"),
         (F.col("ts") - F.expr("INTERVAL 1 DAY")).alias("window_start"),
         F.col("ts").alias("window_end"),
-        F.when(F.col("event_id") % 5 != 0, F.col("value") / 500.0).alias("f1"),
-        F.when(F.col("event_id") % 7 != 0, F.col("value") / 510.0).alias("precision"),
-        (F.col("value") / 520.0).alias("recall"),
-        (F.col("value") / 490.0).alias("roc_auc"),
+        F.when(F.col("event_id") % 5 != 0, F.round(F.col("value") / 500.0, 4)).alias("f1"),
+        F.when(F.col("event_id") % 7 != 0, F.round(F.col("value") / 510.0, 4)).alias("precision"),
+        F.round(F.col("value") / 520.0, 4).alias("recall"),
+        F.round(F.col("value") / 490.0, 4).alias("roc_auc"),
         (F.col("event_id") % 1000).alias("n_samples"),
         F.col("ts").alias("created_at"),
     )
@@ -217,6 +215,3 @@ def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600).alias("called_at"),
     )
 
-
-def request_bucket() -> Column:
-    return hash_bucket(F.col("o_orderkey"))
