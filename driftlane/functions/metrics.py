@@ -70,3 +70,23 @@ def classification_metrics(
         .otherwise(F.try_divide(F.col("_area"), pos.cast("double") * neg))
         .alias("roc_auc"),
     )
+
+
+def confusion(prediction: str = "prediction", label: str = "true_label") -> list[Column]:
+    """The counts precision, recall and F1 are made of, as plain aggregates."""
+    predicted, actual = F.col(prediction), F.col(label)
+    return [
+        F.count(F.lit(1)).alias("n_samples"),
+        F.count_if(predicted & actual).alias("tp"),
+        F.count_if(predicted & ~actual).alias("fp"),
+        F.count_if(~predicted & actual).alias("fn"),
+    ]
+
+
+def precision_recall_f1(counts: DataFrame) -> DataFrame:
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return (
+        counts.withColumn("precision", ratio(tp, tp + fp))
+        .withColumn("recall", ratio(tp, tp + fn))
+        .withColumn("f1", ratio(2 * tp, 2 * tp + fp + fn))
+    )

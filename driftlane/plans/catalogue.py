@@ -1,6 +1,13 @@
 """All registered queries."""
 
-from driftlane.plans import drift_queries, incident_queries, lifecycle_queries, report_queries  # noqa: F401
+from driftlane.plans import (  # noqa: F401
+    drift_queries,
+    incident_queries,
+    lifecycle_queries,
+    model_queries,
+    report_queries,
+    stream_queries,
+)
 from driftlane.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -72,8 +72,8 @@ VIEWS = {
     "accuracies": """
         SELECT event_id AS id, 'm' || (user_id % 5) || ':v1' AS model_id, ts - INTERVAL 1 DAY AS window_start,
                ts AS window_end, CASE WHEN event_id % 5 <> 0 THEN round(value / 500.0::DOUBLE, 4) END AS f1,
-               CASE WHEN event_id % 7 <> 0 THEN round(value / 510.0::DOUBLE, 4) END AS "precision",
-               round(value / 520.0::DOUBLE, 4) AS recall, round(value / 490.0::DOUBLE, 4) AS roc_auc,
+               CASE WHEN event_id % 7 <> 0 THEN round(value / 700.0::DOUBLE, 4) END AS "precision",
+               round(value / 900.0::DOUBLE, 4) AS recall, round(value / 1100.0::DOUBLE, 4) AS roc_auc,
                event_id % 1000 AS n_samples, ts AS created_at
         FROM events WHERE event_type = 'click' AND value > 150""",
     "incidents": """
@@ -109,6 +109,8 @@ def with_views(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in VIEWS if name in needed)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -182,9 +182,9 @@ def accuracy_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("ts") - F.expr("INTERVAL 1 DAY")).alias("window_start"),
         F.col("ts").alias("window_end"),
         F.when(F.col("event_id") % 5 != 0, F.round(F.col("value") / 500.0, 4)).alias("f1"),
-        F.when(F.col("event_id") % 7 != 0, F.round(F.col("value") / 510.0, 4)).alias("precision"),
-        F.round(F.col("value") / 520.0, 4).alias("recall"),
-        F.round(F.col("value") / 490.0, 4).alias("roc_auc"),
+        F.when(F.col("event_id") % 7 != 0, F.round(F.col("value") / 700.0, 4)).alias("precision"),
+        F.round(F.col("value") / 900.0, 4).alias("recall"),
+        F.round(F.col("value") / 1100.0, 4).alias("roc_auc"),
         (F.col("event_id") % 1000).alias("n_samples"),
         F.col("ts").alias("created_at"),
     )
