@@ -136,11 +136,10 @@ def drift_report(
 ) -> DataFrame:
     """One report row per model and feature against stored baseline tables.
 
-    ``edges`` is small (models times features) and written out first, so that it is
-    broadcast by its known size; the current rows are scanned once and reduced to
-    bins before the only shuffle.
+    ``edges`` and ``expected`` come from stored profiles: files of known size, so
+    Spark broadcasts them by size or not at all. The current rows are scanned once
+    and reduced to bins before the only shuffle.
     """
-    edges = materialise(edges)
     counted = _binned(current, edges, max_edges).groupBy(*_BIN_KEYS).agg(
         F.count(F.lit(1)).alias("actual"), F.sum("number").alias("total")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from driftlane.operators import drift, profile
 from driftlane.operators.longform import feature_rows, payload_entries, payload_rows
 from driftlane.plans.registry import query
+from driftlane.session import materialise
 from driftlane.sources import driver_tables as T
 
 
@@ -96,7 +97,7 @@ SNAPSHOT_SQL = _psi_sql("preds_numeric", "preds_category", "preds", _decile_edge
 
 def _snapshot_report(spark, sf_dir):
     baseline = _payloads(spark, sf_dir, current=False)
-    stored = profile.numeric_profile(baseline)
+    stored = materialise(profile.numeric_profile(baseline))
     edges = drift.edges_from_deciles(stored)
     counts = profile.category_counts(baseline.filter("category IS NOT NULL"))
     expected = drift.uniform_mass(edges).unionByName(drift.category_mass(counts))
@@ -122,7 +123,7 @@ def _stored_baseline(spark, sf_dir):
     rows = _features(spark, sf_dir)
     baseline = rows.filter("NOT is_current").drop("is_current")
     current = rows.filter("is_current").drop("is_current")
-    stored = profile.numeric_profile(baseline)
+    stored = materialise(profile.numeric_profile(baseline))
     return stored, drift.category_mass(profile.category_counts(baseline)), current
 
 

@@ -12,6 +12,7 @@ from driftlane.operators.scenario import Perturbation
 from driftlane.plans.drift_queries import _decile_edges, _psi_sql
 from driftlane.plans.registry import query
 from driftlane.plans.report_queries import metrics_sql
+from driftlane.session import materialise
 from driftlane.sources import driver_tables as T
 
 # --- cleaning ----------------------------------------------------------------------
@@ -105,8 +106,11 @@ validated AS (SELECT id, source, {across} AS violations FROM checked)"""
 
 
 def _validated(spark, sf_dir, tenant):
-    requests = T.table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("source"), *_request_columns(tenant)
+    # Written out first, so that requests are stored columns as they would be in production.
+    requests = materialise(
+        T.table(spark, sf_dir, "orders").select(
+            F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("source"), *_request_columns(tenant)
+        )
     )
     return quality.validate(requests, tenant)
 
@@ -386,7 +390,7 @@ def scenario_response_curve(spark, sf_dir):
     baseline = feature_rows(
         before, {"quantity": F.col("quantity"), "discount": F.col("discount")}, {"returnflag": F.col("returnflag")}
     )
-    edges = drift.edges_from_deciles(profile.numeric_profile(baseline))
+    edges = drift.edges_from_deciles(materialise(profile.numeric_profile(baseline)))
     expected = drift.uniform_mass(edges).unionByName(drift.category_mass(profile.category_counts(baseline)))
     return scenario.response_curve(
         current, SCENARIOS, ("quantity", "discount"), ("returnflag",), "row_id", edges, expected, T.PREDICTIONS_AS_OF

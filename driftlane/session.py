@@ -17,6 +17,8 @@ def build_session(app: str = "driftlane", master: str | None = None, **conf: str
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # The JVM does not compile methods above 8000 bytes; split such plans instead.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.ui.enabled": "false",
     }
     settings.update(conf)
