@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 
 from driftlane.session import materialise
 
-_PER_OCTAVE = 4096
-_SUBDIVISIONS = 65536
+_PER_OCTAVE = 512
+_SUBDIVISIONS = 1 << 18
 
 
 def _coarse(value: Column) -> Column:
-    """Monotone bucket number, about 4096 buckets for each doubling of the value."""
+    """Monotone bucket number, about 512 buckets for each doubling of the value."""
     magnitude = F.floor(F.log2(F.abs(value) * 1048576.0 + 1.0) * _PER_OCTAVE)
     return F.when(value < 0, -magnitude).otherwise(magnitude)
 

@@ -96,7 +96,12 @@ def _binned(rows: DataFrame, edges: DataFrame, max_edges: int) -> DataFrame:
 
 
 def _report(bins: DataFrame, as_of: datetime, minimum: int) -> DataFrame:
-    """Scores and the small-sample guard from counted bins (expected, actual, total)."""
+    """Scores and the small-sample guard from counted bins (expected, actual, total).
+
+    The counted bins are tiny next to the rows and are read three times below, so
+    they are written once instead of scanning the rows again.
+    """
+    bins = materialise(bins)
     scored = psi.psi_by_group(
         bins.filter(F.col("feature") != ROWS), KEYS,
         extra=[
