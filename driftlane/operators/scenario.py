@@ -26,12 +26,13 @@ class Perturbation:
     probability: float = C.DEFAULT_SKEW_PROBABILITY
     started_at: datetime | None = None
     ended_at: datetime | None = None
+    text: bool = False  # the feature is stored as text
 
 
-def shifted(column: Column, amount: float) -> Column:
-    """Adds to a number; nulls and texts that are no number stay as they are."""
-    number = column.try_cast("double")
-    return F.when(number.isNotNull(), number + amount).otherwise(column)
+def shifted(column: Column, amount: float, text: bool = False) -> Column:
+    """Adds to a number; nulls stay, and in a ``text`` column also what is no number."""
+    number = column.try_cast("double") + amount
+    return F.when(number.isNotNull(), number.cast("string") if text else number).otherwise(column)
 
 
 def skewed(column: Column, value: str, row_id: Column, probability: float = C.DEFAULT_SKEW_PROBABILITY) -> Column:
@@ -60,7 +61,7 @@ def perturbed(
             continue
         before = result[step.feature]
         if step.kind == "shift":
-            after = shifted(before, step.amount)
+            after = shifted(before, step.amount, step.text)
         elif step.kind == "skew":
             after = skewed(before, step.value, row_id, step.probability)
         elif step.kind == "corrupt":
@@ -133,27 +134,27 @@ def welch_statistic(rows: DataFrame, keys: Sequence[str], value: str, is_current
         return function(F.when(side, F.col(value)))
 
     sums = rows.groupBy(*keys).agg(
-        of(F.count, now).alias("n1"), of(F.avg, now).alias("m1"), of(F.var_samp, now).alias("v1"),
-        of(F.count, then).alias("n0"), of(F.avg, then).alias("m0"), of(F.var_samp, then).alias("v0"),
+        of(F.count, now).alias("_n1"), of(F.avg, now).alias("_m1"), of(F.var_samp, now).alias("_v1"),
+        of(F.count, then).alias("_n0"), of(F.avg, then).alias("_m0"), of(F.var_samp, then).alias("_v0"),
     )
-    a, b = F.col("v1") / F.col("n1"), F.col("v0") / F.col("n0")
+    a, b = F.col("_v1") / F.col("_n1"), F.col("_v0") / F.col("_n0")
     return sums.select(
         *keys,
-        F.try_divide(F.col("m1") - F.col("m0"), F.sqrt(a + b)).alias("t_statistic"),
-        F.try_divide((a + b) ** 2, a**2 / (F.col("n1") - 1) + b**2 / (F.col("n0") - 1)).alias("degrees"),
+        F.try_divide(F.col("_m1") - F.col("_m0"), F.sqrt(a + b)).alias("t_statistic"),
+        F.try_divide((a + b) ** 2, a**2 / (F.col("_n1") - 1) + b**2 / (F.col("_n0") - 1)).alias("degrees"),
     )
 
 
 def chi_square_statistic(rows: DataFrame, keys: Sequence[str], category: str, is_current: str = "is_current") -> DataFrame:
     """Goodness of fit of current categories to the baseline shares."""
     counts = rows.groupBy(*keys, category).agg(
-        F.count_if(is_current).alias("c"), F.count_if(~F.col(is_current)).alias("b")
-    ).filter("b > 0")
+        F.count_if(is_current).alias("_c"), F.count_if(~F.col(is_current)).alias("_b")
+    ).filter("_b > 0")
     # sum (c - N b / M)^2 / (N b / M)  =  M / N * sum c^2 / b - N
     sums = counts.groupBy(*keys).agg(
-        F.sum("c").alias("n"), F.sum("b").alias("m"),
-        F.sum(F.col("c") * F.col("c") / F.col("b")).alias("s"), F.count(F.lit(1)).alias("k"),
+        F.sum("_c").alias("_n"), F.sum("_b").alias("_m"),
+        F.sum(F.col("_c") * F.col("_c") / F.col("_b")).alias("_s"), F.count(F.lit(1)).alias("_k"),
     )
     return sums.select(
-        *keys, (F.col("s") * F.col("m") / F.col("n") - F.col("n")).alias("chi_square"), (F.col("k") - 1).alias("degrees")
+        *keys, (F.col("_s") * F.col("_m") / F.col("_n") - F.col("_n")).alias("chi_square"), (F.col("_k") - 1).alias("degrees")
     )

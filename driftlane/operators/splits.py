@@ -84,13 +84,13 @@ def class_distribution(df: DataFrame, keys: list[str], label: str) -> DataFrame:
 def majority_baseline(split: DataFrame, keys: list[str], label: str) -> DataFrame:
     """Accuracy on the test rows of always answering the commonest training class."""
     counts = split.groupBy(*keys, label).agg(
-        F.count_if(~F.col("is_test")).alias("train"), F.count_if("is_test").alias("test")
+        F.count_if(~F.col("is_test")).alias("_train"), F.count_if("is_test").alias("_test")
     )
     # Equal counts go to the smaller class.
-    commonest = F.max(F.struct(F.col("train"), (-F.col(label)).alias("neg"), F.col("test")))
-    return counts.groupBy(*keys).agg(commonest.alias("top"), F.sum("test").alias("n_test")).select(
-        *keys, (-F.col("top.neg")).alias("majority_class"), "n_test",
-        F.try_divide(F.col("top.test").cast("double"), F.col("n_test")).alias("accuracy"),
+    commonest = F.max(F.struct(F.col("_train"), (-F.col(label)).alias("neg"), F.col("_test")))
+    return counts.groupBy(*keys).agg(commonest.alias("_top"), F.sum("_test").alias("n_test")).select(
+        *keys, (-F.col("_top.neg")).alias("majority_class"), "n_test",
+        F.try_divide(F.col("_top._test").cast("double"), F.col("n_test")).alias("accuracy"),
     )
 
 
