@@ -52,7 +52,9 @@ def values_at_ranks(
     """The exact values at zero-based ranks of each group.
 
     ``ranks`` maps the group's row count to an array of ranks. Null and NaN values
-    are left out. Returns ``keys, total, rank, value``: one row per group and rank.
+    are left out. ``rows`` is read up to three times, so it should be a scan or a
+    stored table. Returns ``keys, total, rank, value``, one row per group and rank,
+    from stored files whose size Spark knows when it is joined.
     """
     keys = list(keys)
     source = rows.select(*keys, F.col(value).cast("double").alias("_v")).filter(
@@ -102,8 +104,8 @@ def values_at_ranks(
         F.count(F.lit(1)).alias("_n"), F.first("_b2").alias("_b2"),
         F.first("_r2").alias("_r2"), F.first("_total").alias("_total"),
     ).withColumn("_low", F.col("_v")).withColumn("_high", F.col("_v"))
-    third = _holding_ranks(
-        histogram, [*keys, "_coarse", "_fine"], "_v", F.col("_b2"), lambda _: _within(F.col("_r2"))
+    third = materialise(
+        _holding_ranks(histogram, [*keys, "_coarse", "_fine"], "_v", F.col("_b2"), lambda _: _within(F.col("_r2")))
     )
     return found.unionByName(_explode_ranks(third, keys))
 

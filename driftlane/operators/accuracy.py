@@ -11,6 +11,7 @@ from driftlane import config as C
 from driftlane.functions.ids import model_name
 from driftlane.functions.metrics import classification_metrics
 from driftlane.functions.ranks import exact_quantiles
+from driftlane.session import materialise
 
 _METRICS = ("precision", "recall", "f1", "roc_auc")
 
@@ -121,12 +122,15 @@ def label_coverage(predictions: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 def label_latency(predictions: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Intended delay and observed label latency in seconds per model."""
-    joined = labelled(
-        predictions.select("id", "model_id", "created_at"),
-        outcomes.select("prediction_id", "observed_at", "delay_seconds"),
-    ).select(
-        "model_id", "delay_seconds",
-        ((F.unix_micros("observed_at") - F.unix_micros("created_at")) / 1e6).alias("latency"),
+    # Three passes follow; the join should run once.
+    joined = materialise(
+        labelled(
+            predictions.select("id", "model_id", "created_at"),
+            outcomes.select("prediction_id", "observed_at", "delay_seconds"),
+        ).select(
+            "model_id", "delay_seconds",
+            ((F.unix_micros("observed_at") - F.unix_micros("created_at")) / 1e6).alias("latency"),
+        )
     )
     quantiles = exact_quantiles(joined, ["model_id"], "latency", (0.5, 0.95))
     return (

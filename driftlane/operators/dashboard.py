@@ -130,26 +130,26 @@ def first_features(reports: DataFrame, count: int = 5) -> DataFrame:
 def forward_fill(df: DataFrame, keys: Sequence[str], time: str, columns: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:
     """Carry the last known value of each column forward in time within a group.
 
-    Rows are filled within a day, and a table of one row per group and day carries
-    values over from earlier days. A long series is thus spread over its days, and
-    only the day table is ever ordered as a whole.
+    Rows are filled within an hour, and a table of one row per group and hour carries
+    values over from earlier ones. A long series is thus spread over its hours, and
+    only the table of hours is ever ordered as a whole.
     """
     keys, order = list(keys), [time, *tie]
-    daily = df.withColumn("_day", F.to_date(time))
-    in_day = (
-        Window.partitionBy(*keys, "_day").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hourly = df.withColumn("_hour", F.date_trunc("hour", time))
+    in_hour = (
+        Window.partitionBy(*keys, "_hour").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    last_of_day = daily.groupBy(*keys, "_day").agg(
-        *[F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in columns]
+    last_of_hour = hourly.groupBy(*keys, "_hour").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in columns]
     )
-    earlier = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last_of_day.select(
-        *keys, "_day", *[F.last(c, ignorenulls=True).over(earlier).alias(f"_carried_{c}") for c in columns]
+    earlier = Window.partitionBy(*keys).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last_of_hour.select(
+        *keys, "_hour", *[F.last(c, ignorenulls=True).over(earlier).alias(f"_carried_{c}") for c in columns]
     )
-    filled = daily.select(
-        *[F.last(c, ignorenulls=True).over(in_day).alias(c) if c in columns else F.col(c) for c in daily.columns]
+    filled = hourly.select(
+        *[F.last(c, ignorenulls=True).over(in_hour).alias(c) if c in columns else F.col(c) for c in hourly.columns]
     )
-    return filled.join(carried, [*keys, "_day"], "left").select(
+    return filled.join(carried, [*keys, "_hour"], "left").select(
         *[F.coalesce(c, f"_carried_{c}").alias(c) if c in columns else F.col(c) for c in df.columns]
     )
 

@@ -349,10 +349,12 @@ def rollback_targets(deployments: DataFrame) -> DataFrame:
     )
     others = rows.join(serving, "model_name").filter(F.col("d.id") != F.col("serving.id"))
     target = others.groupBy("model_name").agg(F.max("d").alias("target"))
-    return serving.join(target, "model_name", "left").select(
-        "model_name",
-        F.col("serving.version").alias("serving_version"), F.col("serving.id").alias("serving_id"),
-        F.col("target.version").alias("target_version"), F.col("target.id").alias("target_id"),
+    return materialise(
+        serving.join(target, "model_name", "left").select(
+            "model_name",
+            F.col("serving.version").alias("serving_version"), F.col("serving.id").alias("serving_id"),
+            F.col("target.version").alias("target_version"), F.col("target.id").alias("target_id"),
+        )
     )
 
 

@@ -117,7 +117,9 @@ def _baseline(model: PipelineModel, train: DataFrame, tenant: Tenant, model_id:
     rows = feature_rows(
         keyed, {c: F.col(c) for c in tenant.numeric}, {c: F.col(c) for c in tenant.categorical}
     )
-    scored = score(model, keyed).select("model_id", "prediction", F.col("probability_1").alias("confidence"))
+    scored = materialise(
+        score(model, keyed).select("model_id", "prediction", F.col("probability_1").alias("confidence"))
+    )
     return {
         "numeric": profile.numeric_profile(rows),
         "categorical": profile.category_counts(rows).drop("n_null"),

@@ -45,7 +45,7 @@ SELECT feature, round(any_value(median), 4) AS median, round(avg(coalesce(v, med
        round(stddev_pop(coalesce(v, median)), 4) AS std FROM long JOIN medians USING (feature) GROUP BY feature""",
 )
 def imputation_and_scaling(spark, sf_dir):
-    stats = modeling.numeric_statistics(training_rows(spark, sf_dir), ORDERS.numeric)
+    stats = modeling.numeric_statistics(materialise(training_rows(spark, sf_dir)), ORDERS.numeric)
     return stats.select("feature", *[F.round(c, 4).alias(c) for c in ("median", "mean", "std")])
 
 
@@ -71,7 +71,7 @@ SELECT id, round((price - ap) / dp, 4) AS price, round((coalesce(segment, ms) -
        CAST(dense_rank() OVER (ORDER BY priority) - 1 AS DOUBLE) AS priority FROM rows_in, z""",
 )
 def preprocessed_rows(spark, sf_dir):
-    rows = training_rows(spark, sf_dir)
+    rows = materialise(training_rows(spark, sf_dir))
     prepared = rows
     for stage in modeling.preprocessing(rows, ORDERS):
         prepared = stage.transform(prepared)

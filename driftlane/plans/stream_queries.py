@@ -18,7 +18,9 @@ from driftlane.streaming import streams
 
 def _stream(spark, sf_dir, name) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.readStream.schema(T.SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet*")
+    # A bounded batch bounds what one key brings to the stateful operators.
+    reader = spark.readStream.schema(T.SCHEMAS[name]).option("maxFilesPerTrigger", 256)
+    return reader.parquet(f"{sf_dir}/{name}.parquet*")
 
 
 def _drain(stream: DataFrame) -> DataFrame:

@@ -87,8 +87,8 @@ def read_holdout(spark: SparkSession, path: str, schema: str, numeric: Sequence[
 def append_table(rows: DataFrame, root: str, table: str) -> None:
     """Append rows of a telemetry table, in folders per tenant (if any) and day.
 
-    Rows of one day are spread over several tasks by a hash of the row, so a large
-    tenant or a busy day does not end in one writer.
+    Rebalancing gathers the rows of a folder into few files and splits a large
+    tenant or a busy day over several writers.
     """
     dated = rows.withColumn("dt", F.to_date(_EVENT_TIME[table]))
     folders = ["dt"]
@@ -96,7 +96,7 @@ def append_table(rows: DataFrame, root: str, table: str) -> None:
         dated, folders = dated.withColumn("model_name", model_name(F.col("model_id"))), ["model_name", "dt"]
     elif "model_name" in rows.columns:
         folders = ["model_name", "dt"]
-    dated.write.mode("append").partitionBy(*folders).parquet(f"{root}/{table}")
+    dated.hint("rebalance", *folders).write.mode("append").partitionBy(*folders).parquet(f"{root}/{table}")
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
