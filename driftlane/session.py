@@ -19,6 +19,8 @@ def build_session(app: str = "driftlane", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # The JVM does not compile methods above 8000 bytes; split such plans instead.
         "spark.sql.codegen.hugeMethodLimit": "8000",
+        # Recording the Python line of every column expression slows plan building.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.enabled": "false",
     }
     settings.update(conf)
