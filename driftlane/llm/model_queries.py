@@ -1,12 +1,22 @@
-"""Queries of the operators that learn from the tables. SQL can't express them; tests check them."""
+"""Queries of the operators that run Python in their tasks. SQL can't express them; tests check them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftlane.llm import html_text, secrets, toxicity
 from driftlane.llm.common import table
 from driftlane.llm.registry import query
+from driftlane.llm.suffix_dedup import remove_repeats
+
+
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"), window=400, keep="none")
+    return cut.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
 
 
 @query("op2_toxicity")
