@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftlane.llm import html_text, secrets, toxicity
 from driftlane.llm.common import table
+from driftlane.llm.order_minhash import near_duplicates
 from driftlane.llm.registry import query
 from driftlane.llm.suffix_dedup import remove_repeats
 
@@ -31,6 +32,11 @@ def op3_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(docs, secrets.learn(docs))
 
 
+@query("op5_order_minhash")
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op6_page_text")
 def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
