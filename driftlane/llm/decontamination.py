@@ -50,7 +50,8 @@ def decontaminate(
         F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("item"), words(F.col("text")).alias("words")
     ).where(F.size("words") > 0).groupBy("words").agg(F.collect_set("item").alias("ids"))
         .withColumn("item", F.xxhash64("words")))
-    tokens = docs.select(key.alias("key"), words(F.col("text")).alias("words"))
+    texts = docs.select(key.alias("key"), "text")
+    tokens = texts.select("key", words(F.col("text")).alias("words"))
 
     item_words = _positions(items, "item").withColumnRenamed("pos", "q")
     counted = _positions(tokens, "key").join(item_words.select("w0").distinct(), "w0").groupBy("w0").agg(
@@ -58,7 +59,7 @@ def decontaminate(
     )
     frequency = materialise(counted)
     found = materialise(_candidates(tokens, items, item_words, frequency, window))
-    hits = materialise(_verified(tokens, items, item_words, found, window))
+    hits = materialise(_verified(texts, items, item_words, found, window))
 
     places = hits.select("key", F.explode(F.sequence("first", "last")).alias("pos")).distinct()
     by_document = places.groupBy("key").agg(F.count("*").alias("n_hit"))
@@ -109,15 +110,17 @@ def _candidates(
 
 
 def _verified(
-    tokens: DataFrame, items: DataFrame, item_words: DataFrame, found: DataFrame, window: int
+    texts: DataFrame, items: DataFrame, item_words: DataFrame, found: DataFrame, window: int
 ) -> DataFrame:
     """``key, item, first, last``: runs of document words equal to item words, a window long at least."""
     around = F.sequence(F.greatest(F.col("q") - (window - 1), F.lit(0)), F.col("q") + (window - 1))
     expected = found.select("key", "item", "shift", F.explode(around).alias("q")).distinct().join(
         item_words, ["item", "q"]
     ).withColumn("pos", F.col("q") + F.col("shift"))
-    holders = found.select("key").distinct()
-    postings = _positions(tokens.join(holders, "key", "left_semi").dropDuplicates(["key"]), "key")
+    # Documents with a candidate grow with the corpus: always merged, never broadcast.
+    holders = found.select("key").distinct().hint("merge")
+    held = texts.join(holders, "key", "left_semi").dropDuplicates(["key"])
+    postings = _positions(held.select("key", words(F.col("text")).alias("words")), "key")
     met = postings.join(expected, ["key", "pos", "w0"]).select("key", "item", "shift", "pos")
     order = Window.partitionBy("key", "item", "shift").orderBy("pos")
     runs = met.withColumn("run", F.col("pos") - F.row_number().over(order)).groupBy("key", "item", "shift", "run").agg(
