@@ -1,6 +1,7 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
-Terms are the words of a text and the beginnings of its longer words, hashed. Besides a
+Terms are the words of a text and the beginnings of its longer words, hashed; a
+beginning counts again if several words have it, as families of words do. Besides a
 weight each term has a vector, and each pair of terms adds the product of theirs, so
 that two terms can count for more together than the sum of what they say alone.
 """
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +24,8 @@ from driftlane.session import materialise
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
+#: One word in so many makes a family of words a frequent one.
+MANY = 60
 _WORDS = re.compile(WORD)
 _LOWERED = str.maketrans(UPPER, LOWER)
 #: Words whose terms a worker remembers.
@@ -30,10 +34,14 @@ REMEMBERED = 200_000
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of the fit: labelled rows, chosen by a hash of their id, and terms, chosen by how far they depart."""
+    """Bounds of the fit: labelled rows, chosen by a hash of their id, and terms, chosen by how far they depart.
+
+    A term must depart by ``departure`` standard deviations; the further, the more it is trusted.
+    """
 
     rows: int = 20_000
     terms: int = 8_192
+    departure: float = 3.0
     factors: int = 4
     steps: int = 200
 
@@ -54,10 +62,30 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[terms].sum() + pairs, -30, 30))))
 
 
-def word_terms(word: str) -> list[int]:
-    """Hashes of a word and of its beginnings."""
-    named = [word, *(f"^{word[:n]}" for n in PREFIXES if len(word) > n)]
-    return [zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS for name in named]
+def _hashed(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+def word_terms(word: str) -> tuple[int, list[tuple[int, ...]]]:
+    """The word's term, and for each of its beginnings the terms of one, two, four and relatively many words with it."""
+    starts = [word[:n] for n in PREFIXES if len(word) > n]
+    return _hashed(word), [tuple(_hashed(f"{mark}{s}") for mark in ("^", "2^", "4^", "%^")) for s in starts]
+
+
+def text_terms(words: set[str]) -> set[int]:
+    terms, families = set(), Counter()
+    for word in words:
+        own, starts = word_terms(word)
+        terms.add(own)
+        families.update(starts)
+    for family, count in families.items():
+        terms.update(_family_terms(family, count, len(words)))
+    return terms
+
+
+def _family_terms(family: tuple[int, ...], count: int, n_words: int) -> tuple[int, ...]:
+    one, two, four, many = family
+    return (one, *(two,) * (count >= 2), *(four,) * (count >= 4), *(many,) * (count >= 2 and count * MANY >= n_words))
 
 
 def text_words(text: str | None) -> set[str]:
@@ -66,7 +94,7 @@ def text_words(text: str | None) -> set[str]:
 
 def _term_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        terms = [sorted({t for word in text_words(text) for t in word_terms(word)}) for text in frame["text"]]
+        terms = [sorted(text_terms(text_words(text))) for text in frame["text"]]
         yield pd.DataFrame({"toxic": frame["toxic"], "terms": terms})
 
 
@@ -107,9 +135,12 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Machin
         F.count("*").alias("n"), F.sum("toxic").alias("toxic")
     )
     departure = F.abs(F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 1)
-    kept = materialise(counts.orderBy(departure.desc(), "term").limit(limits.terms).select("term"))
-    position = {row["term"]: number for number, row in enumerate(kept.orderBy("term").collect())}
-    numbers = F.broadcast(kept)
+    measured = counts.withColumn("departure", departure).where(F.col("departure") > limits.departure)
+    kept = materialise(measured.orderBy(F.desc("departure"), "term").limit(limits.terms).select("term", "departure"))
+    chosen = kept.orderBy("term").collect()  # at most limits.terms
+    position = {row["term"]: number for number, row in enumerate(chosen)}
+    trust = np.array([1 - (limits.departure / row["departure"]) ** 2 for row in chosen])
+    numbers = F.broadcast(kept.select("term"))
     rows = sample.withColumn("row", F.monotonically_increasing_id())
     rows = materialise(rows)
     known = rows.select("row", F.explode("terms").alias("term")).join(numbers, "term").groupBy("row").agg(
@@ -118,15 +149,17 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Machin
     read = rows.select("row", "toxic").join(known, "row", "left").orderBy("row").collect()  # at most limits.rows
     toxic = np.array([row["toxic"] for row in read], dtype=float)
     terms = [[position[t] for t in row["terms"] or ()] for row in read]
-    return Machine(position, *_descend(toxic, terms, len(position), bias, limits))
+    return Machine(position, *_descend(toxic, terms, trust, bias, limits))
 
 
 def _descend(
-    toxic: np.ndarray, terms: list[list[int]], n_terms: int, bias: float, limits: Limits, pull: float = 1e-4
+    toxic: np.ndarray, terms: list[list[int]], trust: np.ndarray, bias: float, limits: Limits, pull: float = 1e-4
 ) -> tuple[float, np.ndarray, np.ndarray]:
-    """Adam on the logistic loss of a factorization machine with 0/1 inputs."""
+    """Adam on the logistic loss of a factorization machine; a term that is there has its ``trust`` as input."""
+    n_terms = len(trust)
     row = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
     term = np.array([t for own in terms for t in own], dtype=np.int64)
+    given = trust[term]
     random = np.random.default_rng(7)
     values = [np.array([bias]), np.zeros(n_terms), random.normal(0, 0.01, (n_terms, limits.factors))]
     means, squares = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
@@ -136,12 +169,12 @@ def _descend(
 
     for step in range(1, limits.steps + 1):
         base, weights, vectors = values
-        drawn = vectors[term]
+        drawn = vectors[term] * given[:, None]
         sums = np.stack([per(row, drawn[:, f], len(terms)) for f in range(limits.factors)], axis=1)
         pairs = ((sums**2).sum(axis=1) - per(row, (drawn**2).sum(axis=1), len(terms))) / 2
-        level = np.clip(base[0] + per(row, weights[term], len(terms)) + pairs, -30, 30)
+        level = np.clip(base[0] + per(row, weights[term] * given, len(terms)) + pairs, -30, 30)
         error = (1 / (1 + np.exp(-level)) - toxic) / len(terms)
-        spread = error[row]
+        spread = error[row] * given
         slope = np.stack(
             [per(term, spread * (sums[row, f] - drawn[:, f]), n_terms) for f in range(limits.factors)], axis=1
         )
@@ -150,27 +183,39 @@ def _descend(
             means[i] = 0.9 * means[i] + 0.1 * gradient
             squares[i] = 0.999 * squares[i] + 0.001 * gradient**2
             values[i] = values[i] - 0.05 * (means[i] / (1 - 0.9**step)) / (np.sqrt(squares[i] / (1 - 0.999**step)) + 1e-8)
-    return float(values[0][0]), values[1], values[2]
+    return float(values[0][0]), values[1] * trust, values[2] * trust[:, None]
 
 
 def score_texts(machine: Machine) -> Column:
     """A column expression: the score of ``text``, read as a whole. Equal texts score the same, empty ones the bias."""
 
+    def known_terms(word: str) -> tuple[int | None, list[tuple[int, ...]]]:
+        """The word's row, and those of its families of which a term has a row."""
+        own, families = word_terms(word)
+        rows = machine.position
+        return rows.get(own), [f for f in families if any(t in rows for t in f)]
+
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, list[int]] = {}
+        known: dict[str, tuple[int | None, list[tuple[int, ...]]]] = {}
+        rows = machine.position
         for batch in batches:
             found = []
             for text in batch:
                 terms: set[int] = set()
-                for word in text_words(text):
+                families: Counter = Counter()
+                words = text_words(text)
+                for word in words:
                     own = known.get(word)
                     if own is None:
                         if len(known) >= REMEMBERED:
                             known.clear()
-                        own = known[word] = [
-                            machine.position[t] for t in word_terms(word) if t in machine.position
-                        ]
-                    terms.update(own)
+                        own = known[word] = known_terms(word)
+                    if own[0] is not None:
+                        terms.add(own[0])
+                    for family in own[1]:
+                        families[family] += 1
+                for family, count in families.items():
+                    terms.update(rows[t] for t in _family_terms(family, count, len(words)) if t in rows)
                 found.append(machine.score(sorted(terms)))
             yield pd.Series(found, dtype=float)
 
