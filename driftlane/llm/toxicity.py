@@ -122,15 +122,15 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Machin
     """Learn from a bounded sample; which terms count is decided in Spark, the descent runs on the driver.
 
     Of the terms those are kept whose share of toxic rows departs most from the
-    overall share, in standard deviations. Without rows of both labels the model
-    gives the (smoothed) share of toxic rows for every text.
+    overall share, in standard deviations. Without rows of both labels there is nothing
+    to learn from, and every text scores (next to) 0.
     """
     sample = labelled_sample(docs, labels, limits)
     total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     share = (total["toxic"] + 1) / (total["n"] + 2)
     bias = float(np.log(share / (1 - share)))
     if not 0 < total["toxic"] < total["n"]:
-        return Machine({}, bias, np.zeros(0), np.zeros((0, limits.factors)))
+        return Machine({}, -30.0, np.zeros(0), np.zeros((0, limits.factors)))
     counts = sample.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(
         F.count("*").alias("n"), F.sum("toxic").alias("toxic")
     )
@@ -139,6 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Machin
     kept = materialise(measured.orderBy(F.desc("departure"), "term").limit(limits.terms).select("term", "departure"))
     chosen = kept.orderBy("term").collect()  # at most limits.terms
     position = {row["term"]: number for number, row in enumerate(chosen)}
+    if not chosen:
+        return Machine({}, -30.0, np.zeros(0), np.zeros((0, limits.factors)))
     trust = np.array([1 - (limits.departure / row["departure"]) ** 2 for row in chosen])
     numbers = F.broadcast(kept.select("term"))
     rows = sample.withColumn("row", F.monotonically_increasing_id())
