@@ -25,21 +25,21 @@ FAMILIES = r"""
 mit | (the )? | mit | ( expat)? licen[sc]e | mit
 mit-0 | (the )? | mit | no attribution( licen[sc]e)? | mit 0
 apache-1.1 | (the )? | apache | ( software)? licen[sc]e( version)? 1 1 | apache 1 1
-apache-2.0 | (the )? | apache | ( software)? licen[sc]e( version| v)? 2( 0)? | apache 2 0
+apache-2.0 | (the )? | apache | ( software)? licen[sc]e( version)? v?2( 0)? | apache 2 0
 apache | (the )? | apache | ( software)? licen[sc]e | apache
-gpl-1 | (the )?(gnu )? | general | public licen[sc]e( version| v)? 1( 0)? | gpl 1 0( only| or later)?
-gpl-2 | (the )?(gnu )? | general | public licen[sc]e( version| v)? 2( 0)? | gpl 2 0( only| or later)?
-gpl-3 | (the )?(gnu )? | general | public licen[sc]e( version| v)? 3( 0)? | gpl 3 0( only| or later)?
+gpl-1 | (the )?(gnu )? | general | public licen[sc]e( version)? v?1( 0)? | gpl 1 0( only| or later)?
+gpl-2 | (the )?(gnu )? | general | public licen[sc]e( version)? v?2( 0)? | gpl 2 0( only| or later)?
+gpl-3 | (the )?(gnu )? | general | public licen[sc]e( version)? v?3( 0)? | gpl 3 0( only| or later)?
 gpl | (the )?(gnu )? | general | public licen[sc]e | gpl
-lgpl-2 | (the )?(gnu )? | library | general public licen[sc]e( version| v)? 2( 0)? | lgpl 2 0( only| or later)?
-lgpl-2.1 | (the )?(gnu )? | lesser | general public licen[sc]e( version| v)? 2 1 | lgpl 2 1( only| or later)?
-lgpl-3 | (the )?(gnu )? | lesser | general public licen[sc]e( version| v)? 3( 0)? | lgpl 3 0( only| or later)?
+lgpl-2 | (the )?(gnu )? | library | general public licen[sc]e( version)? v?2( 0)? | lgpl 2 0( only| or later)?
+lgpl-2.1 | (the )?(gnu )? | lesser | general public licen[sc]e( version)? v?2 1 | lgpl 2 1( only| or later)?
+lgpl-3 | (the )?(gnu )? | lesser | general public licen[sc]e( version)? v?3( 0)? | lgpl 3 0( only| or later)?
 lgpl | (the )?(gnu )? | lesser | general public licen[sc]e | lgpl
-agpl-3 | (the )?(gnu )? | affero | general public licen[sc]e( version| v)? 3( 0)? | agpl 3 0( only| or later)?
+agpl-3 | (the )?(gnu )? | affero | general public licen[sc]e( version)? v?3( 0)? | agpl 3 0( only| or later)?
 agpl | (the )?(gnu )? | affero | general public licen[sc]e | agpl
 fdl | (the )?(gnu )? | free | documentation licen[sc]e( version| v)?( 1 [123])? | gfdl( 1 [123])?
-mpl-1.1 | (the )? | mozilla | public licen[sc]e( version| v)? 1 1 | mpl 1 1
-mpl-2.0 | (the )? | mozilla | public licen[sc]e( version| v)? 2( 0)? | mpl 2 0
+mpl-1.1 | (the )? | mozilla | public licen[sc]e( version)? v?1 1 | mpl 1 1
+mpl-2.0 | (the )? | mozilla | public licen[sc]e( version)? v?2( 0)? | mpl 2 0
 mpl | (the )? | mozilla | public licen[sc]e | mpl
 bsd-2 | (the )?(2|two) clause (simplified )? | bsd | ( licen[sc]e)? | bsd 2 clause
 bsd-3 | (the )?(3|three) clause (new |revised |modified )? | bsd | ( licen[sc]e)? | bsd 3 clause
@@ -141,8 +141,8 @@ def _detections(words: Column, keywords: list[str], table: Column) -> Column:
             table, lambda r: (r["keyword"] == place["word"]) & F.rlike(left, r["left"]) & F.rlike(right, r["right"])
         )
         spans = F.transform(matching, lambda r: F.struct(
-            (place["at"] - _spaces(F.regexp_substr(left, r["left"]))).alias("start"),
-            (place["at"] + 1 + _spaces(F.regexp_substr(right, r["right"]))).alias("end"),
+            (place["at"] - _spaces(F.coalesce(F.regexp_substr(left, r["left"]), F.lit("")))).alias("start"),
+            (place["at"] + 1 + _spaces(F.coalesce(F.regexp_substr(right, r["right"]), F.lit("")))).alias("end"),
             r["label"].alias("label"), r["priority"].alias("priority"), r["confidence"].alias("confidence"),
         ))
         # Longest first, then by priority.
