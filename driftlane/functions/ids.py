@@ -16,8 +16,13 @@ def model_version(model_id: Column) -> Column:
 
 
 def hash_bucket(row_id: Column, buckets: int = 10_000) -> Column:
-    """A re-runnable stand-in for a random roll: integer arithmetic on a numeric id."""
-    return F.pmod(row_id.cast("bigint") * F.lit(2654435761), F.lit(buckets))
+    """A re-runnable stand-in for a random roll, for ids of any size and for text.
+
+    A whole number is taken modulo ``buckets`` before it is multiplied, which leaves the
+    same bucket and can't overflow; other ids go by the number of their md5.
+    """
+    number = F.coalesce(row_id.try_cast("bigint"), hash_order(row_id))
+    return F.pmod(F.pmod(number, F.lit(buckets)) * F.lit(2654435761), F.lit(buckets))
 
 
 def hash_order(row_id: Column) -> Column:

@@ -27,15 +27,9 @@ def sigma_edges(median: Column, std: Column, bins: int = C.NUM_QUANTILE_BINS) ->
     return F.array(*[median - 3.0 * spread + (6.0 * i / bins) * spread for i in range(1, bins)])
 
 
-def bin_number(value: Column, edges: Column, max_edges: int) -> Column:
-    """Left-closed bin of ``value``: how many cut points are at or below it.
-
-    A plain sum of comparisons stays in generated code, unlike a lambda.
-    """
-    number = F.lit(0)
-    for i in range(max_edges):
-        number = number + F.coalesce((F.get(edges, F.lit(i)) <= value).cast("int"), F.lit(0))
-    return number
+def bin_number(value: Column, edges: Column) -> Column:
+    """Left-closed bin of ``value``: how many cut points are at or below it, of however many."""
+    return F.size(F.filter(edges, lambda edge: edge <= value))
 
 
 def classify(score: Column, sample_size: Column, minimum: int = C.MIN_DRIFT_SAMPLES) -> Column:

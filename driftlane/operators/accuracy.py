@@ -17,7 +17,7 @@ _METRICS = ("precision", "recall", "f1", "roc_auc")
 
 
 def since(as_of: datetime, hours: float):
-    return F.lit(as_of) - F.make_dt_interval(hours=F.lit(int(hours)))
+    return F.lit(as_of) - F.make_dt_interval(secs=F.lit(round(hours * 3600, 6)))
 
 
 def labelled(predictions: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -84,14 +84,14 @@ def category_mass(counts: DataFrame) -> DataFrame:
 # --- the report -------------------------------------------------------------------
 
 
-def _binned(rows: DataFrame, edges: DataFrame, max_edges: int) -> DataFrame:
+def _binned(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows with their bin; numeric features without a baseline and nulls drop out."""
     usable = (
         (F.col("kind") == "rows")
         | ((F.col("kind") == "numeric") & usable_number(F.col("number")) & F.col("edges").isNotNull())
         | ((F.col("kind") == "categorical") & F.col("category").isNotNull())
     )
-    number = F.when(F.col("kind") == "numeric", psi.bin_number(F.col("number"), F.col("edges"), max_edges))
+    number = F.when(F.col("kind") == "numeric", psi.bin_number(F.col("number"), F.col("edges")))
     return rows.join(edges, KEYS, "left").filter(usable).withColumn("bin", number)
 
 
@@ -137,7 +137,6 @@ def drift_report(
     expected: DataFrame,
     as_of: datetime,
     minimum: int = C.MIN_DRIFT_SAMPLES,
-    max_edges: int = C.NUM_QUANTILE_BINS - 1,
 ) -> DataFrame:
     """One report row per model and feature against stored baseline tables.
 
@@ -145,7 +144,7 @@ def drift_report(
     Spark broadcasts them by size or not at all. The current rows are scanned once
     and reduced to bins before the only shuffle.
     """
-    counted = _binned(current, edges, max_edges).groupBy(*_BIN_KEYS).agg(
+    counted = _binned(current, edges).groupBy(*_BIN_KEYS).agg(
         F.count(F.lit(1)).alias("actual"), F.sum("number").alias("total")
     )
     bins = (
@@ -168,7 +167,7 @@ def drift_report_from_rows(
     ``rows`` carries a boolean ``is_current``; both sides are binned in one scan.
     """
     edges = materialise(edges_from_rows(rows.filter("NOT is_current"), bins))
-    counted = _binned(rows, edges, bins - 1).groupBy(*_BIN_KEYS).agg(
+    counted = _binned(rows, edges).groupBy(*_BIN_KEYS).agg(
         F.count_if(~F.col("is_current")).cast("double").alias("expected"),
         F.count_if(F.col("is_current")).alias("actual"),
         F.sum(F.when(F.col("is_current"), F.col("number"))).alias("total"),

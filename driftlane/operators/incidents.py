@@ -366,12 +366,9 @@ def remediate(diagnosed: DataFrame, targets: DataFrame, threshold: float = C.AUT
     stuck = wanted & ~possible
     return joined.select(
         *[c for c in diagnosed.columns if c not in ("hypothesis", "confidence", "recommended_action")],
-        F.substring(
-            F.when(
-                stuck,
-                F.concat("hypothesis", F.lit(" (Rollback impossible: No prior deployment version available)")),
-            ).otherwise(F.col("hypothesis")), 1, 256,
-        ).alias("hypothesis"),
+        F.when(
+            stuck, F.concat("hypothesis", F.lit(" (Rollback impossible: No prior deployment version available)"))
+        ).otherwise(F.col("hypothesis")).alias("hypothesis"),
         F.when(stuck, 0.20).otherwise(F.col("confidence")).alias("confidence"),
         F.when(stuck, "escalate").otherwise(F.col("recommended_action")).alias("recommended_action"),
         F.when(wanted & possible, "auto_resolved").otherwise("escalated").alias("status"),

@@ -21,7 +21,7 @@ def _entry(kind: str, feature: str, number: Column | None = None, category: Colu
     return F.struct(
         F.lit(kind).alias("kind"),
         F.lit(feature).alias("feature"),
-        (none if number is None else number).cast("double").alias("number"),
+        (none if number is None else number).try_cast("double").alias("number"),
         (none if category is None else category).cast("string").alias("category"),
     )
 

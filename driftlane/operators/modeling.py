@@ -47,7 +47,7 @@ def preprocessing(df: DataFrame, tenant: Tenant) -> list[Transformer]:
     """Stages fitted on ``df``: median fill and scaling, sorted codes with -1 for unknown."""
     numbers = {r.feature: r for r in numeric_statistics(df, tenant.numeric).collect()}
     fills = ", ".join(
-        f"(coalesce(CAST(`{c}` AS DOUBLE), {numbers[c].median!r}D) - {numbers[c].mean!r}D) / "
+        f"(coalesce(TRY_CAST(`{c}` AS DOUBLE), {numbers[c].median!r}D) - {numbers[c].mean!r}D) / "
         f"{(numbers[c].std or 1.0)!r}D AS `_n_{c}`"
         for c in tenant.numeric
     )

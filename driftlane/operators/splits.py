@@ -14,40 +14,55 @@ _BYTES = 6  # so many bytes of text make an exactly representable number
 
 
 def _chunk(text: Column, depth: int) -> Column:
-    """Bytes of the text from ``depth`` on as a number that sorts the same way."""
+    """So many bytes of the text, the ``depth``-th time, as a number that sorts the same way."""
     part = F.hex(F.substring(F.encode(text, "UTF-8"), depth * _BYTES + 1, _BYTES))
     return F.conv(F.rpad(part, 2 * _BYTES, "0"), 16, 10).cast("double")
 
 
+def _half(number: Column, depth: int) -> Column:
+    """The upper, then the lower 32 bits of a whole number; each is exact as a double."""
+    whole = number.cast("bigint")
+    return (F.shiftright(whole, 32) if depth == 0 else whole.bitwiseAND(F.lit(0xFFFFFFFF))).cast("double")
+
+
 def id_at_rank(df: DataFrame, column: str, rank: int):
     """The ``rank``-th smallest id (from zero), found by counting, not by sorting.
 
-    Text is compared a few bytes at a time; each round looks only at the ids that
-    share the bytes found so far. Ids must be unique.
+    Whole numbers are compared by halves and text a few bytes at a time, so that every
+    step is exact; each round looks only at the ids that share what was found so far.
+    Ids must be unique; the rank must be below their number.
     """
-    numeric = isinstance(df.schema[column].dataType, T.NumericType)
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.DecimalType):
+        raise TypeError("ids are whole numbers, doubles or text")
+    exact = isinstance(kind, (T.DoubleType, T.FloatType))
+    whole = isinstance(kind, T.NumericType) and not exact
     ids = df.select(column, F.lit(0).alias("_all"))
     depth = 0
     while True:
-        code = F.col(column).cast("double") if numeric else _chunk(F.col(column), depth)
+        id_column = F.col(column)
+        code = id_column.cast("double") if exact else _half(id_column, depth) if whole else _chunk(id_column, depth)
         coded = ids.withColumn("_code", code)
         value = values_at_ranks(coded, ["_all"], "_code", lambda _, r=rank: F.array(F.lit(r).cast("bigint"))).first().value
         here = coded.filter(F.col("_code") == value)
         below, same, smallest = coded.agg(
             F.count_if(F.col("_code") < value), F.count_if(F.col("_code") == value),
-            F.min(F.when(F.col("_code") == value, F.col(column))),
+            F.min(F.when(F.col("_code") == value, id_column)),
         ).first()
-        if same == 1 or numeric:
+        if same == 1 or exact or (whole and depth == 1):
             return smallest
         rank -= below
-        if not here.filter(F.length(F.encode(column, "UTF-8")) > (depth + 1) * _BYTES).limit(1).count():
+        if not whole and not here.filter(F.length(F.encode(column, "UTF-8")) > (depth + 1) * _BYTES).limit(1).count():
             return smallest
         ids, depth = here.drop("_code"), depth + 1
 
 
 def ordered_holdout(df: DataFrame, column: str, fraction: float = C.HOLDOUT_FRACTION) -> DataFrame:
-    """Adds ``held_out``: true for the last ``fraction`` of rows in id order."""
-    cut = int(df.count() * (1 - fraction))
+    """Adds ``held_out``: true for the last ``fraction`` of rows in id order; no rows hold out none."""
+    total = df.count()
+    cut = int(total * (1 - fraction))
+    if cut >= total:
+        return df.withColumn("held_out", F.lit(False))
     first = id_at_rank(df, column, cut)
     return df.withColumn("held_out", F.col(column) >= F.lit(first))
 

@@ -92,6 +92,15 @@ def drift_report_raw_baseline(spark, sf_dir):
     return report.select(*_REPORT_COLUMNS)
 
 
+_TWENTIETHS = "[" + ",".join(f"{i / 20}" for i in range(21)) + "]"
+
+
+@query("drift_report_twenty_bins", RAW_SQL.replace(_ELEVEN, _TWENTIETHS))
+def drift_report_twenty_bins(spark, sf_dir):
+    report = drift.drift_report_from_rows(_features(spark, sf_dir), T.PREDICTIONS_AS_OF, bins=20)
+    return report.select(*_REPORT_COLUMNS)
+
+
 SNAPSHOT_SQL = _psi_sql("preds_numeric", "preds_category", "preds", _decile_edges("preds_numeric"), "1", _REPORT)
 
 

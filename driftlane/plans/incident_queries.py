@@ -91,11 +91,13 @@ targets AS (SELECT s.model_name, s.serving_id, t.id AS target_id, t.version AS t
 
 
 def _existing(spark, sf_dir):
-    """Incidents of the first weeks only, so that later alerts are new."""
-    return T.incidents(spark, sf_dir).filter(F.col("created_at") < F.lit("2024-01-15 00:00:00").cast("timestamp"))
+    """All incidents, dated 16 days back, so that the later alerts are new."""
+    return T.incidents(spark, sf_dir).withColumn("created_at", F.col("created_at") - F.expr("INTERVAL 16 DAYS"))
 
 
-_OLD = _ASSIGNED.replace("FROM incidents", "FROM incidents WHERE created_at < TIMESTAMP '2024-01-15'")
+_OLD = _ASSIGNED.replace(
+    "FROM incidents", "FROM (SELECT * REPLACE (created_at - INTERVAL 16 DAY AS created_at) FROM incidents)"
+)
 
 
 def _evidence(spark, sf_dir):
@@ -188,8 +190,8 @@ attached AS (SELECT opened_by, count(*) FILTER (decision = 'attached') AS n FROM
     "incident_pass",
     f"""{_PASS}
 SELECT d.id, d.model_id, rule_name,
-  substring(hypothesis || CASE WHEN wanted AND target_id IS NULL
-    THEN ' (Rollback impossible: No prior deployment version available)' ELSE '' END, 1, 256) AS hypothesis,
+  hypothesis || CASE WHEN wanted AND target_id IS NULL
+    THEN ' (Rollback impossible: No prior deployment version available)' ELSE '' END AS hypothesis,
   CASE WHEN wanted AND target_id IS NULL THEN 0.2::DOUBLE ELSE confidence END AS confidence,
   CASE WHEN wanted AND target_id IS NULL THEN 'escalate' ELSE recommended_action END AS recommended_action,
   CASE WHEN wanted AND target_id IS NOT NULL THEN 'auto_resolved' ELSE 'escalated' END AS status,
@@ -232,17 +234,16 @@ items AS (SELECT a.id AS alert_id, 'deployment' AS kind, d.id AS item_id, d.depl
           SELECT a.id, 'upstream', u.id, u.started_at, u.event_type, u.feature
           FROM openings a JOIN upstream u ON u.started_at <= a.triggered_at + INTERVAL 5 MINUTE
            AND (u.ended_at IS NULL OR u.ended_at >= a.triggered_at - INTERVAL 30 MINUTE))"""
-# The newest alert of every user stands for the alerts that open an incident.
-_OPENINGS = """
-openings AS (SELECT DISTINCT ON (e.user_id) a.* FROM alerts a JOIN events e ON a.id = e.event_id
-             ORDER BY e.user_id, a.triggered_at DESC, a.id DESC)"""
+_OPENINGS = f"""
+{_OLD},
+openings AS (SELECT a.* FROM alerts a JOIN assigned s ON a.id = s.id AND s.decision = 'opens')"""
 
 
 def _openings(spark, sf_dir):
-    newest = T.table(spark, sf_dir, "events").filter(F.col("event_type") == "error").groupBy("user_id").agg(
-        F.max(F.struct("ts", "event_id"))["event_id"].alias("id")
-    )
-    return T.alerts(spark, sf_dir).join(newest.select("id"), "id", "left_semi")
+    """The alerts that open an incident."""
+    alerts = T.alerts(spark, sf_dir)
+    opening = I.assign_alerts(alerts, _existing(spark, sf_dir)).filter(F.col("decision") == "opens")
+    return opening.select(*alerts.columns)
 
 
 @query(

@@ -164,6 +164,19 @@ def ordered_holdout_split(spark, sf_dir):
     return splits.ordered_holdout(customers, "id")
 
 
+@query(
+    "ordered_holdout_large_ids",
+    """
+SELECT o_orderkey + 1152921504606846976 AS id,
+       row_number() OVER (ORDER BY o_orderkey) > floor(0.85::DOUBLE * (SELECT count(*) FROM orders)) AS held_out
+FROM orders""",
+)
+def ordered_holdout_large_ids(spark, sf_dir):
+    """Whole numbers that a double can't tell apart."""
+    ids = T.table(spark, sf_dir, "orders").select((F.col("o_orderkey") + F.lit(2**60)).alias("id"))
+    return splits.ordered_holdout(ids, "id")
+
+
 _SPLIT = """
 hashed AS (SELECT o_orderkey AS id, split_part(o_orderpriority, '-', 1) AS tenant,
                   CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS INT) AS label,
@@ -284,6 +297,28 @@ def canary_traffic_split(spark, sf_dir):
     return routed.groupBy("tenant").agg(F.count(F.lit(1)).alias("n_requests"), F.count_if("c").alias("n_canary"))
 
 
+@query(
+    "canary_split_large_ids",
+    """
+SELECT o_orderpriority AS tenant,
+       count(*) FILTER (((o_orderkey + 1152921504606846976)::HUGEINT * 2654435761) % 10000 < 1000) AS n_canary,
+       count(*) FILTER ((CAST('0x' || substr(md5('r' || o_orderkey), 1, 12) AS HUGEINT) * 2654435761) % 10000 < 1000)
+         AS n_canary_by_text
+FROM orders GROUP BY o_orderpriority""",
+)
+def canary_split_large_ids(spark, sf_dir):
+    """Ids whose product has no room in a long, and ids that are text."""
+    key = F.col("o_orderkey")
+    routed = T.table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("tenant"),
+        canary.to_canary(key + F.lit(2**60), C.CANARY_SHARE_PERCENT).alias("by_number"),
+        canary.to_canary(F.concat(F.lit("r"), key), C.CANARY_SHARE_PERCENT).alias("by_text"),
+    )
+    return routed.groupBy("tenant").agg(
+        F.count_if("by_number").alias("n_canary"), F.count_if("by_text").alias("n_canary_by_text")
+    )
+
+
 # One canary per user: clicks, views and purchases are its predictions, dear errors its alerts.
 _CANARY = """
 canaries AS (SELECT DISTINCT 'u' || user_id AS model_name FROM events),

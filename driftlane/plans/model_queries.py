@@ -24,6 +24,7 @@ def training_rows(spark, sf_dir):
         F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"),
         F.nullif(F.col("o_custkey") % 100, F.lit(0)).cast("double").alias("segment"),
         F.nullif("o_orderstatus", F.lit("P")).alias("status"), F.col("o_orderpriority").alias("priority"),
+        F.col("o_orderdate").alias("created_at"),
     )
     return orders.join(labels, orders["id"] == labels["prediction_id"]).select(
         *orders.columns, F.col("true_label").cast("int").alias("label")
@@ -90,7 +91,8 @@ def train_and_evaluate(spark, sf_dir):
 @query("retrain_with_gate")
 def retrain_with_gate(spark, sf_dir):
     rows = materialise(training_rows(spark, sf_dir))
-    current = modeling.fit(rows.filter(F.col("price") < 100_000), ORDERS)
+    # The serving model knows the older orders only.
+    current = modeling.fit(rows.filter(F.col("created_at") < F.lit(T.PREDICTION_SPLIT)), ORDERS)
     decision, _ = modeling.retrain(rows, ORDERS, current, "v2", T.PREDICTIONS_AS_OF)
     return decision
 

@@ -120,12 +120,13 @@ def accuracy_sliding_windows(spark, sf_dir):
 SELECT p.model_id, count(p.id) AS n_predictions, count(p.id) FILTER (o.prediction_id IS NOT NULL) AS n_labelled,
        count(p.id) FILTER (o.prediction_id IS NULL) AS n_unlabelled,
        count(o.prediction_id) FILTER (p.id IS NULL) AS n_orphan_labels
-FROM (SELECT * FROM preds WHERE id % 10 <> 0) p FULL OUTER JOIN outs o ON p.id = o.prediction_id GROUP BY p.model_id""",
+FROM preds p FULL OUTER JOIN (SELECT 2 * prediction_id AS prediction_id FROM outs) o ON p.id = o.prediction_id
+GROUP BY p.model_id""",
 )
 def label_coverage(spark, sf_dir):
-    # A tenth of the predictions was never logged, so their labels are orphans.
-    logged = T.predictions(spark, sf_dir).filter(F.col("id") % 10 != 0)
-    return accuracy.label_coverage(logged, T.outcomes(spark, sf_dir))
+    # Labels from a system that counts in twos: some predictions have none, some labels no prediction.
+    labels = T.outcomes(spark, sf_dir).withColumn("prediction_id", F.col("prediction_id") * 2)
+    return accuracy.label_coverage(T.predictions(spark, sf_dir), labels)
 
 
 @query(
@@ -175,6 +176,25 @@ def trailing_window_counts(spark, sf_dir):
     )
 
 
+@query(
+    "trailing_window_fractional",
+    """
+SELECT split_part(model_id, ':', 1) AS model_name, count(*) AS n_alerts
+FROM alerts WHERE triggered_at >= TIMESTAMP '2024-01-31' - INTERVAL 5430 SECOND GROUP BY ALL
+UNION ALL
+SELECT 'half an hour', count(*) FROM alerts WHERE triggered_at >= TIMESTAMP '2024-01-31' - INTERVAL 1800 SECOND""",
+)
+def trailing_window_fractional(spark, sf_dir):
+    """Windows of parts of an hour."""
+    from driftlane.functions.ids import model_name
+
+    alerts = T.alerts(spark, sf_dir)
+    longer = alerts.filter(F.col("triggered_at") >= accuracy.since(T.EVENTS_AS_OF, 5430 / 3600))
+    shorter = alerts.filter(F.col("triggered_at") >= accuracy.since(T.EVENTS_AS_OF, 0.5))
+    counted = longer.groupBy(model_name(F.col("model_id")).alias("model_name")).agg(F.count(F.lit(1)).alias("n_alerts"))
+    return counted.unionByName(shorter.agg(F.lit("half an hour").alias("model_name"), F.count(F.lit(1)).alias("n_alerts")))
+
+
 @query(
     "available_models",
     """

@@ -139,13 +139,22 @@ def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def save_baseline(root: str, **tables: DataFrame) -> None:
-    """Append baseline tables: numeric, categorical, prediction, metrics."""
+    """Store baseline tables: numeric, categorical, prediction, metrics.
+
+    A table has one folder per ``model_id``; saving a model again replaces its rows
+    and leaves those of other models.
+    """
     for name, rows in tables.items():
-        rows.write.mode("append").parquet(f"{root}/baseline_{name}")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model_id").parquet(
+            f"{root}/baseline_{name}"
+        )
 
 
-def load_baseline(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/baseline_{name}")
+def load_baseline(spark: SparkSession, root: str, name: str, model_id: str | None = None) -> DataFrame:
+    """A baseline table, of all models or of one ``name:version``, which reads that folder only."""
+    rows = spark.read.parquet(f"{root}/baseline_{name}").withColumn("model_id", F.col("model_id").cast("string"))
+    rows = rows.select("model_id", *[c for c in rows.columns if c != "model_id"])
+    return rows if model_id is None else rows.filter(F.col("model_id") == model_id)
 
 
 def prediction_as_feature(prediction: DataFrame) -> DataFrame:

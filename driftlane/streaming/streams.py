@@ -67,7 +67,7 @@ def window_bins(rows: DataFrame, edges: DataFrame, window: str, lateness: str) -
     ``rows`` are long rows with ``created_at``; ``edges`` is a stored baseline table.
     """
     late = rows.withWatermark("created_at", lateness)
-    binned = drift._binned(late, edges, C.NUM_QUANTILE_BINS - 1)
+    binned = drift._binned(late, edges)
     return binned.groupBy(
         F.window("created_at", window).alias("w"), "model_id", "feature", "bin", "category"
     ).agg(F.count(F.lit(1)).alias("actual"))
