@@ -228,43 +228,31 @@ def remediation_decisions(spark, sf_dir):
 _ITEMS = """
 items AS (SELECT a.id AS alert_id, 'deployment' AS kind, d.id AS item_id, d.deployed_at AS item_at, d.version AS label,
                  CAST(NULL AS VARCHAR) AS feature
-          FROM openings a JOIN deploys d ON a.model_id = d.model_id
+          FROM alerts a JOIN deploys d ON a.model_id = d.model_id
            AND d.deployed_at BETWEEN a.triggered_at - INTERVAL 30 MINUTE AND a.triggered_at + INTERVAL 5 MINUTE
           UNION ALL
           SELECT a.id, 'upstream', u.id, u.started_at, u.event_type, u.feature
-          FROM openings a JOIN upstream u ON u.started_at <= a.triggered_at + INTERVAL 5 MINUTE
+          FROM alerts a JOIN upstream u ON u.started_at <= a.triggered_at + INTERVAL 5 MINUTE
            AND (u.ended_at IS NULL OR u.ended_at >= a.triggered_at - INTERVAL 30 MINUTE))"""
-_OPENINGS = f"""
-{_OLD},
-openings AS (SELECT a.* FROM alerts a JOIN assigned s ON a.id = s.id AND s.decision = 'opens')"""
-
-
-def _openings(spark, sf_dir):
-    """The alerts that open an incident."""
-    alerts = T.alerts(spark, sf_dir)
-    opening = I.assign_alerts(alerts, _existing(spark, sf_dir)).filter(F.col("decision") == "opens")
-    return opening.select(*alerts.columns)
-
-
 @query(
     "evidence_items",
-    f"""WITH {_OPENINGS},{_ITEMS}
+    f"""WITH {_ITEMS}
 SELECT alert_id, kind, item_id, {stamp_sql("item_at")} AS item_at, label, feature FROM items""",
 )
 def evidence_items(spark, sf_dir):
-    items = I.evidence_items(_openings(spark, sf_dir), T.deployments(spark, sf_dir), T.upstream_events(spark, sf_dir))
+    items = I.evidence_items(T.alerts(spark, sf_dir), T.deployments(spark, sf_dir), T.upstream_events(spark, sf_dir))
     return items.withColumn("item_at", stamp("item_at"))
 
 
 @query(
     "evidence_items_shortened",
-    f"""WITH {_OPENINGS},{_ITEMS}
+    f"""WITH {_ITEMS}
 SELECT alert_id, kind, item_id, CASE WHEN length(label) > 8 THEN substring(label, 1, 8) || '… (truncated)' ELSE label END
        AS label FROM items
 QUALIFY row_number() OVER (PARTITION BY alert_id, kind ORDER BY item_at DESC, item_id DESC) <= 5""",
 )
 def evidence_items_shortened(spark, sf_dir):
-    items = I.evidence_items(_openings(spark, sf_dir), T.deployments(spark, sf_dir), T.upstream_events(spark, sf_dir))
+    items = I.evidence_items(T.alerts(spark, sf_dir), T.deployments(spark, sf_dir), T.upstream_events(spark, sf_dir))
     return I.shorten_items(items, width=8).select("alert_id", "kind", "item_id", "label")
 
 
