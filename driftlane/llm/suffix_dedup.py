@@ -31,7 +31,7 @@ BUCKET = 256
 #: Windows of a block whose common bytes are looked up first.
 BLOCK = 32
 #: Bytes of runs that are put in suffix order at once.
-SORTED = 1 << 21
+SORTED = 1 << 20
 
 _RUNS = "id bigint, th bigint, first int, last int, anchor int, gram bigint, run bigint"
 _CONTENTS = "gram bigint, run bigint, id bigint, th bigint, first int, bytes binary"
@@ -167,7 +167,8 @@ def repeated_spans(docs: DataFrame, window: int, keep: str, id_column: str) -> D
     runs = materialise(
         rows.where(F.octet_length("text") >= window).select("id", "th", "text").mapInArrow(_runs_of(window), _RUNS)
     )
-    recurring = runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # Written first: a join with stored keys can be split where an anchor is hot.
+    recurring = materialise(runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     repeated = materialise(runs.join(recurring, "gram", "left_semi"))
     contents = repeated.groupBy("gram", "run").agg(
         F.count("*").alias("n"), F.min(F.struct("id", "th", "first", "last", "anchor")).alias("at")

@@ -7,7 +7,7 @@ import numpy as np
 #: Bytes of the substring whose hash picks a window's anchor.
 GRAM = 100
 #: Bytes that one pass over an array takes; texts beyond it are read in overlapping pieces.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 _PLACE = (1 << 24) - 1
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(20240501).integers(0, 2**64, 256, dtype=np.uint64)
