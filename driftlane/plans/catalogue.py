@@ -2,6 +2,7 @@
 
 from driftlane.plans import (  # noqa: F401
     drift_queries,
+    file_queries,
     incident_queries,
     lifecycle_queries,
     model_queries,
