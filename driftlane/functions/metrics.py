@@ -7,7 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SCORE_CELLS = (1 << 10, 1 << 20)
+# Cells per halving of the distance to 0 or to 1, coarse and fine.
+_SCORE_CELLS = (1 << 4, 1 << 20)
+
+
+def _stretched(score: Column) -> Column:
+    """A rising function that spreads the scores next to 0 and to 1, where most of them may lie."""
+    low, high = (F.log2(F.greatest(x, F.lit(1e-300))) for x in (score, 1.0 - score))
+    return F.when(score < 0.5, low).otherwise(-high)
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -26,13 +33,13 @@ def classification_metrics(
 
     Rows are counted per distinct score, which serves the confusion counts and the
     ranking alike. The negatives below a score are a sum of three prefix sums: over
-    thousandths of the score range, over millionths within one, and over scores
-    within one of those; so no window ever holds a whole group. Scores lie in
-    [0, 1]. A group with a single class has AUC 0.5.
+    coarse cells of the score range, over fine ones within one, and over scores
+    within one of those; so no window ever holds a whole group. Cells get narrower
+    towards 0 and 1. Scores lie in [0, 1]. A group with a single class has AUC 0.5.
     """
     keys = list(keys)
     predicted, actual = F.col(prediction), F.col(label)
-    coarse, fine = (F.floor(F.col("_s") * cells) for cells in _SCORE_CELLS)
+    coarse, fine = (F.floor(_stretched(F.col("_s")) * cells) for cells in _SCORE_CELLS)
     totals = ("pos", "neg", "tp", "fp")
     level = (
         scored.select(*keys, predicted.alias("_p"), actual.alias("_y"), F.col(score).alias("_s"))

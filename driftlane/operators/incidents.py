@@ -20,13 +20,25 @@ _MINUTE = 60_000_000
 _EVERY_MODEL = "*"
 _BLOCK = ["scope", "level", "block"]
 
-_DEPLOYMENT = "struct<deployed_at:timestamp,id:bigint,version:string>"
-_UPSTREAM = "struct<started_at:timestamp,id:bigint,event_type:string,feature:string>"
+# Ids are text or numbers, as the tables have them.
+_DEPLOYMENT = "struct<deployed_at:timestamp,id:{id},version:string>"
+_UPSTREAM = "struct<started_at:timestamp,id:{id},event_type:string,feature:string>"
 _ACCURACY = (
-    "struct<created_at:timestamp,id:bigint,f1:double,precision:double,recall:double,roc_auc:double,n_samples:bigint>"
+    "struct<created_at:timestamp,id:{id},f1:double,precision:double,recall:double,roc_auc:double,n_samples:bigint>"
 )
 
 
+def _typed(struct: str, df: DataFrame) -> str:
+    return struct.format(id=dict(df.dtypes)["id"])
+
+
+def _with_feature(upstream: DataFrame) -> DataFrame:
+    """Stored events name the feature in their parameters."""
+    if "feature" in upstream.columns:
+        return upstream
+    return upstream.withColumn("feature", F.get_json_object("parameters", "$.feature"))
+
+
 def pending_alerts(alerts: DataFrame) -> DataFrame:
     """Alerts no pass has handled yet, oldest first."""
     return alerts.filter(~F.col("processed")).orderBy("triggered_at", "id")
@@ -41,8 +53,10 @@ def _surroundings(
 ) -> DataFrame:
     """Everything evidence is drawn from, one row per block in which it counts."""
     forward, lookback = forward_minutes * _MINUTE, lookback_hours * 60 * _MINUTE
+    upstream = _with_feature(upstream)
     kinds = {
-        "deployment": _DEPLOYMENT, "upstream": _UPSTREAM, "accuracy": _ACCURACY,
+        "deployment": _typed(_DEPLOYMENT, deployments), "upstream": _typed(_UPSTREAM, upstream),
+        "accuracy": _typed(_ACCURACY, accuracy),
         "drifting": "string", "report": "int",
     }
 
@@ -136,6 +150,7 @@ def evidence_items(alerts: DataFrame, deployments: DataFrame, upstream: DataFram
     item_id, item_at, label, feature``.
     """
     forward = C.FORWARD_TOLERANCE_MINUTES * _MINUTE
+    upstream = _with_feature(upstream)
     deployed, started = micros(F.col("deployed_at")), micros(F.col("started_at"))
     ended = F.coalesce(micros(F.col("ended_at")) + C.UPSTREAM_WINDOW_MINUTES * _MINUTE, F.lit(OPEN_END))
     items = interval_blocks(
@@ -392,3 +407,36 @@ def incident_pass(
     attached = assigned.groupBy("opened_by").agg(F.count_if(F.col("decision") == "attached").alias("n_attached"))
     incidents = decided.join(attached, decided["id"] == attached["opened_by"], "left").drop("opened_by")
     return incidents, assigned
+
+
+def incident_rows(opened: DataFrame, as_of) -> DataFrame:
+    """New incidents in the stored schema; the evidence is a JSON document, what no model wrote is null."""
+    none = F.lit(None)
+    evidence = F.to_json(F.struct(
+        "n_deployments", "deployment", "n_upstream", "upstream", "n_reports", "drifting_features", "accuracy",
+        "rule_name", "reasoning_log", "rollback_to",
+    ))
+    resolved = F.when(F.col("status") == "auto_resolved", F.lit(as_of))
+    alert = F.col("id").cast("string")
+    return opened.select(
+        F.concat(F.lit("incident-"), alert).alias("id"), alert.alias("alert_id"), "model_id", "hypothesis", "confidence",
+        evidence.alias("evidence"), "recommended_action", "status", F.lit(as_of).alias("created_at"),
+        resolved.alias("resolved_at"), none.cast("string").alias("llm_explanation"),
+        none.cast("double").alias("llm_confidence"), none.cast("string").alias("llm_suggested_action"),
+    )
+
+
+def attached_alerts(assigned: DataFrame) -> DataFrame:
+    """``incident_id, alert_id`` for every alert that belongs to an incident, old or new, as text."""
+    new = F.concat(F.lit("incident-"), F.col("opened_by").cast("string"))
+    return assigned.select(
+        F.coalesce(F.col("incident_id").cast("string"), new).alias("incident_id"), F.col("id").cast("string").alias("alert_id")
+    )
+
+
+def alerts_after_pass(alerts: DataFrame, assigned: DataFrame) -> DataFrame:
+    """All alerts, those that the pass decided on marked as processed."""
+    handled = assigned.select("id", F.lit(True).alias("_handled"))
+    return alerts.join(handled, "id", "left").withColumn(
+        "processed", F.col("processed") | F.coalesce("_handled", F.lit(False))
+    ).select(*alerts.columns)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from driftlane.operators import incidents as I
 from driftlane.plans.registry import query, stamp
 from driftlane.plans.view_sql import stamp_sql
+from driftlane.session import shared_folder
 from driftlane.sources import driver_tables as T
+from driftlane.sources import files
 
 _EVIDENCE = """
 dep AS (SELECT a.id, count(*) AS n, arg_max(d.version, (d.deployed_at, d.id)) AS version, max(d.deployed_at) AS at
@@ -200,16 +204,94 @@ SELECT d.id, d.model_id, rule_name,
 FROM decided d LEFT JOIN attached a ON a.opened_by = d.id""",
 )
 def incident_pass(spark, sf_dir):
-    incidents, _ = I.incident_pass(
-        T.alerts(spark, sf_dir), _existing(spark, sf_dir), T.deployments(spark, sf_dir),
-        T.upstream_events(spark, sf_dir), T.drift_reports(spark, sf_dir), T.accuracy_reports(spark, sf_dir),
-    )
+    incidents, _ = _pass(spark, sf_dir)
     return incidents.select(
         "id", "model_id", "rule_name", "hypothesis", "confidence", "recommended_action", "status", "rollback_to",
         F.coalesce("n_attached", F.lit(0)).alias("n_attached"),
     )
 
 
+def _pass(spark, sf_dir):
+    return I.incident_pass(
+        T.alerts(spark, sf_dir), _existing(spark, sf_dir), T.deployments(spark, sf_dir),
+        T.upstream_events(spark, sf_dir), T.drift_reports(spark, sf_dir), T.accuracy_reports(spark, sf_dir),
+    )
+
+
+@query(
+    "incident_rows",
+    f"""{_PASS}
+SELECT 'incident-' || d.id AS id, CAST(d.id AS VARCHAR) AS alert_id, d.model_id,
+  CASE WHEN wanted AND target_id IS NOT NULL THEN 'auto_resolved' ELSE 'escalated' END AS status,
+  {stamp_sql("CASE WHEN wanted AND target_id IS NOT NULL THEN TIMESTAMP '2024-01-31' END")} AS resolved_at,
+  CAST(n_reports AS VARCHAR) AS n_reports, rule_name, CAST(NULL AS VARCHAR) AS llm_explanation FROM decided d""",
+)
+def incident_rows(spark, sf_dir):
+    """Stored incidents; of the evidence document two fields are read back."""
+    opened, _ = _pass(spark, sf_dir)
+    rows = I.incident_rows(opened, T.EVENTS_AS_OF)
+    return rows.select(
+        "id", "alert_id", "model_id", "status", stamp("resolved_at").alias("resolved_at"),
+        F.get_json_object("evidence", "$.n_reports").alias("n_reports"),
+        F.get_json_object("evidence", "$.rule_name").alias("rule_name"), "llm_explanation",
+    )
+
+
+@query(
+    "incident_pass_on_stored_tables",
+    f"""{_PASS}
+SELECT 'incident-' || d.id AS id, d.model_id, rule_name, confidence FROM decided d""",
+)
+def incident_pass_on_stored_tables(spark, sf_dir):
+    """The pass over tables that were appended and read back: text ids, parameters as JSON."""
+    root = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    upstream = T.upstream_events(spark, sf_dir)
+    derived = {
+        "alerts": T.alerts(spark, sf_dir).withColumn("details", F.lit("{}")),
+        "incidents": _existing(spark, sf_dir), "deployments": T.deployments(spark, sf_dir),
+        "upstream_events": upstream.withColumn("parameters", F.to_json(F.struct("feature"))),
+        "drift_reports": T.drift_reports(spark, sf_dir), "accuracy_reports": T.accuracy_reports(spark, sf_dir),
+    }
+    stored = {}
+    for name, rows in derived.items():
+        # Numbers become text of equal length, so that ties by id are broken alike.
+        rows = rows.withColumn("id", F.lpad(F.col("id").cast("string"), 20, "0"))
+        kinds = [part.rsplit(" ", 1) for part in files.TABLES[name].split(", ")]
+        files.append_table(
+            rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds]), root, name
+        )
+        stored[name] = files.read_table(spark, root, name).drop("model_name", "dt")
+    opened, _ = I.incident_pass(
+        stored["alerts"], stored["incidents"], stored["deployments"], stored["upstream_events"], stored["drift_reports"],
+        stored["accuracy_reports"],
+    )
+    number = F.regexp_replace(F.regexp_replace("id", "^incident-0*", ""), "^$", "0")
+    return I.incident_rows(opened, T.EVENTS_AS_OF).select(
+        F.concat(F.lit("incident-"), number).alias("id"), "model_id",
+        F.get_json_object("evidence", "$.rule_name").alias("rule_name"), "confidence",
+    )
+
+
+@query(
+    "attached_alerts",
+    f"""WITH {_OLD}
+SELECT coalesce(CAST(incident_id AS VARCHAR), 'incident-' || opened_by) AS incident_id, CAST(id AS VARCHAR) AS alert_id FROM assigned""",
+)
+def attached_alerts(spark, sf_dir):
+    return I.attached_alerts(I.assign_alerts(T.alerts(spark, sf_dir), _existing(spark, sf_dir)))
+
+
+@query(
+    "alerts_after_pass",
+    f"""WITH {_OLD}
+SELECT a.id, a.model_id, a.processed OR s.id IS NOT NULL AS processed FROM alerts a LEFT JOIN assigned s USING (id)""",
+)
+def alerts_after_pass(spark, sf_dir):
+    alerts = T.alerts(spark, sf_dir)
+    handled = I.alerts_after_pass(alerts, I.assign_alerts(alerts, _existing(spark, sf_dir)))
+    return handled.select("id", "model_id", "processed")
+
+
 @query(
     "remediation_decisions",
     f"""

@@ -106,7 +106,7 @@ def hourly_volume(predictions: DataFrame, lateness: str = "10 minutes") -> DataF
 
 # --- alerts -----------------------------------------------------------------------------
 
-_DEDUP_COLUMNS = "model_id string, id bigint, triggered_at timestamp, opens boolean, opened_at timestamp"
+_DEDUP_COLUMNS = "model_id string, id {id}, triggered_at timestamp, opens boolean, opened_at timestamp"
 
 
 class AnchorDedup(StatefulProcessor):
@@ -125,7 +125,8 @@ class AnchorDedup(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         parts = [(pdf["id"].to_numpy(), pdf["at"].to_numpy()) for pdf in rows]
         ids, times = (np.concatenate(column) for column in zip(*parts))
-        order = np.lexsort((ids, times))
+        # Text ids are ranked first: only numbers can be sorted by two keys.
+        order = np.lexsort((np.unique(ids, return_inverse=True)[1], times))
         ids, times = ids[order], times[order]
         stored = self.anchor.get()
         anchors, opened = ([stored[0]] if stored else []), []
@@ -156,7 +157,7 @@ def deduplicate_alerts(alerts: DataFrame, minutes: int = C.DEDUP_MINUTES) -> Dat
     """Which alerts open an incident and which join one. Needs the RocksDB state store."""
     rows = alerts.select("model_id", "id", F.unix_micros("triggered_at").alias("at"))
     return rows.groupBy("model_id").transformWithStateInPandas(
-        statefulProcessor=AnchorDedup(minutes), outputStructType=_DEDUP_COLUMNS, outputMode="Append", timeMode="None"
+        statefulProcessor=AnchorDedup(minutes), outputStructType=_DEDUP_COLUMNS.format(id=dict(alerts.dtypes)["id"]), outputMode="Append", timeMode="None"
     )
 
 
@@ -175,7 +176,8 @@ def continuous_incidents(
         spark = batch.sparkSession
         context = read_context(spark)
         opened, assigned = incidents.incident_pass(
-            batch.withColumn("processed", F.lit(False)), _incidents_before(spark, folder, batch_id), **context
+            batch.withColumn("processed", F.lit(False)),
+            _incidents_before(spark, folder, batch_id, dict(batch.dtypes)["id"]), **context
         )
         opened.withColumn("created_at", F.current_timestamp()).write.mode("overwrite").parquet(
             f"{folder}/incidents/batch={batch_id}"
@@ -185,8 +187,8 @@ def continuous_incidents(
     return alerts.writeStream.foreachBatch(handle)
 
 
-def _incidents_before(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
-    schema = "id bigint, model_id string, created_at timestamp"
+def _incidents_before(spark: SparkSession, folder: str, batch_id: int, id_type: str) -> DataFrame:
+    schema = f"id {id_type}, model_id string, created_at timestamp"
     if batch_id == 0:
         return spark.createDataFrame([], schema)
     return spark.read.schema(f"{schema}, batch bigint").parquet(f"{folder}/incidents").filter(F.col("batch") < batch_id)
