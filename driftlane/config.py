@@ -109,3 +109,12 @@ FRAUD = Tenant(
     },
     labels=("Legitimate", "Fraud"),
 )
+
+# The opening words of each cause, by which readers recognise it, and the truncation mark.
+BAD_DEPLOYMENT = "Bad deployment"
+UPSTREAM_FAILURE = "Upstream data pipeline failure"
+SINGLE_DRIFT = "Isolated single-feature input drift"
+BROAD_DRIFT = "Broad concept drift"
+UNCLEAR_CAUSE = "Unclear root cause"
+ROLLBACK_IMPOSSIBLE = "Rollback impossible"
+TRUNCATED = "(truncated)"

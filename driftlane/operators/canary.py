@@ -22,8 +22,8 @@ def metric_gate(candidates: DataFrame, baselines: DataFrame, as_of: datetime, ma
     required = F.col("baseline_f1") + F.lit(margin)
     passed = F.col("f1") >= required
     reason = F.format_string(
-        "Candidate F1 (%.4f) failed Metric Gate against baseline F1 (%.4f) + required margin (%.4f). Required: >=%.4f.",
-        F.col("f1"), F.col("baseline_f1"), F.lit(margin), required,
+        "F1 of %.4f is below %.4f, which is the serving model's %.4f plus %.4f.",
+        F.col("f1"), required, F.col("baseline_f1"), F.lit(margin),
     )
     return joined.select(
         F.concat_ws(":", "model_name", "version").alias("model_id"),

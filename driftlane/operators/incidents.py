@@ -198,32 +198,28 @@ def _rule_table() -> list[tuple[Column, dict[str, Column]]]:
         (
             (F.col("n_deployments") > 0) & (drop | F.col("prediction_drift")),
             outcome("bad_deploy", 0.90, "rollback", F.format_string(
-                "Bad deployment: Model version '%s' caused performance degradation/prediction drift "
-                "shortly after deployment.", version)),
+                f"{C.BAD_DEPLOYMENT}: scores or predictions got worse right after version %s went live.", version)),
         ),
         (
             F.col("n_upstream") > 0,
             outcome("upstream_data_issue", 0.85, "fix_upstream_data", F.format_string(
-                "Upstream data pipeline failure / data corruption: Active injection '%s' detected on feature '%s'.",
+                f"{C.UPSTREAM_FAILURE}: event %s was under way and touches feature %s.",
                 event, F.coalesce(feature, F.lit("unknown")))),
         ),
         (
             (count == 1) & ~drop,
             outcome("single_feature_drift", 0.65, "monitor", F.format_string(
-                "Isolated single-feature input drift on '%s': Distribution shifted but no model accuracy impact "
-                "confirmed yet.", F.get(features, F.lit(0)))),
+                f"{C.SINGLE_DRIFT}: only %s has moved, and no drop in accuracy goes with it so far.", F.get(features, F.lit(0)))),
         ),
         (
             (count >= 2) & (drop | F.col("accuracy").isNotNull()),
             outcome("broad_concept_drift", 0.70, "retrain", F.format_string(
-                "Broad concept drift: Widespread feature drift across %d features (%s) with confirmed accuracy "
-                "impact.", count, F.array_join(features, ", "))),
+                f"{C.BROAD_DRIFT}: %d features have moved (%s), and accuracy was measured or has dropped.", count, F.array_join(features, ", "))),
         ),
         (
             F.lit(True),
             outcome("unclear_cause", 0.20, "escalate", F.lit(
-                "Unclear root cause: Alert triggered without an obvious recent deployment, upstream injection, "
-                "or isolated feature drift pattern.")),
+                f"{C.UNCLEAR_CAUSE}: no deployment, upstream event or drift pattern fits this alert.")),
         ),
     ]
 
@@ -290,14 +286,14 @@ def shorten_evidence(diagnosed: DataFrame, steps: int = 5, features: int = 10) -
     return diagnosed.withColumn(
         "reasoning_log", F.slice("reasoning_log", F.greatest(F.size("reasoning_log") - (steps - 1), F.lit(1)), F.lit(steps))
     ).withColumn(
-        "note", F.when(count > features, F.format_string("Truncated %d additional features", count - features))
+        "note", F.when(count > features, F.format_string("%d more features left out", count - features))
     ).withColumn("drifting_features", F.slice("drifting_features", 1, features))
 
 
 def shorten_items(items: DataFrame, keep: int = 5, width: int = 200) -> DataFrame:
     """The newest few items per alert and kind, long labels cut with a mark."""
     newest = Window.partitionBy("alert_id", "kind").orderBy(F.desc("item_at"), F.desc("item_id"))
-    cut = F.when(F.length("label") > width, F.concat(F.substring("label", 1, width), F.lit("… (truncated)")))
+    cut = F.when(F.length("label") > width, F.concat(F.substring("label", 1, width), F.lit(f"… {C.TRUNCATED}")))
     return (
         items.withColumn("_r", F.row_number().over(newest))
         .filter(F.col("_r") <= keep)
@@ -382,7 +378,7 @@ def remediate(diagnosed: DataFrame, targets: DataFrame, threshold: float = C.AUT
     return joined.select(
         *[c for c in diagnosed.columns if c not in ("hypothesis", "confidence", "recommended_action")],
         F.when(
-            stuck, F.concat("hypothesis", F.lit(" (Rollback impossible: No prior deployment version available)"))
+            stuck, F.concat("hypothesis", F.lit(f" ({C.ROLLBACK_IMPOSSIBLE}: there is no other version to go back to)"))
         ).otherwise(F.col("hypothesis")).alias("hypothesis"),
         F.when(stuck, 0.20).otherwise(F.col("confidence")).alias("confidence"),
         F.when(stuck, "escalate").otherwise(F.col("recommended_action")).alias("recommended_action"),

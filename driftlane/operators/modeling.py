@@ -155,7 +155,7 @@ def retrain(
     rows = _stored(labelled_rows, tenant)
     count = rows.count()
     if count < minimum:
-        reason = f"Insufficient labeled samples (N={count} < {minimum}) — skipping retraining."
+        reason = f"{count} labelled rows, {minimum} are needed."
         row = labelled_rows.sparkSession.range(1).select(
             F.lit(tenant.name).alias("model_name"), F.lit("skipped").alias("status"),
             F.lit(reason).alias("rejection_reason"), F.lit(count).cast("bigint").alias("n_samples"),

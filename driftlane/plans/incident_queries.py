@@ -45,15 +45,14 @@ diagnosed AS (SELECT *,
   CAST([0.90, 0.85, 0.65, 0.70, 0.20][rule] AS DOUBLE) AS confidence,
   ['rollback', 'fix_upstream_data', 'monitor', 'retrain', 'escalate'][rule] AS recommended_action,
   CASE rule
-   WHEN 1 THEN 'Bad deployment: Model version ''' || version ||
-        ''' caused performance degradation/prediction drift shortly after deployment.'
-   WHEN 2 THEN 'Upstream data pipeline failure / data corruption: Active injection ''' || event_type ||
-        ''' detected on feature ''' || coalesce(feature, 'unknown') || '''.'
-   WHEN 3 THEN 'Isolated single-feature input drift on ''' || features[1] ||
-        ''': Distribution shifted but no model accuracy impact confirmed yet.'
-   WHEN 4 THEN 'Broad concept drift: Widespread feature drift across ' || k || ' features (' ||
-        array_to_string(features, ', ') || ') with confirmed accuracy impact.'
-   ELSE 'Unclear root cause: Alert triggered without an obvious recent deployment, upstream injection, or isolated feature drift pattern.'
+   WHEN 1 THEN 'Bad deployment: scores or predictions got worse right after version ' || version || ' went live.'
+   WHEN 2 THEN 'Upstream data pipeline failure: event ' || event_type || ' was under way and touches feature ' ||
+        coalesce(feature, 'unknown') || '.'
+   WHEN 3 THEN 'Isolated single-feature input drift: only ' || features[1] ||
+        ' has moved, and no drop in accuracy goes with it so far.'
+   WHEN 4 THEN 'Broad concept drift: ' || k || ' features have moved (' || array_to_string(features, ', ') ||
+        '), and accuracy was measured or has dropped.'
+   ELSE 'Unclear root cause: no deployment, upstream event or drift pattern fits this alert.'
   END AS hypothesis FROM ruled)"""
 
 _LOG = f"""
@@ -151,7 +150,7 @@ def reasoning_log(spark, sf_dir):
     "shortened_evidence",
     f"""WITH {_EVIDENCE},{_LOG}
 SELECT id, array_to_string(steps[2:6], ' | ') AS reasoning, array_to_string(features[1:3], ',') AS drifting_features,
-       CASE WHEN k > 3 THEN 'Truncated ' || (k - 3) || ' additional features' END AS note FROM logged""",
+       CASE WHEN k > 3 THEN (k - 3) || ' more features left out' END AS note FROM logged""",
 )
 def shortened_evidence(spark, sf_dir):
     short = I.shorten_evidence(I.reasoning_log(I.diagnose(_evidence(spark, sf_dir))), features=3)
@@ -195,7 +194,7 @@ attached AS (SELECT opened_by, count(*) FILTER (decision = 'attached') AS n FROM
     f"""{_PASS}
 SELECT d.id, d.model_id, rule_name,
   hypothesis || CASE WHEN wanted AND target_id IS NULL
-    THEN ' (Rollback impossible: No prior deployment version available)' ELSE '' END AS hypothesis,
+    THEN ' (Rollback impossible: there is no other version to go back to)' ELSE '' END AS hypothesis,
   CASE WHEN wanted AND target_id IS NULL THEN 0.2::DOUBLE ELSE confidence END AS confidence,
   CASE WHEN wanted AND target_id IS NULL THEN 'escalate' ELSE recommended_action END AS recommended_action,
   CASE WHEN wanted AND target_id IS NOT NULL THEN 'auto_resolved' ELSE 'escalated' END AS status,

@@ -256,8 +256,8 @@ def next_versions(spark, sf_dir):
                CASE WHEN candidate_f1 >= baseline_f1 + 0.01::DOUBLE THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END
                  AS traffic_percentage,
                CASE WHEN NOT candidate_f1 >= baseline_f1 + 0.01::DOUBLE THEN
-                 printf('Candidate F1 (%.4f) failed Metric Gate against baseline F1 (%.4f) + required margin (0.0100). Required: >=%.4f.',
-                        candidate_f1, baseline_f1, baseline_f1 + 0.01::DOUBLE) END AS rejection_reason FROM gate""",
+                 printf('F1 of %.4f is below %.4f, which is the serving model''s %.4f plus 0.0100.',
+                        candidate_f1, baseline_f1 + 0.01::DOUBLE, baseline_f1) END AS rejection_reason FROM gate""",
     ),
 )
 def metric_gate(spark, sf_dir):

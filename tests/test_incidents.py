@@ -125,7 +125,7 @@ def test_shortening(spark):
         "id int, drifting_features array<string>, drifting_count int, reasoning_log array<string>",
     )
     row = I.shorten_evidence(df).first()
-    assert row.drifting_features == names[:10] and row.note == "Truncated 10 additional features"
+    assert row.drifting_features == names[:10] and row.note == "10 more features left out"
     assert row.reasoning_log == [f"Step {i}" for i in range(15, 20)]
     items = spark.createDataFrame(
         [(1, "upstream", i, ago(minutes=i), "x" * 500, None) for i in range(10)],

@@ -56,6 +56,6 @@ def test_train_and_retrain(spark, rows):
     assert (row.status, row.model_id, row.traffic_percentage) == ("canary", "toy:v2", 10.0) and candidate is not None
     rejected, _ = modeling.retrain(rows, TENANT, candidate, "v3", NOW)
     row = rejected.first()
-    assert row.status == "rejected" and "failed Metric Gate" in row.rejection_reason
+    assert row.status == "rejected" and "is below" in row.rejection_reason
     skipped, nothing = modeling.retrain(rows.limit(99), TENANT, None, "v2", NOW)
     assert skipped.first().status == "skipped" and nothing is None
