@@ -27,7 +27,7 @@ BANDS = [
     cells for i in range(SIDE) for half in (range(3), range(3, 6))
     for cells in (tuple(SIDE * i + j for j in half), tuple(SIDE * j + i for j in half))
 ]
-#: Members of a bucket that all others are compared with.
+#: Members of a bucket that the others are compared with.
 LEADERS = 3
 #: Sketches that candidates must share at least; at the similarity asked for it is more, all but surely.
 AGREEING = 10
@@ -85,22 +85,33 @@ def _verified(size: int, least: float):
     return pairs
 
 
-def _pairs(members: DataFrame) -> DataFrame:
-    """Members of a bucket with its leaders, ``a < b``: a fixed number of rows per member, however large the bucket.
+def _pairs(members: DataFrame, leaders: int, own_of_bucket: bool) -> DataFrame:
+    """Members of a bucket with its leaders if they aren't connected yet, ``a < b``.
 
-    Leaders have the least of some hashes of (bucket, node), so that buckets of the
-    same members have different ones.
+    ``members`` has ``bucket, node, label``. A fixed number of rows per member, however
+    large the bucket. Leaders have the least hash of the node, the same in all buckets
+    of a group, or of (bucket, node), so that buckets of the same members differ.
     """
-    marks = {f"m{i}": F.xxhash64("bucket", "node", F.lit(i)) for i in range(LEADERS)}
+    marks = {
+        f"m{i}": F.xxhash64("bucket", "node", F.lit(i)) if own_of_bucket else F.xxhash64("node", F.lit(i))
+        for i in range(leaders)
+    }
     marked = members.withColumns(marks)
-    least = marked.groupBy("bucket").agg(F.count("*").alias("n"), *[F.min(m).alias(f"least_{m}") for m in marks])
-    shared = materialise(marked.join(least.where("n > 1"), "bucket"))
+    least = materialise(marked.groupBy("bucket").agg(
+        F.count("*").alias("n"), *[F.min(m).alias(f"least_{m}") for m in marks]
+    ).where("n > 1").drop("n"))
+    shared = materialise(marked.join(least, "bucket"))
     lead = None
     for m in marks:
         lead = F.col(m) == F.col(f"least_{m}") if lead is None else lead | (F.col(m) == F.col(f"least_{m}"))
-    leaders = shared.where(lead).select("bucket", F.col("node").alias("leader"))
-    met = shared.select("bucket", "node").join(leaders, "bucket").where(F.col("node") != F.col("leader"))
-    return met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    chosen = shared.where(lead).select(
+        "bucket", F.col("node").alias("leader"), F.col("label").alias("leader_label")
+    )
+    one, other = shared.select("bucket", "node", "label").alias("s"), chosen.alias("c")
+    apart = (F.col("s.bucket") == F.col("c.bucket")) & (F.col("s.label") != F.col("c.leader_label"))
+    return one.join(other, apart).select(
+        F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")
+    ).distinct()
 
 
 def _agreement(one: str, other: str) -> Column:
@@ -143,12 +154,12 @@ def components(edges: DataFrame) -> DataFrame:
     return current.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots.withColumn("label", F.col("node")))
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose nodes aren't connected yet."""
-    of_a = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
-    of_b = labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
-    joined = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
-    return joined.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select(pairs.columns)
+def _open(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold several classes."""
+    several = members.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("other")).where(
+        F.col("one") != F.col("other")
+    )
+    return members.join(materialise(several.select("bucket")), "bucket", "left_semi")
 
 
 class _Search:
@@ -159,35 +170,48 @@ class _Search:
         self.tested: DataFrame | None = None
         self.labels: DataFrame | None = None
 
-    def verify(self, pairs: DataFrame) -> None:
-        """Align the pairs' texts and connect those that are similar enough."""
-        at = self.nodes.select("node", "id", "th")
-        wanted = pairs.join(at.withColumnRenamed("node", "a"), "a")
-        texts = wanted.join(self.rows, ["id", "th"]).select("a", "b", "text")
-        others = at.select(F.col("node").alias("b"), F.col("id").alias("id"), F.col("th").alias("th"))
-        placed = texts.join(others, "b").join(self.rows.withColumnRenamed("text", "other_text"), ["id", "th"])
-        scored = placed.select("a", "b", "text", "other_text").mapInArrow(
-            _verified(self.size, self.least), "a binary, b binary, similarity double"
-        )
-        scored = materialise(scored.dropDuplicates(["a", "b"]))
-        self.tested = scored if self.tested is None else self.tested.unionByName(scored)
-        self.labels = materialise(components(self.links().select("a", "b")))
+    def labelled(self, members: DataFrame) -> DataFrame:
+        """With the label of each node's class so far; at first a node is its own."""
+        if self.labels is None:
+            return members.withColumn("label", F.col("node"))
+        return members.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
     def links(self) -> DataFrame:
         return self.tested.where(F.col("similarity") >= self.least)
 
     def examine(self, pairs: DataFrame) -> None:
-        """Of each text the most agreeing candidate first; then what still joins different classes."""
-        pairs = materialise(_with_agreement(pairs, self.nodes))
-        sides = pairs.select(F.col("a").alias("node"), "a", "b", "agreeing").unionByName(
-            pairs.select(F.col("b").alias("node"), "a", "b", "agreeing")
+        """Align the texts of candidates that agree enough, and connect those that are similar enough."""
+        pairs = _with_agreement(pairs, self.nodes).select("a", "b")
+        if self.tested is not None:
+            pairs = pairs.join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = materialise(pairs)
+        if pairs.isEmpty():
+            self.tested = self.tested if self.tested is not None else materialise(pairs.withColumn("similarity", F.lit(0.0)))
+            self.labels = self.labels if self.labels is not None else materialise(pairs.select(F.col("a").alias("node"), F.col("b").alias("label")))
+            return
+        at = self.nodes.select("node", "id", "th")
+        texts = pairs.join(at.withColumnRenamed("node", "a"), "a").join(self.rows, ["id", "th"]).select("a", "b", "text")
+        placed = texts.join(at.withColumnRenamed("node", "b"), "b").join(
+            self.rows.withColumnRenamed("text", "other_text"), ["id", "th"]
         )
+        scored = materialise(placed.select("a", "b", "text", "other_text").mapInArrow(
+            _verified(self.size, self.least), "a binary, b binary, similarity double"
+        ).dropDuplicates(["a", "b"]))
+        found = scored.where(F.col("similarity") >= self.least).select("a", "b")
         if self.labels is None:
-            # The node's least hash among the most agreeing ones, so that choices differ.
-            best = sides.groupBy("node").agg(F.max(F.struct("agreeing", F.xxhash64("a", "b").alias("x"), "a", "b")).alias("best"))
-            self.verify(materialise(best.select("best.a", "best.b").distinct()))
-        rest = _across(pairs.select("a", "b"), self.labels).join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
-        self.verify(materialise(rest))
+            self.tested, self.labels = scored, materialise(components(found))
+            return
+        # Later links connect whole classes: only their labels take part.
+        ends = found.withColumn("pair", F.struct("a", "b")).select("pair", F.explode(F.array("a", "b")).alias("node"))
+        joined = self.labelled(ends).groupBy("pair").agg(F.min("label").alias("a"), F.max("label").alias("b"))
+        merged = materialise(components(joined.select("a", "b")))
+        nodes = self.labels.unionByName(found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(
+            self.labels, "node", "left_anti").withColumn("label", F.col("node")))
+        renamed = merged.select(F.col("node").alias("label"), F.col("label").alias("new_label"))
+        self.labels = materialise(nodes.join(renamed, "label", "left").select(
+            "node", F.coalesce("new_label", "label").alias("label")
+        ))
+        self.tested = self.tested.unionByName(scored)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_column: str = "doc_id") -> DataFrame:
@@ -220,16 +244,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_colum
     members = filled.select("node", F.explode(F.array(*[
         F.xxhash64(F.lit(number), *[F.get("sketch", F.lit(c)) for c in cells]) for number, cells in enumerate(BANDS)
     ])).alias("bucket"))
-    search.examine(_pairs(members))
-    # Buckets whose members aren't all connected are split by further sketches and looked at again.
-    labelled = members.join(search.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_buckets = labelled.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.min("label").alias("one"), F.max("label").alias("other")
-    ).where((F.col("n") > 2) & (F.col("one") != F.col("other"))).select("bucket")
-    again = members.join(open_buckets, "bucket", "left_semi").join(filled.select("node", "sketch"), "node").select(
-        "node", F.explode(F.array(*[F.xxhash64("bucket", F.lit(j), F.get("sketch", F.lit(j))) for j in DEEPER])).alias("bucket")
+    members = materialise(members)
+    # One leader first: in a group of copies it is the same one in nearly all buckets.
+    search.examine(_pairs(search.labelled(members), 1, own_of_bucket=False))
+    # Then three of each bucket's own, for members that aren't connected with them.
+    search.examine(_pairs(_open(search.labelled(members)), LEADERS, own_of_bucket=True))
+    # Buckets whose members still aren't all connected are split by further sketches.
+    again = _open(search.labelled(members)).join(filled.select("node", "sketch"), "node").select(
+        "node", "label", F.explode(F.array(*[F.xxhash64("bucket", F.lit(j), F.get("sketch", F.lit(j))) for j in DEEPER])).alias("bucket")
     )
-    search.examine(_pairs(again))
+    search.examine(_pairs(again, LEADERS, own_of_bucket=True))
 
     links = search.links()
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(

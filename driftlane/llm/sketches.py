@@ -103,8 +103,12 @@ def shared_in_order(a: np.ndarray, b: np.ndarray, least: float) -> float:
     band = int((n + m) * (1 - least) / (1 + least) + 1e-9)
     differ: dict[int, np.ndarray] = {}
 
+    ones, others = a.tolist(), b.tolist()
+
     def slide(k: int, x: int) -> int:
         """From (x, x - k) along equal shingles to the next difference."""
+        if x >= n or x - k >= m or ones[x] != others[x - k]:
+            return x
         found = differ.get(k)
         if found is None:
             low, high = max(0, k), min(n, m + k)
