@@ -34,7 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # One row per id that stays; several only where an id is given to different texts.
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(
         F.coalesce("doc_id", lowest).alias("kept_id")
-    ).agg(F.count("*").alias("n_rows"))
+    ).agg(F.count("*").alias("n_rows")).hint("merge")
     found = docs.withColumn("kept_id", F.coalesce("doc_id", lowest)).join(kept, "kept_id")
     single = found.where("n_rows = 1").select(docs.columns)
     # Repeated rows of an id: equal texts once.
@@ -45,7 +45,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item stay."""
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.where("contaminated").select(F.col("key").alias("hit_key")).distinct()
+    # What is dropped grows with the corpus: always merged, never broadcast.
+    hit = found.where("contaminated").select(F.col("key").alias("hit_key")).distinct().hint("merge")
     return docs.join(hit, row_key(F.col("doc_id"), F.col("text")) == F.col("hit_key"), "left_anti")
 
 

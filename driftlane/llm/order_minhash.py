@@ -190,8 +190,10 @@ class _Search:
             self.labels = self.labels if self.labels is not None else materialise(pairs.select(F.col("a").alias("node"), F.col("b").alias("label")))
             return
         at = self.nodes.select("node", "id", "th")
-        texts = pairs.join(at.withColumnRenamed("node", "a"), "a").join(self.rows, ["id", "th"]).select("a", "b", "text")
-        placed = texts.join(at.withColumnRenamed("node", "b"), "b").join(
+        # Candidates grow with the corpus: always merged with the texts, never broadcast.
+        wanted = pairs.join(at.withColumnRenamed("node", "a"), "a").hint("merge")
+        texts = wanted.join(self.rows, ["id", "th"]).select("a", "b", "text")
+        placed = texts.join(at.withColumnRenamed("node", "b"), "b").hint("merge").join(
             self.rows.withColumnRenamed("text", "other_text"), ["id", "th"]
         )
         scored = materialise(placed.select("a", "b", "text", "other_text").mapInArrow(
