@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # Cells per halving of the distance to 0 or to 1, coarse and fine.
 _SCORE_CELLS = (1 << 4, 1 << 20)
+COUNTS = ("pos", "neg", "tp", "fp")
 
 
 def _stretched(score: Column) -> Column:
@@ -37,12 +38,16 @@ def classification_metrics(
     within one of those; so no window ever holds a whole group. Cells get narrower
     towards 0 and 1. Scores lie in [0, 1]. A group with a single class has AUC 0.5.
     """
-    keys = list(keys)
-    predicted, actual = F.col(prediction), F.col(label)
-    coarse, fine = (F.floor(_stretched(F.col("_s")) * cells) for cells in _SCORE_CELLS)
-    totals = ("pos", "neg", "tp", "fp")
-    level = (
-        scored.select(*keys, predicted.alias("_p"), actual.alias("_y"), F.col(score).alias("_s"))
+    return metrics_of_counts(score_counts(scored, keys, prediction, score, label), keys)
+
+
+def score_counts(
+    scored: DataFrame, keys: Sequence[str], prediction: str = "prediction", score: str = "confidence",
+    label: str = "true_label",
+) -> DataFrame:
+    """``keys, _s, pos, neg, tp, fp``: one row per group and distinct score; such counts can be added up."""
+    return (
+        scored.select(*keys, F.col(prediction).alias("_p"), F.col(label).alias("_y"), F.col(score).alias("_s"))
         .groupBy(*keys, "_s")
         .agg(
             F.count_if("_y").alias("pos"),
@@ -50,6 +55,16 @@ def classification_metrics(
             F.count_if(F.col("_p") & F.col("_y")).alias("tp"),
             F.count_if(F.col("_p") & ~F.col("_y")).alias("fp"),
         )
+    )
+
+
+def metrics_of_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The metrics of each group from its counts per distinct score."""
+    keys = list(keys)
+    coarse, fine = (F.floor(_stretched(F.col("_s")) * cells) for cells in _SCORE_CELLS)
+    totals = COUNTS
+    level = (
+        counts
         .withColumn("_coarse", coarse)
         .withColumn("_fine", fine)
         .withColumn("_area", F.col("pos") * F.col("neg") / 2.0)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlane import config as C
 from driftlane.functions.ids import model_name
-from driftlane.functions.metrics import classification_metrics
+from driftlane.functions.metrics import COUNTS, classification_metrics, metrics_of_counts, score_counts
 from driftlane.functions.ranks import exact_quantiles
 from driftlane.session import materialise
 
@@ -59,15 +60,23 @@ def sliding_accuracy(
     slide: str = "6 hours",
     minimum: int = C.MIN_ACCURACY_SAMPLES,
 ) -> DataFrame:
-    """The same report for every window of a sliding schedule, in one job."""
+    """The same report for every window of a sliding schedule, in one job.
+
+    If windows are whole numbers of slides, rows are counted per slide and score first,
+    and the counts, not the rows, are repeated for the windows that a slide is in.
+    """
     joined = labelled(
         predictions.select("id", "model_id", "prediction", "confidence", "created_at"),
         outcomes.select("prediction_id", "true_label"),
     )
-    windowed = joined.withColumn("_w", F.window("created_at", window, slide)).withColumn(
+    whole = pd.Timedelta(window) % pd.Timedelta(slide) == pd.Timedelta(0)
+    pane = F.window("created_at", slide)["start"] if whole else F.col("created_at")
+    counts = score_counts(joined.withColumn("pane", pane), ["model_id", "pane"])
+    windowed = counts.withColumn("_w", F.window("pane", window, slide)).withColumn(
         "window_start", F.col("_w")["start"]
     ).withColumn("window_end", F.col("_w")["end"])
-    metrics = classification_metrics(windowed, ["model_id", "window_start", "window_end"])
+    keys = ["model_id", "window_start", "window_end"]
+    metrics = metrics_of_counts(windowed.groupBy(*keys, "_s").agg(*[F.sum(c).alias(c) for c in COUNTS]), keys)
     return metrics.filter(F.col("n_samples") >= minimum).select(
         "model_id", "window_start", "window_end", "n_samples", *[F.round(m, 4).alias(m) for m in _METRICS]
     )
