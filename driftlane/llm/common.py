@@ -40,3 +40,12 @@ def word_count(text: Column) -> Column:
 def row_key(id_column: Column, text: Column) -> Column:
     """Same id and same text, same key: repeated rows share it, and so share their result."""
     return F.concat_ws(":", id_column.cast("string"), F.hex(F.xxhash64(text)), F.hex(F.xxhash64(text, F.lit(1))))
+
+
+def one_per_key(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows, without repeated keys if there are any, so that a join by the keys doesn't multiply.
+
+    Where all keys are different, as ids are made to be, texts needn't be moved for it.
+    """
+    repeated = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    return rows if repeated.isEmpty() else rows.dropDuplicates(list(keys))

@@ -62,8 +62,8 @@ def fair_queue(
 
     ``slots`` has ``(round, finish, words)`` for each copy that the mix takes; the copy
     that the budget ends in is taken in part, so a source takes its target to the word.
-    ``taken`` is their sum. Documents are shuffled by a digest of their id, so reruns
-    agree. Positions in a queue come from word sums per 4096th of the shuffled order
+    ``taken`` is their sum. Documents are shuffled by a digest of their id and size, so
+    reruns agree. Positions in a queue come from word sums per 4096th of the shuffled order
     and a window inside each, so that no task holds a whole source.
 
     Null text has no words, a null source is a source of its own and comes last, null
@@ -71,13 +71,14 @@ def fair_queue(
     words take nothing. An empty table gives an empty result.
     """
     source = F.col("source")
-    shuffled = F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")))
-    sizes = materialise(docs.select(
+    # With the size, so that rows without an id are spread as well.
+    shuffled = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("size").cast("string")))
+    sized = docs.select(
         F.col(id_column).alias("doc_id"), *[F.col(c) for c in keep if c != id_column],
         F.when(source.isNull(), F.lit("z")).otherwise(F.concat(F.lit("s"), source)).alias("source_key"),
-        size_of(F.col("text")).alias("size"), shuffled.alias("place"),
-        F.substring(shuffled, 1, BIN_DIGITS).alias("bin"),
-    ))
+        size_of(F.col("text")).alias("size"),
+    )
+    sizes = materialise(sized.withColumn("place", shuffled).withColumn("bin", F.substring("place", 1, BIN_DIGITS)))
     targets = source_targets(sizes, weights, share, repeats)
     bins = sizes.groupBy("source_key", "bin").agg(F.sum("size").alias("in_bin"))
     ahead = Window.partitionBy("source_key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)

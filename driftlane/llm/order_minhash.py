@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlane.llm import sketches
+from driftlane.llm.common import one_per_key
 from driftlane.llm.suffixes import CHUNK
 from driftlane.session import materialise
 
@@ -241,7 +242,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_colum
     ).select("node", "head.*")
     nodes = materialise(nodes)
     own = rows.select(F.coalesce("doc_id", lowest).alias("id"), "th", "text")
-    search = _Search(own, nodes, size, least)
+    search = _Search(one_per_key(own, "id", "th"), nodes, size, least)
     filled = nodes.where(F.size("sketch") > 0)
     members = filled.select("node", F.explode(F.array(*[
         F.xxhash64(F.lit(number), *[F.get("sketch", F.lit(c)) for c in cells]) for number, cells in enumerate(BANDS)

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlane.llm import suffixes
+from driftlane.llm.common import one_per_key
 from driftlane.session import materialise
 
 #: Different runs of one anchor that a task gathers; beyond it windows are counted instead.
@@ -179,9 +180,10 @@ def repeated_spans(docs: DataFrame, window: int, keep: str, id_column: str) -> D
         kinds = kinds.where("rarest = 1")
     compared = materialise(contents.join(kinds, "gram").select("gram", "run", "at.*", "n_runs"))
 
-    matches = _bucket_matches(rows, compared.where(F.col("n_runs") <= BUCKET), window)
+    single = one_per_key(rows, "id", "th")
+    matches = _bucket_matches(single, compared.where(F.col("n_runs") <= BUCKET), window)
     if compared.where(F.col("n_runs") > BUCKET).limit(1).count():
-        matches = matches.unionByName(_counted_matches(rows, compared.where(F.col("n_runs") > BUCKET), window))
+        matches = matches.unionByName(_counted_matches(single, compared.where(F.col("n_runs") > BUCKET), window))
     whole = contents.where("n > 1").select(
         "gram", "run", F.lit(0).alias("low"), (F.col("at.last") - F.col("at.first")).alias("high"),
         F.lit(False).alias("earlier"), F.struct("at.id", "at.th", "at.first").alias("kept"),

@@ -16,7 +16,7 @@ from driftlane.llm.registry import query
 _MIX_SQL = r"""
 WITH sizes AS (
   SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint AS size,
-    CASE WHEN source IS NULL THEN 'z' ELSE 's' || source END AS k, md5(coalesce(doc_id::varchar, '')) AS place
+    CASE WHEN source IS NULL THEN 'z' ELSE 's' || source END AS k
   FROM documents
 ), per AS (SELECT k, sum(size)::bigint AS s FROM sizes GROUP BY k),
 weighted AS (
@@ -33,7 +33,7 @@ targets AS (
   FROM levels l, reached r
 ), placed AS (
   SELECT doc_id, k, size,
-    (sum(size) OVER (PARTITION BY k ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::bigint - size AS start
+    (sum(size) OVER (PARTITION BY k ORDER BY md5(coalesce(doc_id::varchar, '') || ':' || size), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::bigint - size AS start
   FROM sizes
 )
 SELECT doc_id, size, s AS source_size, target,

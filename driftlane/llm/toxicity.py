@@ -13,6 +13,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ PREFIXES = (4, 5, 6)
 MANY = 60
 _WORDS = re.compile(WORD)
 _LOWERED = str.maketrans(UPPER, LOWER)
-#: Words whose terms a worker remembers.
+#: Words, and beginnings of words, whose terms a worker remembers.
 REMEMBERED = 200_000
 
 
@@ -66,10 +67,14 @@ def _hashed(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
+@lru_cache(maxsize=REMEMBERED)
+def _family(start: str) -> tuple[int, ...]:
+    return tuple(_hashed(f"{mark}{start}") for mark in ("^", "2^", "4^", "%^"))
+
+
 def word_terms(word: str) -> tuple[int, list[tuple[int, ...]]]:
     """The word's term, and for each of its beginnings the terms of one, two, four and relatively many words with it."""
-    starts = [word[:n] for n in PREFIXES if len(word) > n]
-    return _hashed(word), [tuple(_hashed(f"{mark}{s}") for mark in ("^", "2^", "4^", "%^")) for s in starts]
+    return _hashed(word), [_family(word[:n]) for n in PREFIXES if len(word) > n]
 
 
 def text_terms(words: set[str]) -> set[int]:
