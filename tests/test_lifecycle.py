@@ -62,7 +62,7 @@ def test_metric_gate(spark):
     rows = {r.model_name: r for r in canary.metric_gate(candidates, base, NOW).collect()}
     assert (rows["up"].status, rows["up"].traffic_percentage, rows["up"].model_id) == ("canary", 10.0, "up:v2")
     assert rows["same"].status == "rejected" and rows["same"].traffic_percentage == 0.0
-    assert "Required: >=0.8100" in rows["same"].rejection_reason
+    assert "below 0.8100" in rows["same"].rejection_reason
     assert rows["edge"].status == "rejected" and rows["new"].status == "canary"
 
 
