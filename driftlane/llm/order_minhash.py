@@ -3,7 +3,7 @@
 A sketch takes the two least shingles of a text by a random order, repeats told apart
 by their number, and keeps which came first; so it is sensitive to order, as edits are,
 where a plain minimum isn't. Texts that agree in three sketches of a band become
-candidates of a few leaders of their bucket, not of each other, and candidates are
+candidates of the leader of their bucket, not of each other, and candidates are
 verified by banded alignment. Linked texts form classes.
 """
 
@@ -28,12 +28,12 @@ BANDS = [
     cells for i in range(SIDE) for half in (range(3), range(3, 6))
     for cells in (tuple(SIDE * i + j for j in half), tuple(SIDE * j + i for j in half))
 ]
-#: Members of a bucket that the others are compared with.
-LEADERS = 3
+#: Rounds in which a bucket that isn't all connected gets a leader of its own.
+ROUNDS = 2
 #: Sketches that candidates must share at least; at the similarity asked for it is more, all but surely.
 AGREEING = 10
 #: Sketches that split a bucket with unlinked members further.
-DEEPER = tuple(range(0, COUNT, 5))
+DEEPER = tuple(range(0, COUNT, 12))
 
 _SKETCHED = "doc_id bigint, th bigint, node binary, sketch array<bigint>"
 
@@ -86,26 +86,20 @@ def _verified(size: int, least: float):
     return pairs
 
 
-def _pairs(members: DataFrame, leaders: int, own_of_bucket: bool) -> DataFrame:
-    """Members of a bucket with its leaders if they aren't connected yet, ``a < b``.
+def _pairs(members: DataFrame, seed: int, own_of_bucket: bool) -> DataFrame:
+    """Members of a bucket with its leader if they aren't connected yet, ``a < b``.
 
-    ``members`` has ``bucket, node, label``. A fixed number of rows per member, however
-    large the bucket. Leaders have the least hash of the node, the same in all buckets
-    of a group, or of (bucket, node), so that buckets of the same members differ.
+    ``members`` has ``bucket, node, label``. One row per member at most, however large
+    the bucket. The leader has the least hash of the node, the same in all buckets of a
+    group, or of (bucket, node), so that buckets of the same members have different ones.
     """
-    marks = {
-        f"m{i}": F.xxhash64("bucket", "node", F.lit(i)) if own_of_bucket else F.xxhash64("node", F.lit(i))
-        for i in range(leaders)
-    }
-    marked = members.withColumns(marks)
-    least = materialise(marked.groupBy("bucket").agg(
-        F.count("*").alias("n"), *[F.min(m).alias(f"least_{m}") for m in marks]
-    ).where("n > 1").drop("n"))
+    mark = F.xxhash64("bucket", "node", F.lit(seed)) if own_of_bucket else F.xxhash64("node", F.lit(seed))
+    marked = members.withColumn("mark", mark)
+    least = materialise(
+        marked.groupBy("bucket").agg(F.count("*").alias("n"), F.min("mark").alias("least")).where("n > 1").drop("n")
+    )
     shared = materialise(marked.join(least, "bucket"))
-    lead = None
-    for m in marks:
-        lead = F.col(m) == F.col(f"least_{m}") if lead is None else lead | (F.col(m) == F.col(f"least_{m}"))
-    chosen = shared.where(lead).select(
+    chosen = shared.where("mark = least").select(
         "bucket", F.col("node").alias("leader"), F.col("label").alias("leader_label")
     )
     one, other = shared.select("bucket", "node", "label").alias("s"), chosen.alias("c")
@@ -156,10 +150,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """The members of buckets that hold several classes."""
-    several = members.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("other")).where(
-        F.col("one") != F.col("other")
-    )
+    """The members of buckets that hold several classes; of two members the pair has been looked at."""
+    several = members.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.min("label").alias("one"), F.max("label").alias("other")
+    ).where((F.col("n") > 2) & (F.col("one") != F.col("other")))
     return members.join(materialise(several.select("bucket")), "bucket", "left_semi")
 
 
@@ -182,10 +176,9 @@ class _Search:
 
     def examine(self, pairs: DataFrame) -> None:
         """Align the texts of candidates that agree enough, and connect those that are similar enough."""
-        pairs = _with_agreement(pairs, self.nodes).select("a", "b")
         if self.tested is not None:
             pairs = pairs.join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
+        pairs = materialise(_with_agreement(pairs, self.nodes).select("a", "b"))
         if pairs.isEmpty():
             self.tested = self.tested if self.tested is not None else materialise(pairs.withColumn("similarity", F.lit(0.0)))
             self.labels = self.labels if self.labels is not None else materialise(pairs.select(F.col("a").alias("node"), F.col("b").alias("label")))
@@ -249,14 +242,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_colum
     ])).alias("bucket"))
     members = materialise(members)
     # One leader first: in a group of copies it is the same one in nearly all buckets.
-    search.examine(_pairs(search.labelled(members), 1, own_of_bucket=False))
-    # Then three of each bucket's own, for members that aren't connected with them.
-    search.examine(_pairs(_open(search.labelled(members)), LEADERS, own_of_bucket=True))
+    search.examine(_pairs(search.labelled(members), 0, own_of_bucket=False))
+    # Then one of each bucket's own, for members that aren't connected with it.
+    for seed in range(1, ROUNDS + 1):
+        search.examine(_pairs(_open(search.labelled(members)), seed, own_of_bucket=True))
     # Buckets whose members still aren't all connected are split by further sketches.
     again = _open(search.labelled(members)).join(filled.select("node", "sketch"), "node").select(
         "node", "label", F.explode(F.array(*[F.xxhash64("bucket", F.lit(j), F.get("sketch", F.lit(j))) for j in DEEPER])).alias("bucket")
     )
-    search.examine(_pairs(again, LEADERS, own_of_bucket=True))
+    search.examine(_pairs(again, ROUNDS + 1, own_of_bucket=True))
 
     links = search.links()
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(
