@@ -4,7 +4,9 @@ A sketch takes the two least shingles of a text by a random order, repeats told
 by their number, and keeps which came first; so it is sensitive to order, as edits are,
 where a plain minimum isn't. Texts that agree in three sketches of a band become
 candidates of the leader of their bucket, not of each other, and candidates are
-verified by banded alignment. Linked texts form classes.
+verified by banded alignment. Texts of buckets that aren't all connected then meet by
+their rarest shingles, of which similar texts must share one, until no such bucket holds
+a pair that is neither connected nor looked at. Linked texts form classes.
 """
 
 from __future__ import annotations
@@ -28,28 +30,34 @@ BANDS = [
     cells for i in range(SIDE) for half in (range(3), range(3, 6))
     for cells in (tuple(SIDE * i + j for j in half), tuple(SIDE * j + i for j in half))
 ]
-#: Rounds in which a bucket that isn't all connected gets a leader of its own.
+#: Rounds in which a bucket that isn't all connected gets a leader of its own, before its texts meet by rare shingles.
 ROUNDS = 2
 #: Sketches that candidates must share at least; at the similarity asked for it is more, all but surely.
 AGREEING = 10
-#: Sketches that split a bucket with unlinked members further.
-DEEPER = tuple(range(0, COUNT, 12))
+#: Counters of shingles, each for all whose hash begins alike. They only order shingles, so sharing one loses nothing.
+SLOTS = 1 << 18
 
 _SKETCHED = "doc_id bigint, th bigint, node binary, sketch array<bigint>"
 
 
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of a batch of about ``CHUNK`` bytes of text, with their texts."""
+    texts = batch["text"].to_pylist()
+    begin = 0
+    while begin < len(texts):
+        end, total = begin, 0
+        while end < len(texts) and (end == begin or total + len(texts[end]) < CHUNK):
+            total += len(texts[end]) + 1
+            end += 1
+        yield batch.slice(begin, end - begin), texts[begin:end]
+        begin = end
+
+
 def _sketched(size: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            begin = 0
-            while begin < len(texts):
-                end, total = begin, 0
-                while end < len(texts) and (end == begin or total + len(texts[end]) < CHUNK):
-                    total += len(texts[end]) + 1
-                    end += 1
-                yield _sketch_rows(batch.slice(begin, end - begin), texts[begin:end], size)
-                begin = end
+            for part, texts in _chunks(batch):
+                yield _sketch_rows(part, texts, size)
 
     return rows
 
@@ -71,6 +79,48 @@ def _sketch_rows(batch: pa.RecordBatch, texts: list[bytes], size: int) -> pa.Rec
     )
 
 
+def _labelled_shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles with repeats told apart, their slots and texts, and how many each text has."""
+    shingles, made = sketches.shingle_hashes(*sketches.word_hashes(texts), size)
+    owner = np.repeat(np.arange(len(texts)), made)
+    labelled = sketches.occurrence_labelled(shingles, owner)
+    return labelled, (labelled >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64), owner, made
+
+
+def _counted(size: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, texts in _chunks(batch):
+                total += np.bincount(_labelled_shingles(texts, size)[1], minlength=SLOTS)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["slot", "n"])
+
+    return rows
+
+
+def _rarest(size: int, least: float, counts: np.ndarray):
+    """The rarest shingles of each text: so many that texts with similarity ``least`` share one.
+
+    Of n shingles similar texts share ``least * n`` at least, so in one order for all
+    texts the first ``n - least * n + 1`` of both can't all be different.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in _chunks(batch):
+                labelled, slots, owner, made = _labelled_shingles(texts, size)
+                order = np.lexsort((labelled, counts[slots], owner))
+                rank = np.arange(len(order)) - np.repeat(np.cumsum(made) - made, made)
+                kept = made - np.ceil(least * made - 1e-6).astype(np.int64) + 1
+                held = order[rank < np.repeat(kept, made)]
+                yield pa.RecordBatch.from_arrays(
+                    [part["node"].take(pa.array(owner[held])), pa.array(labelled[held].view(np.int64))], names=["node", "bucket"]
+                )
+
+    return rows
+
+
 def _verified(size: int, least: float):
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,27 +136,28 @@ def _verified(size: int, least: float):
     return pairs
 
 
-def _pairs(members: DataFrame, seed: int, own_of_bucket: bool) -> DataFrame:
-    """Members of a bucket with its leader if they aren't connected yet, ``a < b``.
+def _pairs(members: DataFrame, seed: int, leaders: int, own_of_bucket: bool) -> tuple[DataFrame, DataFrame]:
+    """Members of open buckets with leaders they aren't connected with, ``a < b``, and the members that don't lead.
 
-    ``members`` has ``bucket, node, label``. One row per member at most, however large
-    the bucket. The leader has the least hash of the node, the same in all buckets of a
-    group, or of (bucket, node), so that buckets of the same members have different ones.
+    ``members`` has ``bucket, node, label``. ``leaders`` rows per member, about, however
+    large the bucket. The first leader has the least hash of the node, the same in all
+    buckets of a group, or of (bucket, node), so that buckets of the same members have
+    different ones. A leader has met all of its bucket and need not stay.
     """
     mark = F.xxhash64("bucket", "node", F.lit(seed)) if own_of_bucket else F.xxhash64("node", F.lit(seed))
     marked = members.withColumn("mark", mark)
-    least = materialise(
-        marked.groupBy("bucket").agg(F.count("*").alias("n"), F.min("mark").alias("least")).where("n > 1").drop("n")
-    )
-    shared = materialise(marked.join(least, "bucket"))
-    chosen = shared.where("mark = least").select(
+    least = materialise(marked.groupBy("bucket").agg(F.count("*").alias("n"), F.min("mark").alias("least")))
+    leads = (F.col("mark") == F.col("least")) | (F.pmod("mark", "n") < leaders - 1)
+    shared = materialise(marked.join(least, "bucket").select("bucket", "node", "label", leads.alias("leads")))
+    chosen = shared.where("leads").select(
         "bucket", F.col("node").alias("leader"), F.col("label").alias("leader_label")
     )
     one, other = shared.select("bucket", "node", "label").alias("s"), chosen.alias("c")
     apart = (F.col("s.bucket") == F.col("c.bucket")) & (F.col("s.label") != F.col("c.leader_label"))
-    return one.join(other, apart).select(
+    pairs = one.join(other, apart).select(
         F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")
     ).distinct()
+    return pairs, shared.where("not leads").select("bucket", "node")
 
 
 def _agreement(one: str, other: str) -> Column:
@@ -150,11 +201,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """The members of buckets that hold several classes; of two members the pair has been looked at."""
+    """The members of buckets that hold several classes; of buckets with the same members, those of one."""
     several = members.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.min("label").alias("one"), F.max("label").alias("other")
-    ).where((F.col("n") > 2) & (F.col("one") != F.col("other")))
-    return members.join(materialise(several.select("bucket")), "bucket", "left_semi")
+        F.count("*").alias("n"), F.min("label").alias("one"), F.max("label").alias("other"),
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+    ).where(F.col("one") != F.col("other"))
+    different = several.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"))
+    return members.join(materialise(different.select("bucket")), "bucket", "left_semi")
 
 
 class _Search:
@@ -209,6 +262,24 @@ class _Search:
         ))
         self.tested = self.tested.unionByName(scored)
 
+    def meet(self, members: DataFrame, seed: int, leaders: int = 1, own_of_bucket: bool = True) -> DataFrame | None:
+        """One round of leaders in buckets that are still open; the members left, or None if there is no such bucket."""
+        held = materialise(_open(self.labelled(members)))
+        if held.isEmpty():
+            return None
+        pairs, rest = _pairs(held, seed, leaders, own_of_bucket)
+        self.examine(pairs)
+        return rest
+
+    def rare_members(self, open_nodes: DataFrame) -> DataFrame:
+        """``bucket, node`` of the rarest shingles of some nodes' texts."""
+        places = self.nodes.join(open_nodes, "node", "left_semi").select("node", "id", "th").hint("merge")
+        texts = materialise(places.join(self.rows, ["id", "th"]).select("node", "text"))
+        found = texts.mapInArrow(_counted(self.size), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros(SLOTS, np.int64)
+        counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+        return materialise(texts.mapInArrow(_rarest(self.size, self.least, counts), "node binary, bucket bigint"))
+
 
 def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_column: str = "doc_id") -> DataFrame:
     """One row per document: ``doc_id, class_id, n_class, n_links``.
@@ -242,15 +313,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_colum
     ])).alias("bucket"))
     members = materialise(members)
     # One leader first: in a group of copies it is the same one in nearly all buckets.
-    search.examine(_pairs(search.labelled(members), 0, own_of_bucket=False))
+    left = search.meet(members, 0, own_of_bucket=False)
     # Then one of each bucket's own, for members that aren't connected with it.
     for seed in range(1, ROUNDS + 1):
-        search.examine(_pairs(_open(search.labelled(members)), seed, own_of_bucket=True))
-    # Buckets whose members still aren't all connected are split by further sketches.
-    again = _open(search.labelled(members)).join(filled.select("node", "sketch"), "node").select(
-        "node", "label", F.explode(F.array(*[F.xxhash64("bucket", F.lit(j), F.get("sketch", F.lit(j))) for j in DEEPER])).alias("bucket")
-    )
-    search.examine(_pairs(again, ROUNDS + 1, own_of_bucket=True))
+        left = None if left is None else search.meet(left, seed)
+    if left is not None:
+        # Texts of buckets that are still open meet by rare shingles, with twice the leaders each round, until none is.
+        left = search.rare_members(_open(search.labelled(left)).select("node").distinct())
+        leaders, seed = 1, ROUNDS + 1
+        while left is not None:
+            left = search.meet(left, seed, leaders)
+            leaders, seed = 2 * leaders, seed + 1
+    if search.tested is None:
+        search.examine(members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
 
     links = search.links()
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(

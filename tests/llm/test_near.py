@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from driftlane.llm import order_minhash, sketches
@@ -54,6 +55,27 @@ def test_against_all_pairs(spark, brute):
     assert dict(classes(docs)) == want
 
 
+def test_pairs_inside_one_hot_bucket(spark, monkeypatch):
+    """All texts share all buckets, one leader of them is near one text only, and yet each pair is found."""
+    def alike(size):
+        def rows(batches):
+            for batch in batches:
+                made = order_minhash._sketch_rows(batch, batch["text"].to_pylist(), size)
+                at = made.schema.get_field_index("sketch")
+                yield made.set_column(at, "sketch", pa.array([[7] * order_minhash.COUNT] * len(made), pa.list_(pa.int64())))
+
+        return rows
+
+    monkeypatch.setattr(order_minhash, "_sketched", alike)
+    draw = random.Random(23)
+    texts = []
+    for _ in range(300):
+        text = [f"w{draw.randrange(10**6)}" for _ in range(60)]
+        texts += [text, text + ["more"]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    assert dict(classes(docs)) == {i: i // 2 * 2 for i in range(len(texts))}
+
+
 @pytest.mark.parametrize("least", [0.5, 0.8])
 def test_alignment_against_the_full_table(brute, least):
     draw = random.Random(3)
