@@ -25,20 +25,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least id stays, once.
-
-    A class without any id keeps one document for each text.
-    """
+    """Of each class of near duplicates one document stays, once: of the least id, or one without if none has an id."""
     classes = near_duplicates(docs)
-    lowest = F.lit(-(2**63)).cast("bigint")
-    # One row per id that stays; several only where an id is given to different texts.
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(
-        F.coalesce("doc_id", lowest).alias("kept_id")
-    ).agg(F.count("*").alias("n_rows")).hint("merge")
-    found = docs.withColumn("kept_id", F.coalesce("doc_id", lowest)).join(kept, "kept_id")
+    # One row per id and text that stays; several only where rows are repeated.
+    kept = classes.where("key = kept_key").groupBy("kept_key").agg(F.count("*").alias("n_rows")).hint("merge")
+    found = docs.withColumn("kept_key", row_key(F.col("doc_id"), F.col("text"))).join(kept, "kept_key")
     single = found.where("n_rows = 1").select(docs.columns)
-    # Repeated rows of an id: equal texts once.
-    repeated = found.where("n_rows > 1").withColumn("kept_key", row_key(F.col("doc_id"), F.col("text"))).dropDuplicates(["kept_key"])
+    repeated = found.where("n_rows > 1").dropDuplicates(["kept_key"])
     return single.unionByName(repeated.select(docs.columns))
 
 

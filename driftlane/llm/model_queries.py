@@ -34,7 +34,8 @@ def op3_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_order_minhash")
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_class", "n_links")
 
 
 @query("op6_page_text")

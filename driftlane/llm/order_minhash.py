@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlane.llm import sketches
-from driftlane.llm.common import one_per_key
+from driftlane.llm.common import one_per_key, row_key
 from driftlane.llm.suffixes import CHUNK
 from driftlane.session import materialise
 
@@ -37,7 +37,7 @@ AGREEING = 10
 #: Counters of shingles, each for all whose hash begins alike. They only order shingles, so sharing one loses nothing.
 SLOTS = 1 << 18
 
-_SKETCHED = "doc_id bigint, th bigint, node binary, sketch array<bigint>"
+_SKETCHED = "doc_id bigint, key string, th bigint, node binary, sketch array<bigint>"
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -74,8 +74,8 @@ def _sketch_rows(batch: pa.RecordBatch, texts: list[bytes], size: int) -> pa.Rec
     ends = np.cumsum(counts)
     nodes = [sketches.content_key(words[e - c : e]) for e, c in zip(ends, counts)]
     return pa.RecordBatch.from_arrays(
-        [batch["doc_id"], batch["th"], pa.array(nodes, pa.binary()), pa.array(rows, pa.list_(pa.int64()))],
-        names=["doc_id", "th", "node", "sketch"],
+        [batch["doc_id"], batch["key"], batch["th"], pa.array(nodes, pa.binary()), pa.array(rows, pa.list_(pa.int64()))],
+        names=["doc_id", "key", "th", "node", "sketch"],
     )
 
 
@@ -282,12 +282,14 @@ class _Search:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_column: str = "doc_id") -> DataFrame:
-    """One row per document: ``doc_id, class_id, n_class, n_links``.
+    """One row per document: ``doc_id, class_id, n_class, n_links, key, kept_key``.
 
     Two texts are linked if the ``size``-word shingles that an alignment matches in
     order are ``least`` of all their shingles at least; classes are what is connected.
     ``class_id`` is the least id of the class, ``n_class`` its documents, and
     ``n_links`` counts the verified links of the document's text to other texts.
+    ``key`` is the ``row_key`` of id and text, and ``kept_key`` that of one document of
+    the class: of the least id, then the least key; one without id if none has one.
 
     Words are lower-cased; texts of the same words are one text from the start, texts
     without words too. Texts of fewer words than a shingle are one shingle. Null ids
@@ -296,8 +298,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_colum
     table gives an empty result.
     """
     text = F.coalesce("text", F.lit(""))
+    doc_id = F.col(id_column).cast("bigint")
     rows = docs.select(
-        F.col(id_column).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text")
+        doc_id.alias("doc_id"), row_key(doc_id, F.col("text")).alias("key"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text")
     )
     sketched = materialise(rows.mapInArrow(_sketched(size), _SKETCHED))
     lowest = F.lit(-(2**63)).cast("bigint")
@@ -331,8 +334,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_colum
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(
         F.count("*").alias("n_links")
     )
-    placed = sketched.select("doc_id", "node").join(search.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    classes = placed.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_class"))
+    placed = sketched.select("doc_id", "key", "node").join(search.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    classes = placed.groupBy("label").agg(
+        F.min("doc_id").alias("class_id"), F.count("*").alias("n_class"),
+        F.min(F.struct(F.isnull("doc_id").alias("without"), "doc_id", "key"))["key"].alias("kept_key"),
+    )
     return placed.join(classes, "label").join(degree, "node", "left").select(
-        "doc_id", "class_id", "n_class", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")
+        "doc_id", "class_id", "n_class", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        "key", "kept_key",
     )

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from driftlane.llm import order_minhash, sketches
 
 
@@ -76,6 +77,22 @@ def test_pairs_inside_one_hot_bucket(spark, monkeypatch):
     assert dict(classes(docs)) == {i: i // 2 * 2 for i in range(len(texts))}
 
 
+def test_one_document_of_each_class_stays(spark):
+    """Null ids beside a class without ids, an id of two texts, near copies under one id, a repeated row."""
+    draw = random.Random(5)
+    texts = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(60)) for _ in range(6)]
+    near = [t + " more" for t in texts]
+    docs = spark.createDataFrame([
+        (1, texts[0]), (None, near[0]), (None, texts[1]), (None, near[1]), (4, texts[2]), (5, near[2]), (5, texts[3]),
+        (9, texts[4]), (9, near[4]), (11, texts[5]), (11, texts[5]),
+    ], "doc_id bigint, text string")
+    rows = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted((r for r in rows if r[0] in (1, 4, 5, 11))) == [(1, texts[0]), (4, texts[2]), (5, texts[3]), (11, texts[5])]
+    assert len(rows) == 6
+    assert [t in (texts[1], near[1]) for i, t in rows if i is None] == [True]
+    assert [t in (texts[4], near[4]) for i, t in rows if i == 9] == [True]
+
+
 @pytest.mark.parametrize("least", [0.5, 0.8])
 def test_alignment_against_the_full_table(brute, least):
     draw = random.Random(3)
