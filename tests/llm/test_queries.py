@@ -22,7 +22,7 @@ def duck():
 
 
 def test_all_are_registered():
-    assert {n.split("_")[0] for n in NAMES} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
+    assert {n.split("_")[0] for n in NAMES} == {*(f"op{i}" for i in range(1, 14)), "pipeline"}
 
 
 @pytest.mark.parametrize("name", [n for n in NAMES if n in oracle_sql()])
