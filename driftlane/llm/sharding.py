@@ -26,7 +26,7 @@ MEASURES = ["bytes", "tokens", "rows"]
 #: 3 x 64 such groups per shard, because each takes a 64th of a shard in some measure.
 LARGE = 1 / 64
 #: A group that is more than a shard is split into pieces of about this part of a shard.
-PIECE = 1 / 8
+PIECE = 1 / 32
 #: Smaller groups that one task packs, about.
 PART = 50_000
 _PLACED = "k1 bigint, k2 bigint, piece bigint, shard int"
