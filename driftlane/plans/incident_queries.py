@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from driftlane.functions.asof import latest_before
 from driftlane.operators import incidents as I
 from driftlane.plans.registry import query, stamp
 from driftlane.plans.view_sql import stamp_sql
@@ -57,20 +58,20 @@ diagnosed AS (SELECT *,
 
 _LOG = f"""
 logged AS (SELECT *, [
-  'Step 1: Gathering evidence for alert id=' || id || ' type=' || alert_type || ' severity=' || severity ||
-    ' model=' || model_id || ' triggered_at=' || strftime(triggered_at, '%Y-%m-%dT%H:%M:%S.%f'),
-  CASE WHEN n_deployments > 0 THEN 'Step 2: Found ' || n_deployments || ' deployment(s) in the window, latest ' ||
-    version || ' at ' || strftime(deployed_at, '%Y-%m-%dT%H:%M:%S.%f')
-    ELSE 'Step 2: No recent deployment in the window before the alert.' END,
-  CASE WHEN n_upstream > 0 THEN 'Step 3: Found ' || n_upstream || ' overlapping upstream event(s), latest ' || event_type
-    ELSE 'Step 3: No overlapping upstream event.' END,
-  'Step 4: ' || k || ' feature(s) drifting: [' || array_to_string(features, ', ') ||
-    ']. Prediction drift present: ' || CAST(prediction_drift AS VARCHAR),
-  CASE WHEN r IS NOT NULL THEN 'Step 5: Latest accuracy report F1=' || coalesce(printf('%.4f', r.f1), 'None') ||
-    ' Precision=' || coalesce(printf('%.4f', r."precision"), 'None') || ' Recall=' || printf('%.4f', r.recall) ||
-    ' (n=' || r.n_samples || ')' ELSE 'Step 5: No recent accuracy report.' END,
-  'Step 6: Rule ' || rule_name || ' matched. Confidence=' || printf('%.2f', confidence) || ', Action=' ||
-    recommended_action] AS steps FROM diagnosed)"""
+  'Step 1: alert ' || id || ' (' || alert_type || ', ' || severity || ') of model ' || model_id || ', triggered at ' ||
+    strftime(triggered_at, '%Y-%m-%dT%H:%M:%S.%f') || '.',
+  CASE WHEN n_deployments > 0 THEN 'Step 2: deployments near the alert: ' || n_deployments || ', the newest is ' ||
+    version || ' of ' || strftime(deployed_at, '%Y-%m-%dT%H:%M:%S.%f') || '.'
+    ELSE 'Step 2: deployments near the alert: none.' END,
+  CASE WHEN n_upstream > 0 THEN 'Step 3: upstream events under way: ' || n_upstream || ', the newest is ' || event_type || '.'
+    ELSE 'Step 3: upstream events under way: none.' END,
+  'Step 4: drifting features: ' || k || ' [' || array_to_string(features, ', ') ||
+    ']; predictions drift: ' || CAST(prediction_drift AS VARCHAR) || '.',
+  CASE WHEN r IS NOT NULL THEN 'Step 5: newest accuracy: F1 ' || coalesce(printf('%.4f', r.f1), 'None') ||
+    ', precision ' || coalesce(printf('%.4f', r."precision"), 'None') || ', recall ' || printf('%.4f', r.recall) ||
+    ' over ' || r.n_samples || ' samples.' ELSE 'Step 5: newest accuracy: none in the look-back.' END,
+  'Step 6: rule ' || rule_name || ' applies with confidence ' || printf('%.2f', confidence) || ' and asks to ' ||
+    recommended_action || '.'] AS steps FROM diagnosed)"""
 
 _ASSIGNED = """
 newest AS (SELECT model_id, max(created_at) AS at, arg_max(id, (created_at, id)) AS incident FROM incidents
@@ -87,7 +88,7 @@ _TARGETS = """
 named AS (SELECT *, split_part(model_id, ':', 1) AS model_name FROM deploys),
 serving AS (SELECT model_name, coalesce(arg_max(id, (deployed_at, id)) FILTER (is_current), arg_max(id, (deployed_at, id)))
               AS serving_id FROM named GROUP BY model_name),
-targets AS (SELECT s.model_name, s.serving_id, t.id AS target_id, t.version AS target_version
+targets AS (SELECT s.model_name, s.serving_id, t.id AS target_id, t.version AS target_version, t.deployed_at AS target_at
             FROM serving s LEFT JOIN (SELECT n.*, row_number() OVER (PARTITION BY n.model_name
                  ORDER BY n.deployed_at DESC, n.id DESC) AS r FROM named n JOIN serving s2 USING (model_name)
                  WHERE n.id <> s2.serving_id) t ON t.model_name = s.model_name AND t.r = 1)"""
@@ -180,12 +181,19 @@ def rollback_targets(spark, sf_dir):
 
 
 _PASS = f"""
-WITH {_EVIDENCE},{_OLD},{_TARGETS},
+WITH {_EVIDENCE},{_LOG},{_OLD},{_TARGETS},
 opened AS (SELECT d.*, split_part(d.model_id, ':', 1) AS model_name FROM diagnosed d
            JOIN assigned a ON a.id = d.id AND a.decision = 'opens'),
-decided AS (SELECT o.*, t.target_id, t.target_version,
+decided AS (SELECT o.*, t.target_id, t.target_version, t.target_at,
               recommended_action = 'rollback' AND confidence >= 0.80 AS wanted
             FROM opened o LEFT JOIN targets t USING (model_name)),
+acted AS (SELECT l.id, l.steps || CASE
+    WHEN wanted AND target_id IS NULL THEN [asked, 'Step 8: there is no other version to go back to, so the incident is escalated.']
+    WHEN wanted THEN [asked, 'Step 8: the version to go back to is ' || target_version || ' of ' ||
+      strftime(target_at, '%Y-%m-%dT%H:%M:%S.%f') || '.', 'Step 9: resolved by going back to ' || target_version || '.']
+    ELSE [asked, 'Step 8: nothing is done by itself, so the incident is escalated.'] END AS steps
+  FROM (SELECT id, wanted, target_id, target_version, target_at, 'Step 7: a rollback needs confidence 0.80; asked for is ' ||
+      recommended_action || ' with ' || printf('%.2f', confidence) || '.' AS asked FROM decided) JOIN logged l USING (id)),
 attached AS (SELECT opened_by, count(*) FILTER (decision = 'attached') AS n FROM assigned GROUP BY opened_by)"""
 
 
@@ -236,6 +244,89 @@ def incident_rows(spark, sf_dir):
     )
 
 
+@query(
+    "remediation_log",
+    f"""{_PASS}
+SELECT id, array_to_string(steps, ' | ') AS reasoning FROM acted""",
+)
+def remediation_log(spark, sf_dir):
+    """All steps of the incidents that the pass opens, to what was done in the end."""
+    opened, _ = _pass(spark, sf_dir)
+    return opened.select("id", F.array_join("reasoning_log", " | ").alias("reasoning"))
+
+
+_INCIDENT_ITEMS = """
+near_deploys AS (SELECT d.id AS of, count(*) AS n, arg_max(x, (x.deployed_at, x.id)) AS newest FROM decided d JOIN deploys x
+  ON x.model_id = d.model_id AND x.deployed_at BETWEEN d.triggered_at - INTERVAL 30 MINUTE AND d.triggered_at + INTERVAL 5 MINUTE GROUP BY d.id),
+near_events AS (SELECT d.id AS of, count(*) AS n, arg_max(x, (x.started_at, x.id)) AS newest, sum(hash_of) AS listed FROM decided d
+  JOIN (SELECT *, id AS hash_of FROM upstream) x ON x.started_at <= d.triggered_at + INTERVAL 5 MINUTE
+  AND (x.ended_at IS NULL OR x.ended_at >= d.triggered_at - INTERVAL 30 MINUTE) GROUP BY d.id)"""
+
+
+@query(
+    "incident_evidence_documents",
+    f"""{_PASS},{_INCIDENT_ITEMS}
+SELECT CAST(d.id AS VARCHAR) AS alert_id, alert_type, coalesce(p.n, 0)::INT AS n_deployments, p.newest.version AS version,
+  p.newest.git_commit AS git_commit, CAST(p.newest.is_current AS VARCHAR) AS is_current, coalesce(e.n, 0)::INT AS n_upstream,
+  e.newest.event_type AS event_type, strftime(e.newest.ended_at, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS ended_at, e.newest.feature AS feature,
+  coalesce(e.listed, 0)::BIGINT AS listed, CAST(n_reports AS VARCHAR) AS n_reports, CAST(k AS VARCHAR) AS drifting_count,
+  strftime(r.window_end, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS window_end, len(a.steps)::INT AS n_steps, a.steps[-1] AS last_step
+FROM decided d LEFT JOIN near_deploys p ON p.of = d.id LEFT JOIN near_events e ON e.of = d.id JOIN acted a ON a.id = d.id""",
+)
+def incident_evidence_documents(spark, sf_dir):
+    """What the evidence documents of new incidents hold, read back field by field."""
+    upstream = T.upstream_events(spark, sf_dir).withColumn("parameters", F.to_json(F.struct("feature")))
+    opened, _ = I.incident_pass(
+        T.alerts(spark, sf_dir), _existing(spark, sf_dir), T.deployments(spark, sf_dir), upstream,
+        T.drift_reports(spark, sf_dir), T.accuracy_reports(spark, sf_dir),
+    )
+
+    def at(path: str):
+        return F.get_json_object("evidence", f"$.{path}")
+
+    events = F.from_json(at("active_injections"), "array<struct<id:bigint,parameters:string>>")
+    steps = F.from_json(at("reasoning_log"), "array<string>")
+    return I.incident_rows(opened, T.EVENTS_AS_OF).select(
+        "alert_id", at("alert.alert_type").alias("alert_type"), F.json_array_length(at("recent_deployments")).alias("n_deployments"),
+        at("recent_deployments[0].version").alias("version"), at("recent_deployments[0].git_commit").alias("git_commit"),
+        at("recent_deployments[0].is_current").alias("is_current"), F.json_array_length(at("active_injections")).alias("n_upstream"),
+        at("active_injections[0].event_type").alias("event_type"), at("active_injections[0].ended_at").alias("ended_at"),
+        F.get_json_object(F.get(events, F.lit(0))["parameters"], "$.feature").alias("feature"),
+        F.aggregate(events, F.lit(0).cast("bigint"), lambda total, e: total + e["id"]).alias("listed"),
+        at("drift_context.total_reports_evaluated").alias("n_reports"), at("drift_context.drifting_count").alias("drifting_count"),
+        at("accuracy_context.window_end").alias("window_end"), F.size(steps).alias("n_steps"), F.element_at(steps, -1).alias("last_step"),
+    )
+
+
+@query(
+    "latest_accuracy_as_of",
+    f"""SELECT a.id, {stamp_sql("r.created_at")} AS created_at, r.f1 AS f1, r.n_samples AS n_samples
+FROM alerts a LEFT JOIN (
+  SELECT x.id AS of, arg_max(y, (y.created_at, y.id)) AS r FROM alerts x JOIN accuracies y
+  ON y.model_id = x.model_id AND y.created_at <= x.triggered_at GROUP BY x.id) ON of = a.id""",
+)
+def latest_accuracy_as_of(spark, sf_dir):
+    """The accuracy that was known when an alert was triggered, however old."""
+    found = latest_before(
+        T.alerts(spark, sf_dir), T.accuracy_reports(spark, sf_dir), ["model_id"], "triggered_at", "created_at", "id",
+        F.struct("created_at", "f1", "n_samples"), "accuracy",
+    )
+    return found.select("id", stamp("accuracy.created_at").alias("created_at"), "accuracy.f1", "accuracy.n_samples")
+
+
+@query(
+    "newest_incident_as_of",
+    """SELECT a.id, CASE WHEN created_at >= a.triggered_at - INTERVAL 15 MINUTE THEN i.incident END AS incident_id
+FROM alerts a LEFT JOIN (
+  SELECT x.id AS of, max(y.created_at) AS created_at, arg_max(y.id, (y.created_at, y.id)) AS incident FROM alerts x JOIN incidents y
+  ON y.model_id = x.model_id AND y.created_at <= x.triggered_at GROUP BY x.id) i ON of = a.id""",
+)
+def newest_incident_as_of(spark, sf_dir):
+    """The incident an alert would have joined when it came, for all alerts of the past."""
+    alerts = T.alerts(spark, sf_dir)
+    return I.incidents_as_of(alerts, T.incidents(spark, sf_dir)).select("id", "incident_id")
+
+
 @query(
     "incident_pass_on_stored_tables",
     f"""{_PASS}
@@ -322,7 +413,7 @@ SELECT alert_id, kind, item_id, {stamp_sql("item_at")} AS item_at, label, featur
 )
 def evidence_items(spark, sf_dir):
     items = I.evidence_items(T.alerts(spark, sf_dir), T.deployments(spark, sf_dir), T.upstream_events(spark, sf_dir))
-    return items.withColumn("item_at", stamp("item_at"))
+    return items.select("alert_id", "kind", "item_id", stamp("item_at").alias("item_at"), "label", "feature")
 
 
 @query(

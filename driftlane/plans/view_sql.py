@@ -52,7 +52,8 @@ VIEWS = {
                     ELSE 'canary_failed' END AS status,
                CAST(event_id % 5 * 25 AS DOUBLE) AS traffic_percentage,
                CASE WHEN event_id % 4 = 2 THEN 'below the gate' END AS rejection_reason,
-               CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL 1 HOUR END AS promoted_at
+               CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL 1 HOUR END AS promoted_at,
+               substr(md5(event_id::VARCHAR), 1, 7) AS git_commit
         FROM events WHERE event_type = 'signup' AND value > 80""",
     "deploys": """
         SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY deployed_at DESC, id DESC) = 1 AS is_current

@@ -145,6 +145,7 @@ def deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") % 5 * 25.0).alias("traffic_percentage"),
         F.when(status == "rejected", "below the gate").alias("rejection_reason"),
         F.when(status == "deployed", F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("promoted_at"),
+        F.substring(F.md5(F.col("event_id").cast("string")), 1, 7).alias("git_commit"),
     )
     newest = rows.groupBy("model_id").agg(F.max(F.struct("deployed_at", "id"))["id"].alias("_newest"))
     return rows.join(newest, "model_id").withColumn("is_current", F.col("id") == F.col("_newest")).drop("_newest")

@@ -82,7 +82,8 @@ ACC = (30, M, 0.6, 0.6, 0.6, 0.7, 100, ago(hours=1))
 def test_rules(spark, setup, expected):
     row = case(spark, **setup)
     assert (row.rule_name, row.confidence, row.recommended_action, row.status, row.rollback_to) == expected
-    assert len(row.reasoning_log) == 6
+    assert len(row.reasoning_log) == (9 if expected[3] == "auto_resolved" else 8)
+    assert row.reasoning_log[-1].startswith("Step 9: resolved by going back to v1" if expected[3] == "auto_resolved" else "Step 8")
     if expected[:2] == ("bad_deploy", 0.20):
         assert "Rollback impossible" in row.hypothesis
 
@@ -134,3 +135,81 @@ def test_shortening(spark):
     short = I.shorten_items(items).collect()
     assert sorted(r.item_id for r in short) == [0, 1, 2, 3, 4]
     assert all(r.label == "x" * 200 + "… (truncated)" for r in short)
+
+
+def brute_evidence(alerts, deploys, upstream, drift, accuracy):
+    """Every pair looked at."""
+    out = {}
+    for aid, model, _, _, at, _ in alerts:
+        near = [d for d in deploys if d[1] == model and at - timedelta(minutes=30) <= d[3] <= at + timedelta(minutes=5)]
+        active = [u for u in upstream if u[3] <= at + timedelta(minutes=5) and (u[4] is None or u[4] >= at - timedelta(minutes=30))]
+        reports = [r for r in drift if r[1] == model and at - timedelta(hours=24) <= r[4] <= at]
+        known = [a for a in accuracy if a[1] == model and at - timedelta(hours=24) <= a[7] <= at]
+        out[aid] = (
+            len(near), max(((d[3], d[0]) for d in near), default=(None, None))[1],
+            len(active), max(((u[3], u[0]) for u in active), default=(None, None))[1],
+            len(reports), sorted({r[2] for r in reports if r[3] != "stable" and r[2] != "_all_features"}),
+            max(((a[7], a[0]) for a in known), default=(None, None))[1],
+        )
+    return out
+
+
+def test_evidence_equals_all_pairs(spark):
+    """Times on the minute, so that many fall on the ends of windows and on whole hours."""
+    g = np.random.default_rng(8)
+
+    def at(hours=60):
+        return NOW - timedelta(minutes=int(g.integers(0, hours * 60)) // 30 * 30 + int(g.choice([0, 0, 5, 25, 31])))
+
+    def model():
+        return None if g.random() < 0.05 else "hot:v1" if g.random() < 0.6 else f"m{g.integers(0, 4)}:v1"
+
+    alerts = [(i, model(), "feature_drift", "warning", at(), False) for i in range(150)]
+    deploys = [(i, model(), "v", at(), False) for i in range(80)]
+    upstream = []
+    for i in range(60):
+        start = at()
+        end = None if i % 9 == 0 else start + timedelta(minutes=int(g.integers(-60, 900)))
+        upstream.append((i, "x", "f", start, end))
+    drift = [(i, model(), str(g.choice(["a", "b", "_all_features", "_prediction"])), str(g.choice(["stable", "moderate"])), at(90)) for i in range(300)]
+    accuracy = [(i, model(), 0.5, 0.5, 0.5, 0.5, 10, at(90)) for i in range(60)]
+    frames = [spark.createDataFrame(rows, schema) for rows, schema in (
+        (alerts, ALERT), (deploys, DEPLOY), (upstream, UPSTREAM), (drift, DRIFT), (accuracy, ACCURACY))]
+    got = {
+        r.id: (
+            r.n_deployments, r.deployment and r.deployment.id, r.n_upstream, r.upstream and r.upstream.id, r.n_reports,
+            r.drifting_features, r.accuracy and r.accuracy.id,
+        )
+        for r in I.gather_evidence(*frames).collect()
+    }
+    want = brute_evidence(alerts, deploys, upstream, drift, accuracy)
+    for aid, alert_model, *_ in alerts:
+        if alert_model is None:  # without a model only what concerns every model
+            want[aid] = (0, None, *want[aid][2:4], 0, [], None)
+    # An event that ends before it starts is under way for no alert, unless both windows reach it.
+    assert got == want
+
+
+def test_evidence_without_alerts_or_context(spark):
+    frames = [spark.createDataFrame([], s) for s in (ALERT, DEPLOY, UPSTREAM, DRIFT, ACCURACY)]
+    assert I.gather_evidence(*frames).collect() == []
+
+
+def test_latest_before_one_hot_group(spark):
+    """Half of all rows in one group lie in several lots; each asks for what another lot brings."""
+    from driftlane.functions.asof import latest_before
+
+    g = np.random.default_rng(9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        events = [(i, "hot" if i % 2 else f"g{i % 7}", int(g.integers(0, 4000))) for i in range(600)]
+        probes = [(i, "hot" if i % 2 else f"g{i % 9}", int(g.integers(-50, 4000))) for i in range(600)]
+        found = latest_before(
+            spark.createDataFrame(probes, "id bigint, k string, at bigint"), spark.createDataFrame(events, "id bigint, k string, t bigint"),
+            ["k"], "at", "t", "id", F.col("id"), "newest",
+        )
+        got = {r.id: r.newest for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {i: max(((t, e) for e, k2, t in events if k2 == k and t <= at), default=(None, None))[1] for i, k, at in probes}
+    assert got == want
