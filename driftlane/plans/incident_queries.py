@@ -344,12 +344,7 @@ def incident_pass_on_stored_tables(spark, sf_dir):
     }
     stored = {}
     for name, rows in derived.items():
-        # Numbers become text of equal length, so that ties by id are broken alike.
-        rows = rows.withColumn("id", F.lpad(F.col("id").cast("string"), 20, "0"))
-        kinds = [part.rsplit(" ", 1) for part in files.TABLES[name].split(", ")]
-        files.append_table(
-            rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds]), root, name
-        )
+        files.store_derived(rows, root, name)
         stored[name] = files.read_table(spark, root, name).drop("model_name", "dt")
     opened, _ = I.incident_pass(
         stored["alerts"], stored["incidents"], stored["deployments"], stored["upstream_events"], stored["drift_reports"],

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from driftlane.operators import drift, profile
 from driftlane.operators.longform import feature_rows
+from driftlane.plans.incident_queries import _EVIDENCE, _TARGETS
 from driftlane.plans.registry import query, stamp
 from driftlane.plans.view_sql import stamp_sql
 from driftlane.session import materialise, shared_folder
 from driftlane.sources import driver_tables as T
-from driftlane.streaming import streams
+from driftlane.sources import files
+from driftlane.streaming import corrections, streams
 
 
 def _stream(spark, sf_dir, name) -> DataFrame:
@@ -114,15 +116,49 @@ def stream_sliding_confusion(spark, sf_dir):
     )
     joined = streams.delayed_labels(predictions, lines, max_delay="90 days", lateness="1 day")
     report = _drain(streams.sliding_confusion(joined, "60 days", "15 days", minimum=5))
-    # Only windows that no label can reach any more, whatever batch they were emitted in.
-    newest = F.least(
-        *[
-            F.lit(T.table(spark, sf_dir, t).agg(F.max(c)).first()[0])
-            for t, c in (("orders", "o_orderdate"), ("lineitem", "l_shipdate"))
-        ]
+    return report.drop("window_end").withColumn("window_start", stamp("window_start"))
+
+
+def _arriving(spark, rows: DataFrame, time: str, slices: int = 4, files: int = 2) -> DataFrame:
+    """A stream that delivers a table slice by slice in the order of ``time``, a few files each."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    first, last = rows.agg(F.min(F.unix_micros(time)), F.max(F.unix_micros(time))).first()
+    part = F.least(F.floor((F.unix_micros(time) - first) * slices / (last - first + 1)), F.lit(slices - 1))
+    for i in range(slices):
+        rows.where(part == i).repartition(files).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+@query(
+    "stream_corrected_accuracy",
+    f"""
+WITH labelled AS (SELECT p.model_id, p.prediction, l_returnflag = 'R' AS y, p.created_at
+   FROM preds p JOIN lineitem ON p.id = l_orderkey AND l_shipdate >= p.created_at AND l_shipdate <= p.created_at + INTERVAL 90 DAY),
+counts AS (SELECT model_id, CAST(floor(epoch(created_at) / 2592000) AS BIGINT) - k AS w, count(*) AS n, count(*) FILTER (prediction AND y) AS tp,
+                  count(*) FILTER (prediction AND NOT y) AS fp, count(*) FILTER (NOT prediction AND y) AS fn
+           FROM labelled, range(0, 2) r(k) GROUP BY ALL)
+SELECT model_id, {stamp_sql("TIMESTAMP '1970-01-01' + to_seconds(w * 2592000)")} AS window_start, n AS n_samples,
+  round(CASE WHEN tp + fp = 0 THEN 0.0::DOUBLE ELSE tp::DOUBLE / (tp + fp) END, 4) AS "precision",
+  round(CASE WHEN tp + fn = 0 THEN 0.0::DOUBLE ELSE tp::DOUBLE / (tp + fn) END, 4) AS recall,
+  round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * tp / (2 * tp + fp + fn) END, 4) AS f1
+FROM counts WHERE n >= 5
+ AND TIMESTAMP '1970-01-01' + to_seconds((w + 2) * 2592000) <= (SELECT max(created_at) FROM labelled) - INTERVAL 10 DAY""",
+)
+def stream_corrected_accuracy(spark, sf_dir):
+    """Windows close ten days after their end, labels may take ninety: what is late corrects them."""
+    predictions = T.predictions(spark, sf_dir).select("id", "model_id", "prediction", "created_at")
+    lines = T.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("prediction_id"), (F.col("l_returnflag") == "R").alias("true_label"),
+        F.col("l_shipdate").alias("observed_at"),
+    )
+    joined = streams.delayed_labels(
+        _arriving(spark, predictions, "created_at"), _arriving(spark, lines, "observed_at"), max_delay="90 days", lateness="1 day"
     )
-    closed = report.filter(F.col("window_end") <= newest - F.expr("INTERVAL 91 DAYS"))
-    return closed.drop("window_end").withColumn("window_start", stamp("window_start"))
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    rows = joined.select("model_id", "created_at", "prediction", "true_label")
+    streams.run_available(corrections.corrected_windows(rows, folder, "60 days", "30 days", "10 days"), f"{folder}/offsets")
+    report = corrections.corrected_report(spark, folder, minimum=5)
+    return report.drop("window_end", "corrected").withColumn("window_start", stamp("window_start"))
 
 
 @query("stream_window_drift")
@@ -172,16 +208,36 @@ def stream_alert_dedup(spark, sf_dir):
     return out.select("model_id", "id", "opens", stamp("opened_at").alias("opened_at"))
 
 
-@query("stream_incidents")
+@query(
+    "stream_incidents",
+    f"""
+WITH {_EVIDENCE},{_TARGETS},
+first_alerts AS (SELECT model_id, arg_min(id, (triggered_at, id)) AS id FROM alerts GROUP BY model_id),
+decided AS (SELECT d.*, t.target_id, recommended_action = 'rollback' AND confidence >= 0.80 AS wanted
+            FROM diagnosed d JOIN first_alerts f USING (id) LEFT JOIN targets t ON t.model_name = split_part(d.model_id, ':', 1))
+SELECT id, model_id, rule_name, CASE WHEN wanted AND target_id IS NULL THEN 0.2::DOUBLE ELSE confidence END AS confidence,
+  CASE WHEN wanted AND target_id IS NULL THEN 'escalate' ELSE recommended_action END AS recommended_action,
+  CASE WHEN wanted AND target_id IS NOT NULL THEN 'auto_resolved' ELSE 'escalated' END AS status FROM decided""",
+)
 def stream_incidents(spark, sf_dir):
+    """The alerts come in four batches. An incident is dated when the job runs, so each model's first alert opens its only one."""
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    tables = {
+        "deployments": T.deployments(spark, sf_dir), "upstream_events": T.upstream_events(spark, sf_dir),
+        "drift_reports": T.drift_reports(spark, sf_dir), "accuracy_reports": T.accuracy_reports(spark, sf_dir),
+    }
+    for name, rows in tables.items():
+        files.store_derived(rows, folder, name)
 
     def context(session):
         return {
-            "deployments": T.deployments(session, sf_dir), "upstream": T.upstream_events(session, sf_dir),
-            "drift": T.drift_reports(session, sf_dir), "accuracy": T.accuracy_reports(session, sf_dir),
+            "deployments": files.read_table(session, folder, "deployments"),
+            "upstream": files.read_table(session, folder, "upstream_events"),
+            "drift": files.read_table(session, folder, "drift_reports"),
+            "accuracy": files.read_table(session, folder, "accuracy_reports"),
         }
 
-    streams.run_available(streams.continuous_incidents(_alerts(spark, sf_dir), context, folder), f"{folder}/offsets")
+    alerts = _arriving(spark, T.alerts(spark, sf_dir).drop("processed"), "triggered_at")
+    streams.run_available(streams.continuous_incidents(alerts, context, folder), f"{folder}/offsets")
     opened = spark.read.parquet(f"{folder}/incidents")
     return opened.select("id", "model_id", "rule_name", "confidence", "recommended_action", "status")

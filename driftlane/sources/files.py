@@ -99,6 +99,21 @@ def append_table(rows: DataFrame, root: str, table: str) -> None:
     dated.hint("rebalance", *folders).write.mode("append").partitionBy(*folders).parquet(f"{root}/{table}")
 
 
+def store_derived(rows: DataFrame, root: str, table: str) -> None:
+    """Append rows that lack columns of the stored schema, or have numbers as ids.
+
+    Numbers become text of equal length, so that ties by id are broken alike. An
+    upstream event's feature goes into its parameters.
+    """
+    if table == "upstream_events" and "parameters" not in rows.columns:
+        rows = rows.withColumn("parameters", F.to_json(F.struct("feature")))
+    kinds = [part.rsplit(" ", 1) for part in TABLES[table].split(", ")]
+    padded = rows.withColumn("id", F.lpad(F.col("id").cast("string"), 20, "0"))
+    append_table(
+        padded.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds]), root, table
+    )
+
+
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     """A telemetry table; filters on ``model_name`` and ``dt`` prune folders."""
     extra = "dt date"

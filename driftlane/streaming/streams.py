@@ -49,8 +49,19 @@ def delayed_labels(
 def sliding_confusion(
     labelled: DataFrame, window: str = "24 hours", slide: str = "6 hours", minimum: int = C.MIN_ACCURACY_SAMPLES
 ) -> DataFrame:
-    """Precision, recall and F1 per model and sliding window, once the window is closed."""
-    counts = labelled.groupBy(F.window("created_at", window, slide).alias("w"), "model_id").agg(*confusion())
+    """Precision, recall and F1 per model and sliding window, once the window is closed.
+
+    A row is counted once, in its slide; closed slides are then added up to windows. So
+    the state has a row per model and slide, however many windows hold one. Windows are
+    whole numbers of slides.
+    """
+    if pd.Timedelta(window) % pd.Timedelta(slide) != pd.Timedelta(0):
+        raise ValueError("the window must be a whole number of slides")
+    panes = labelled.groupBy(F.window("created_at", slide).alias("pane"), "model_id").agg(*confusion())
+    names = [c for c in panes.columns if c not in ("pane", "model_id")]
+    counts = panes.groupBy(F.window(F.window_time("pane"), window, slide).alias("w"), "model_id").agg(
+        *[F.sum(c).alias(c) for c in names]
+    )
     metrics = precision_recall_f1(counts).filter(F.col("n_samples") >= minimum)
     return metrics.select(
         "model_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_samples",
@@ -161,39 +172,53 @@ def deduplicate_alerts(alerts: DataFrame, minutes: int = C.DEDUP_MINUTES) -> Dat
     )
 
 
+_NEWEST = "model_id string, id {id}, created_at timestamp"
+
+
 def continuous_incidents(
     alerts: DataFrame,
     read_context: Callable[[SparkSession], dict[str, DataFrame]],
     folder: str,
+    keep_hours: float = 24.0,
+    minutes: int = C.DEDUP_MINUTES,
 ) -> DataStreamWriter:
     """Runs the incident pass on every batch of new alerts; offsets replace the processed flag.
 
-    ``read_context`` returns deployments, upstream, drift and accuracy tables. Each
-    batch writes its own folder, so a repeated batch replaces what it wrote before.
+    ``read_context`` returns deployments, upstream, drift and accuracy tables, of which only the
+    time range of the batch is read. What a batch must know of earlier ones is each
+    model's newest incident: one small table per batch, made from the one before it. An
+    incident leaves it ``keep_hours`` after no alert can join it any more by time; an alert
+    that is later than that opens a new one. Each batch writes its own folders, so a repeated
+    batch replaces what it wrote before, and the files that it reads don't grow with history.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        context = read_context(spark)
+        schema = _NEWEST.format(id=dict(batch.dtypes)["id"])
+        before = spark.createDataFrame([], schema)
+        if batch_id > 0:
+            before = spark.read.schema(schema).parquet(f"{folder}/newest/batch={batch_id - 1}")
         opened, assigned = incidents.incident_pass(
-            batch.withColumn("processed", F.lit(False)),
-            _incidents_before(spark, folder, batch_id, dict(batch.dtypes)["id"]), **context
+            batch.withColumn("processed", F.lit(False)), before, **read_context(spark)
         )
         opened.withColumn("created_at", F.current_timestamp()).write.mode("overwrite").parquet(
             f"{folder}/incidents/batch={batch_id}"
         )
         assigned.write.mode("overwrite").parquet(f"{folder}/assigned/batch={batch_id}")
+        new = spark.read.schema(schema).parquet(f"{folder}/incidents/batch={batch_id}")
+        oldest = batch.agg(F.min(F.unix_micros("triggered_at"))).first()[0]
+        known = before.unionByName(new).groupBy("model_id").agg(F.max(F.struct("created_at", "id")).alias("n"))
+        known = known.select("model_id", "n.id", "n.created_at")
+        # One row per model.
+        if oldest is not None:
+            known = known.where(F.unix_micros("created_at") >= oldest - int(keep_hours * 3600e6) - minutes * 60_000_000)
+        known.coalesce(1).write.mode("overwrite").parquet(
+            f"{folder}/newest/batch={batch_id}"
+        )
 
     return alerts.writeStream.foreachBatch(handle)
 
 
-def _incidents_before(spark: SparkSession, folder: str, batch_id: int, id_type: str) -> DataFrame:
-    schema = f"id {id_type}, model_id string, created_at timestamp"
-    if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(f"{schema}, batch bigint").parquet(f"{folder}/incidents").filter(F.col("batch") < batch_id)
-
-
 # --- running ----------------------------------------------------------------------------
 
 

@@ -4,9 +4,10 @@ import numpy as np
 from conftest import NOW, ago
 from pyspark.sql import functions as F
 
-from driftlane.operators import drift
+from driftlane.operators import drift, incidents
 from driftlane.operators.longform import feature_rows
-from driftlane.streaming import streams
+from driftlane.sources import files
+from driftlane.streaming import corrections, streams
 
 
 def source(spark, folder, schema, batches):
@@ -146,3 +147,60 @@ def test_continuous_incidents_do_not_repeat(spark, tmp_path):
     assert sorted(r.id for r in opened) == [1, 4]
     decisions = {r.id: r.decision for r in spark.read.parquet(str(tmp_path / "sink" / "assigned")).collect()}
     assert decisions == {1: "opens", 2: "attached", 3: "existing", 4: "opens"}
+
+
+def test_corrected_windows_equal_a_batch_report(spark, tmp_path):
+    """Rows of any age in every batch, repeated rows and null times: the last version of each window is exact."""
+    g = np.random.default_rng(12)
+    schema = "model_id string, created_at timestamp, prediction boolean, true_label boolean"
+    batches = []
+    for i in range(5):
+        newest = 100 - 18 * i
+        hours = np.concatenate([g.uniform(newest - 18, newest, 60), g.uniform(newest, 100, 12 if i else 0)])
+        rows = [(f"m{g.integers(0, 3)}", ago(hours=float(h)), bool(g.random() < 0.5), bool(g.random() < 0.5)) for h in hours]
+        batches.append([*rows, rows[0], (None, rows[0][1], True, True), ("m0", None, True, True)])
+    stream = source(spark, tmp_path, schema, batches)
+    folder = str(tmp_path / "sink")
+    streams.run_available(corrections.corrected_windows(stream, folder, "12 hours", "6 hours", "1 hour"), str(tmp_path / "offsets"))
+    got = corrections.corrected_report(spark, folder, minimum=1)
+    assert got.where("corrected").count() > 0
+    late = corrections.late_rows(spark, folder, schema)
+    assert 0 < late.count() < 12 * 4 + 5 and late.where("created_at IS NULL").count() == 0
+    rows = spark.read.schema(schema).parquet(str(tmp_path / "in"))
+    windows = rows.where("created_at IS NOT NULL").groupBy("model_id", F.window("created_at", "12 hours", "6 hours").alias("w")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("prediction") & F.col("true_label")).alias("tp"),
+        F.count_if("prediction").alias("p"), F.count_if("true_label").alias("y"),
+    )
+    newest = rows.agg(F.max("created_at")).first()[0]
+    want = {
+        (r.model_id, r.w.start): (r.n, round(r.tp / r.p, 4) if r.p else 0.0, round(r.tp / r.y, 4) if r.y else 0.0)
+        for r in windows.collect() if r.w.end <= newest - timedelta(hours=1)
+    }
+    assert {(r.model_id, r.window_start): (r.n_samples, r.precision, r.recall) for r in got.collect()} == want
+
+
+def test_continuous_incidents_read_only_the_days_of_a_batch(spark, tmp_path):
+    root = str(tmp_path / "store")
+    days = 40
+    reports = [(str(i), "m:v1", "f", ago(days=i), 0.5, "PSI", 100, "significant") for i in range(days)]
+    files.append_table(spark.createDataFrame(reports, files.TABLES["drift_reports"]), root, "drift_reports")
+    stored = files.read_table(spark, root, "drift_reports")
+    low, high = F.lit(ago(hours=24)).cast("timestamp"), F.lit(NOW).cast("timestamp")
+    pruned = incidents._between(stored, "checked_at", (low, high))
+    scan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dt" in scan and pruned.count() == 2
+    schema = "id string, model_id string, alert_type string, severity string, triggered_at timestamp"
+    alerts = [[(str(i), "m:v1", "feature_drift", "warning", ago(hours=10 - i))] for i in range(4)]
+    empty = {
+        "deployments": files.TABLES["deployments"], "upstream": files.TABLES["upstream_events"], "accuracy": files.TABLES["accuracy_reports"]
+    }
+
+    def context(session):
+        return {"drift": files.read_table(session, root, "drift_reports"), **{k: session.createDataFrame([], v) for k, v in empty.items()}}
+
+    folder = str(tmp_path / "sink")
+    streams.run_available(streams.continuous_incidents(source(spark, tmp_path, schema, alerts), context, folder), str(tmp_path / "offsets"))
+    opened = spark.read.parquet(f"{folder}/incidents")
+    assert [r.id for r in opened.collect()] == ["0"] and opened.first().drifting_features == ["f"]
+    # What a batch knows of the ones before is one row per model.
+    assert spark.read.parquet(f"{folder}/newest/batch=3").count() == 1
