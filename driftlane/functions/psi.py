@@ -27,9 +27,23 @@ def sigma_edges(median: Column, std: Column, bins: int = C.NUM_QUANTILE_BINS) ->
     return F.array(*[median - 3.0 * spread + (6.0 * i / bins) * spread for i in range(1, bins)])
 
 
-def bin_number(value: Column, edges: Column) -> Column:
-    """Left-closed bin of ``value``: how many cut points are at or below it, of however many."""
-    return F.size(F.filter(edges, lambda edge: edge <= value))
+#: Up to so many cut points are written out as comparisons, which stay in generated code.
+_WRITTEN_OUT = 64
+
+
+def most_edges(edges: DataFrame) -> int:
+    """The largest number of cut points in a stored table of edges."""
+    return edges.agg(F.max(F.size("edges"))).first()[0] or 0
+
+
+def bin_number(value: Column, edges: Column, most: int) -> Column:
+    """Left-closed bin of ``value``: how many of the cut points, ``most`` of them at most, are at or below it."""
+    if most > _WRITTEN_OUT:
+        return F.size(F.filter(edges, lambda edge: edge <= value))
+    number = F.lit(0)
+    for i in range(most):
+        number = number + F.when(F.get(edges, F.lit(i)) <= value, 1).otherwise(0)
+    return number
 
 
 def classify(score: Column, sample_size: Column, minimum: int = C.MIN_DRIFT_SAMPLES) -> Column:

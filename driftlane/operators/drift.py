@@ -91,7 +91,7 @@ def _binned(rows: DataFrame, edges: DataFrame) -> DataFrame:
         | ((F.col("kind") == "numeric") & usable_number(F.col("number")) & F.col("edges").isNotNull())
         | ((F.col("kind") == "categorical") & F.col("category").isNotNull())
     )
-    number = F.when(F.col("kind") == "numeric", psi.bin_number(F.col("number"), F.col("edges")))
+    number = F.when(F.col("kind") == "numeric", psi.bin_number(F.col("number"), F.col("edges"), psi.most_edges(edges)))
     return rows.join(edges, KEYS, "left").filter(usable).withColumn("bin", number)
 
 
@@ -147,6 +147,11 @@ def drift_report(
     counted = _binned(current, edges).groupBy(*_BIN_KEYS).agg(
         F.count(F.lit(1)).alias("actual"), F.sum("number").alias("total")
     )
+    return report_of_counts(counted, expected, as_of, minimum)
+
+
+def report_of_counts(counted: DataFrame, expected: DataFrame, as_of: datetime, minimum: int = C.MIN_DRIFT_SAMPLES) -> DataFrame:
+    """The report from current rows already counted per bin (``actual``, and ``total`` of their numbers)."""
     bins = (
         expected.select(*_BIN_KEYS, "expected", F.lit(0).cast("bigint").alias("actual"), F.lit(0.0).alias("total"))
         .unionByName(counted.withColumn("expected", F.lit(0.0)))

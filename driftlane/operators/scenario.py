@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlane import config as C
+from driftlane.functions import psi
 from driftlane.functions.ids import hash_bucket
 from driftlane.operators import drift
-from driftlane.operators.longform import feature_rows
+from driftlane.operators.longform import ROWS, usable_number
 
 
 @dataclass(frozen=True)
@@ -92,33 +93,59 @@ def response_curve(
     expected: DataFrame,
     as_of: datetime,
 ) -> DataFrame:
-    """PSI of every feature under every scenario, in one pass over the rows.
+    """PSI of every feature under every scenario, from one pass over the rows.
 
-    Each row is repeated once per scenario; the scenarios are a short fixed list.
+    A row isn't repeated per scenario. Every feature is binned in each of its versions,
+    of which there are as many as scenarios that change it; rows are counted per
+    combination of bins, and only those counts are handed out to the scenarios.
     """
-    names = F.explode(F.array(*[F.lit(name) for name in scenarios])).alias("scenario")
-
-    def tagged(df: DataFrame) -> DataFrame:
-        repeated = df.select("*", names)
-        return repeated.withColumn("model_id", F.concat_ws("|", "model_id", "scenario"))
-
-    rows = tagged(current)
     base = {c: F.col(c) for c in (*numeric, *categorical)}
-    variants = {name: perturbed(base, steps, F.col(row_id)) for name, steps in scenarios.items()}
-
-    def under_scenario(feature: str) -> Column:
-        chain = None
-        for name, columns in variants.items():
-            here = F.col("scenario") == name
-            chain = F.when(here, columns[feature]) if chain is None else chain.when(here, columns[feature])
-        return chain
-
-    long = feature_rows(
-        rows, {c: under_scenario(c) for c in numeric}, {c: under_scenario(c) for c in categorical}
-    )
-    report = drift.drift_report(
-        long, tagged(edges).drop("scenario"), tagged(expected).drop("scenario"), as_of
-    )
+    versions, at = {c: [base[c]] for c in base}, {}
+    for name, steps in scenarios.items():
+        changed = perturbed(base, steps, F.col(row_id))
+        for c in {step.feature for step in steps if step.kind != "delay" and step.feature in base}:
+            versions[c].append(changed[c])
+            at[name, c] = len(versions[c]) - 1
+
+    def entry(kind: str, feature: str) -> Column:
+        found = versions.get(feature, [])
+        return F.struct(
+            F.lit(kind).alias("kind"), F.lit(feature).alias("feature"),
+            F.array(*[v.try_cast("double") for v in found if kind == "numeric"]).cast("array<double>").alias("numbers"),
+            F.array(*[v.cast("string") for v in found if kind == "categorical"]).cast("array<string>").alias("categories"),
+        )
+
+    entries = [entry("rows", ROWS), *[entry("numeric", c) for c in numeric], *[entry("categorical", c) for c in categorical]]
+    long = current.select("model_id", F.explode(F.array(*entries)).alias("_e")).select("model_id", "_e.*")
+    most = psi.most_edges(edges)
+
+    def binned(i: int) -> Column:
+        number = F.get("numbers", F.lit(i))
+        return F.when(F.col("edges").isNotNull() & usable_number(number), psi.bin_number(number, F.col("edges"), most))
+
+    bins = F.array(*[binned(i) for i in range(max((len(versions[c]) for c in numeric), default=0))]).cast("array<int>")
+    counted = long.join(edges, drift.KEYS, "left").groupBy(
+        *drift.KEYS, "kind", "categories", F.when(F.col("kind") == "numeric", bins).alias("bins")
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+    def version(name: str) -> Column:
+        index = F.lit(0)
+        for (scenario, c), i in at.items():
+            if scenario == name:
+                index = F.when(F.col("feature") == c, i).otherwise(index)
+        return index
+
+    spread = counted.select("*", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("scenario"), version(name).alias("version")) for name in scenarios
+    ])).alias("s"))
+    per_scenario = spread.select(
+        F.concat_ws("|", "model_id", "s.scenario").alias("model_id"), "feature", "kind", "n",
+        F.get("bins", F.col("s.version")).alias("bin"), F.get("categories", F.col("s.version")).alias("category"),
+    ).where("kind = 'rows' OR (kind = 'numeric' AND bin IS NOT NULL) OR (kind = 'categorical' AND category IS NOT NULL)")
+    actual = per_scenario.groupBy(*drift.KEYS, "bin", "category").agg(F.sum("n").alias("actual"), F.lit(0.0).alias("total"))
+    names = F.explode(F.array(*[F.lit(name) for name in scenarios])).alias("scenario")
+    tagged = expected.select("*", names).withColumn("model_id", F.concat_ws("|", "model_id", "scenario")).drop("scenario")
+    report = drift.report_of_counts(actual, tagged, as_of)
     return report.select(
         F.split_part("model_id", F.lit("|"), F.lit(1)).alias("model_id"),
         F.split_part("model_id", F.lit("|"), F.lit(2)).alias("scenario"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,11 +13,12 @@ from driftlane.functions.ids import hash_order
 from driftlane.functions.ranks import values_at_ranks
 
 _BYTES = 6  # so many bytes of text make an exactly representable number
+_EXACT = 2**53  # up to here doubles tell whole numbers apart
 
 
-def _chunk(text: Column, depth: int) -> Column:
-    """So many bytes of the text, the ``depth``-th time, as a number that sorts the same way."""
-    part = F.hex(F.substring(F.encode(text, "UTF-8"), depth * _BYTES + 1, _BYTES))
+def _chunk(text: Column, start: int) -> Column:
+    """So many bytes of the text from ``start`` as a number that sorts the same way."""
+    part = F.hex(F.substring(F.encode(text, "UTF-8"), start + 1, _BYTES))
     return F.conv(F.rpad(part, 2 * _BYTES, "0"), 16, 10).cast("double")
 
 
@@ -25,34 +28,47 @@ def _half(number: Column, depth: int) -> Column:
     return (F.shiftright(whole, 32) if depth == 0 else whole.bitwiseAND(F.lit(0xFFFFFFFF))).cast("double")
 
 
+def _common_bytes(first: str, last: str) -> int:
+    """How many leading bytes all texts between two share."""
+    return len(os.path.commonprefix([first.encode(), last.encode()]))
+
+
 def id_at_rank(df: DataFrame, column: str, rank: int):
     """The ``rank``-th smallest id (from zero), found by counting, not by sorting.
 
-    Whole numbers are compared by halves and text a few bytes at a time, so that every
-    step is exact; each round looks only at the ids that share what was found so far.
-    Ids must be unique; the rank must be below their number.
+    Numbers that doubles tell apart take one search; other whole numbers are compared by
+    halves and text a few bytes at a time, after the bytes that all ids share, so that
+    every step is exact; each round looks only at the ids that share what was found so
+    far. Ids must be unique; the rank must be below their number.
     """
     kind = df.schema[column].dataType
+    id_column = F.col(column)
     if isinstance(kind, T.DecimalType):
-        raise TypeError("ids are whole numbers, doubles or text")
+        if kind.scale or kind.precision > 18:
+            raise TypeError("ids are whole numbers, doubles or text")
+        df, kind = df.withColumn(column, id_column.cast("bigint")), T.LongType()
+    first, last = df.agg(F.min(id_column), F.max(id_column)).first()
     exact = isinstance(kind, (T.DoubleType, T.FloatType))
     whole = isinstance(kind, T.NumericType) and not exact
+    exact = exact or (whole and -_EXACT <= first and last <= _EXACT)
+    start = 0 if isinstance(kind, T.NumericType) else _common_bytes(first, last)
     ids = df.select(column, F.lit(0).alias("_all"))
     depth = 0
     while True:
-        id_column = F.col(column)
-        code = id_column.cast("double") if exact else _half(id_column, depth) if whole else _chunk(id_column, depth)
+        code = id_column.cast("double") if exact else _half(id_column, depth) if whole else _chunk(id_column, start + depth * _BYTES)
         coded = ids.withColumn("_code", code)
         value = values_at_ranks(coded, ["_all"], "_code", lambda _, r=rank: F.array(F.lit(r).cast("bigint"))).first().value
+        if exact:
+            return int(value) if whole else value
         here = coded.filter(F.col("_code") == value)
         below, same, smallest = coded.agg(
             F.count_if(F.col("_code") < value), F.count_if(F.col("_code") == value),
             F.min(F.when(F.col("_code") == value, id_column)),
         ).first()
-        if same == 1 or exact or (whole and depth == 1):
+        if same == 1 or (whole and depth == 1):
             return smallest
         rank -= below
-        if not whole and not here.filter(F.length(F.encode(column, "UTF-8")) > (depth + 1) * _BYTES).limit(1).count():
+        if not whole and not here.filter(F.length(F.encode(column, "UTF-8")) > start + (depth + 1) * _BYTES).limit(1).count():
             return smallest
         ids, depth = here.drop("_code"), depth + 1
 
