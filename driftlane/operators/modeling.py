@@ -9,16 +9,18 @@ from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlane import config as C
 from driftlane.config import Tenant
 from driftlane.functions.metrics import classification_metrics
 from driftlane.functions.ranks import exact_quantiles
-from driftlane.operators import canary, profile, splits
+from driftlane.functions.positions import positions
+from driftlane.operators import canary, profile, quality, splits
 from driftlane.operators.longform import feature_rows
 from driftlane.session import materialise
+from driftlane.sources import files
 
 LABEL = "label"
 
@@ -36,11 +38,14 @@ def numeric_statistics(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 
 
 def category_codes(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """The code of every category: its place in sorted order, with "missing" for nulls."""
+    """The code of every category: its place in sorted order, with "missing" for nulls.
+
+    Places are counted over ranges of the sorted categories, so that millions of one
+    feature are numbered by many tasks.
+    """
     rows = feature_rows(df, {}, {c: F.coalesce(F.col(c).cast("string"), F.lit("missing")) for c in columns}, keep=())
     distinct = rows.filter("kind = 'categorical'").select("feature", "category").distinct()
-    place = F.row_number().over(Window.partitionBy("feature").orderBy("category"))
-    return distinct.withColumn("code", place - 1)
+    return positions(distinct, ["feature"], ["category"], "code").select("feature", "category", F.col("code").cast("int").alias("code"))
 
 
 def preprocessing(df: DataFrame, tenant: Tenant) -> list[Transformer]:
@@ -132,8 +137,12 @@ def _stored(labelled_rows: DataFrame, tenant: Tenant) -> DataFrame:
     return materialise(labelled_rows.select(tenant.id_column, *tenant.features, LABEL))
 
 
-def train_model(labelled_rows: DataFrame, tenant: Tenant, version: str = "v1") -> Trained:
-    """Hold-out by id order, stratified test split, fit, evaluation and baseline tables."""
+def train_model(labelled_rows: DataFrame, tenant: Tenant, version: str = "v1", store: str | None = None) -> Trained:
+    """Hold-out by id order, stratified test split, fit, evaluation and baseline tables.
+
+    With ``store`` the metrics and baselines are saved there under this version, for the
+    accuracy and drift checks to load.
+    """
     rows = _stored(labelled_rows, tenant)
     eligible = splits.ordered_holdout(rows, tenant.id_column).filter(~F.col("held_out")).drop("held_out")
     parts = materialise(splits.stratified_split(eligible, LABEL, tenant.id_column))
@@ -141,7 +150,38 @@ def train_model(labelled_rows: DataFrame, tenant: Tenant, version: str = "v1") -
     model = fit(train, tenant)
     model_id = f"{tenant.name}:{version}"
     metrics = evaluate(model, test).withColumn("model_id", F.lit(model_id))
-    return Trained(model, metrics, **_baseline(model, train, tenant, model_id))
+    trained = Trained(model, metrics, **_baseline(model, train, tenant, model_id))
+    if store:
+        files.save_baseline(
+            store, numeric=trained.numeric, categorical=trained.categorical, prediction=trained.prediction, metrics=trained.metrics
+        )
+    return trained
+
+
+def train_from_csv(spark: SparkSession, path: str, tenant: Tenant, version: str = "v1", store: str | None = None) -> Trained:
+    """From a raw file of a tenant to its model and baselines."""
+    return train_model(quality.training_rows(files.read_csv_text(spark, path), tenant), tenant, version, store)
+
+
+def gradient(model: PipelineModel, train: DataFrame) -> DataFrame:
+    """``place, gradient``: per coefficient (the intercept last) the slope of the fitted objective, per row.
+
+    The objective is the class-balanced loss plus half the squared coefficients. Its
+    gradient vanishes at the optimum and nowhere else, so it shows that a fit has converged.
+    """
+    fitted = model.stages[-1]
+    coefficients = [float(c) for c in fitted.coefficients]
+    counts = {r[LABEL]: r["n"] for r in train.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(counts.values())
+    weight = F.lit(0.0)
+    for label, n in counts.items():
+        weight = F.when(F.col(LABEL) == label, total / (len(counts) * n)).otherwise(weight)
+    scored = model.transform(train).select(
+        vector_to_array("features").alias("x"), (weight * (vector_to_array("probability")[1] - F.col(LABEL))).alias("r")
+    )
+    slopes = [F.sum(F.col("r") * F.col("x")[i]) + c for i, c in enumerate(coefficients)]
+    sums = scored.agg(F.array(*slopes, F.sum("r")).alias("g"), F.count(F.lit(1)).alias("n"))
+    return sums.select("n", F.posexplode("g").alias("place", "g")).select("place", (F.col("g") / F.col("n")).alias("gradient"))
 
 
 def retrain(

@@ -42,6 +42,16 @@ def preprocess(df: DataFrame, tenant: Tenant) -> DataFrame:
     )
 
 
+def training_rows(raw: DataFrame, tenant: Tenant) -> DataFrame:
+    """What training starts from: the id, the features as ``preprocess`` cleans them, and the 0/1 ``label``."""
+    return raw.select(
+        F.col(tenant.id_column),
+        *[lenient_number(F.col(c).cast("string")).alias(c) for c in tenant.numeric],
+        *[F.col(c).cast("string").alias(c) for c in tenant.categorical],
+        binary_label(F.col(tenant.target)).alias("label"),
+    )
+
+
 def _field_violations(tenant: Tenant) -> list[Column]:
     checks = []
     for name in tenant.numeric:

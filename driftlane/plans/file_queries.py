@@ -89,4 +89,47 @@ def stored_baseline(spark, sf_dir):
     files.save_baseline(root, numeric=profiled(rows.filter(F.col("created_at") < F.lit(T.DRIFT_SPLIT))))
     files.save_baseline(root, numeric=profiled(rows.filter(F.col("model_id") == "m1:v1")))
     others = files.load_baseline(spark, root, "numeric").filter(F.col("model_id") != "m1:v1")
-    return others.unionByName(files.load_baseline(spark, root, "numeric", "m1:v1"))
+    return others.unionByName(files.load_baseline(spark, root, "numeric", "m1:v1")).select("model_id", "feature", "mean")
+
+
+@query(
+    "committed_alerts",
+    """SELECT CAST(id AS VARCHAR) AS id, model_id, alert_type, strftime(triggered_at, '%Y-%m-%d') AS day FROM alerts WHERE NOT processed""",
+)
+def committed_alerts(spark, sf_dir):
+    """A batch that is appended twice, one that is replaced, and one that was never committed."""
+    root = _folder(spark)
+    rows = T.alerts(spark, sf_dir).withColumn("id", F.col("id").cast("string")).withColumn("details", F.lit("{}"))
+    critical, warning = (rows.filter(F.col("severity") == s) for s in ("critical", "warning"))
+    files.commit_batch(critical.filter("NOT processed"), root, "alerts", "1")
+    files.commit_batch(critical.filter("NOT processed"), root, "alerts", "1")
+    files.commit_batch(warning, root, "alerts", "2")
+    files.commit_batch(warning.filter("NOT processed"), root, "alerts", "2")
+    lost = rows.withColumn("model_name", F.lit("lost")).withColumn("dt", F.to_date("triggered_at"))
+    lost.write.partitionBy("model_name", "dt").parquet(f"{root}/alerts/batch=3")
+    return files.read_committed(spark, root, "alerts").select("id", "model_id", "alert_type", F.col("dt").cast("string").alias("day"))
+
+
+_PROFILES = """
+numbers AS (SELECT model_id, feature, round(avg(v), 4) AS mean, round(median(v), 4) AS median,
+                   count(*) FILTER (v IS NULL) AS n_missing FROM feat_numeric WHERE NOT is_current GROUP BY ALL),
+categories AS (SELECT model_id, feature, coalesce(v, 'nan') AS category, count(*) AS cnt FROM feat_category WHERE NOT is_current GROUP BY ALL)"""
+
+
+@query(
+    "baseline_documents",
+    f"""WITH {_PROFILES}
+SELECT model_id, feature, CAST(NULL AS VARCHAR) AS category, mean, median, n_missing, CAST(NULL AS BIGINT) AS cnt FROM numbers
+UNION ALL SELECT model_id, feature, category, NULL, NULL, NULL, cnt FROM categories""",
+)
+def baseline_documents(spark, sf_dir):
+    """Baselines written as one JSON document per model, as training stores them, and loaded back."""
+    before = T.feature_table(spark, sf_dir).filter(F.col("created_at") < F.lit(T.DRIFT_SPLIT))
+    long = feature_rows(before, {c: F.col(c) for c in T.NUMERIC_FEATURES}, {c: F.col(c) for c in T.CATEGORICAL_FEATURES})
+    path = f"{_folder(spark)}/documents"
+    files.write_snapshot(profile.numeric_profile(long), profile.category_counts(long), path)
+    tables = files.read_snapshot(spark, path)
+    numeric = tables["numeric"].select(
+        "model_id", "feature", F.lit(None).cast("string").alias("category"), "mean", "median", "n_missing", F.lit(None).cast("bigint").alias("cnt")
+    )
+    return numeric.unionByName(tables["categorical"], allowMissingColumns=True)

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from driftlane import config as C
-from driftlane.operators import canary, drift, profile, quality, scenario, splits
+from driftlane.operators import canary, drift, modeling, profile, quality, scenario, splits
 from driftlane.operators.accuracy import classification_metrics, labelled
 from driftlane.operators.longform import feature_rows
 from driftlane.operators.scenario import Perturbation
 from driftlane.plans.drift_queries import _decile_edges, _psi_sql
 from driftlane.plans.registry import query
 from driftlane.plans.report_queries import metrics_sql
-from driftlane.session import materialise
+from driftlane.session import materialise, shared_folder
 from driftlane.sources import driver_tables as T
+from driftlane.sources import files
 
 # --- cleaning ----------------------------------------------------------------------
 
@@ -150,6 +153,67 @@ def violation_counts(spark, sf_dir):
     return quality.violation_counts(_validated(spark, sf_dir, C.CHURN), ["source"])
 
 
+@query(
+    "preprocessed_requests",
+    f"""WITH requests AS (SELECT o_orderkey, {_request_sql(C.FRAUD)} FROM orders)
+SELECT {", ".join(f'TRY_CAST("{c}" AS DOUBLE) AS "{c}"' for c in C.FRAUD.numeric)},
+  {", ".join(f'"{c}"' for c in C.FRAUD.categorical)}, CAST(CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE 0 END AS INT) AS is_fraud FROM requests""",
+)
+def preprocessed_requests(spark, sf_dir):
+    """Features in declared order and the label; ids and other columns are gone."""
+    raw = _raw(spark, sf_dir, C.FRAUD).withColumn("note", F.lit("not a feature"))
+    return quality.preprocess(raw, C.FRAUD)
+
+
+# --- from a raw file to stored baselines ---------------------------------------------
+
+
+def _raw(spark, sf_dir, tenant):
+    """A tenant's raw rows: text ids, features as sent, labels as people write them."""
+    key = F.col("o_orderkey")
+    fraud = F.when(key % 6 == 0, "1").otherwise("0")
+    churn = F.element_at(F.array(*[F.lit(v) for v in _RAW_LABELS]), (key % 5 + 1).cast("int"))
+    return T.table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("id-"), F.lpad(key.cast("string"), 12, "0")).alias(tenant.id_column), *_request_columns(tenant),
+        (churn if tenant is C.CHURN else fraud).alias(tenant.target),
+    )
+
+
+def _trained_sql(tenant: C.Tenant, positive: str) -> str:
+    name = tenant.name.split("-")[0]
+    values = " UNION ALL ".join(
+        f"""SELECT '{c}' AS feature, TRY_CAST("{c}" AS DOUBLE) AS v FROM {name}_train""" for c in tenant.numeric
+    )
+    return f"""{name}_raw AS (SELECT 'id-' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id, {_request_sql(tenant)},
+  CASE WHEN {positive} THEN 1 ELSE 0 END AS label FROM orders),
+{name}_kept AS (SELECT * FROM {name}_raw QUALIFY row_number() OVER (ORDER BY id) <= floor(0.85::DOUBLE * count(*) OVER ())),
+{name}_train AS (SELECT * FROM {name}_kept QUALIFY
+  row_number() OVER (PARTITION BY label ORDER BY CAST('0x' || substr(md5(id), 1, 12) AS BIGINT)) >
+  floor(count(*) OVER (PARTITION BY label) * 0.2::DOUBLE + 0.5::DOUBLE)),
+{name}_profile AS (SELECT '{tenant.name}:v2' AS model_id, feature, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std,
+  round(median(v), 4) AS median, round(quantile_cont(v, 0.25), 4) AS p25, round(quantile_cont(v, 0.9), 4) AS d9,
+  count(*) FILTER (v IS NULL) AS n_missing FROM ({values}) GROUP BY feature)"""
+
+
+@query(
+    "raw_files_to_stored_baselines",
+    f"""WITH {_trained_sql(C.CHURN, "o_orderkey % 5 IN (0, 2)")},
+{_trained_sql(C.FRAUD, "o_orderkey % 6 = 0")}
+SELECT * FROM churn_profile UNION ALL SELECT * FROM fraud_profile""",
+)
+def raw_files_to_stored_baselines(spark, sf_dir):
+    """Both tenants: raw CSV, cleaning, hold-out, split, training, stored baselines; the newest version is loaded."""
+    root = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    for tenant in (C.CHURN, C.FRAUD):
+        path = f"{root}/{tenant.name}"
+        _raw(spark, sf_dir, tenant).write.option("header", True).csv(path)
+        trained = modeling.train_from_csv(spark, path, tenant, "v2", f"{root}/store")
+        files.save_baseline(f"{root}/store", numeric=trained.numeric.withColumns({"model_id": F.lit(f"{tenant.name}:v1"), "mean": F.lit(0.0)}))
+    return files.load_newest(spark, f"{root}/store", "numeric").select(
+        "model_id", "feature", "mean", "std", "median", "p25", F.col("deciles")[8].alias("d9"), "n_missing"
+    )
+
+
 # --- splits ---------------------------------------------------------------------------
 
 

@@ -83,6 +83,17 @@ def preprocessed_rows(spark, sf_dir):
     )
 
 
+@query(
+    "fit_optimality",
+    "SELECT CAST(place AS INT) AS place, 0.0::DOUBLE AS gradient FROM range(0, 5) r(place)",
+)
+def fit_optimality(spark, sf_dir):
+    """Four coefficients and the intercept: the gradient of the objective at the fit, which is zero at the optimum only."""
+    rows = materialise(training_rows(spark, sf_dir))
+    found = modeling.gradient(modeling.fit(rows, ORDERS), rows)
+    return found.select("place", F.abs(F.round("gradient", 4)).alias("gradient"))
+
+
 @query("train_and_evaluate")
 def train_and_evaluate(spark, sf_dir):
     return modeling.train_model(training_rows(spark, sf_dir), ORDERS).metrics

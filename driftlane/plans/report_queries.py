@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from driftlane.functions.ids import model_name
 from driftlane.operators import accuracy, dashboard
 from driftlane.plans.registry import query, stamp
 from driftlane.plans.view_sql import stamp_sql
+from driftlane.session import shared_folder
 from driftlane.sources import driver_tables as T
+from driftlane.sources import files
 
 _HOURS = 24 * 400
 
@@ -88,8 +93,14 @@ FROM compared WHERE baseline_f1 > 0 AND baseline_f1 - f1 >= 0.15::DOUBLE""",
 def accuracy_drop_alerts(spark, sf_dir):
     before = T.predictions(spark, sf_dir).filter(F.col("created_at") < F.lit(T.PREDICTION_SPLIT))
     trained = accuracy.classification_metrics(accuracy.labelled(before, T.outcomes(spark, sf_dir)), ["model_id"])
-    baseline = trained.select("model_id", (F.round("f1", 4) + 0.15).alias("f1"))
-    alerts = accuracy.accuracy_alerts(_accuracy(spark, sf_dir), baseline)
+    # Saved as version 1 with other values first: the check loads the newest version.
+    store = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    newest = F.concat(model_name(F.col("model_id")), F.lit(":v"))
+    saved = trained.select("model_id", "n_samples", "precision", "recall", (F.round("f1", 4) + 0.15).alias("f1"), "roc_auc")
+    files.save_baseline(store, metrics=saved.withColumn("f1", F.lit(0.0)))
+    files.save_baseline(store, metrics=saved.withColumn("model_id", F.concat(newest, F.lit("12"))))
+    loaded = files.load_newest(spark, store, "metrics").withColumn("model_id", F.concat(newest, F.lit("1")))
+    alerts = accuracy.accuracy_alerts(_accuracy(spark, sf_dir), loaded)
     return alerts.select("model_id", "alert_type", "severity", "current_f1", "baseline_f1", "drop", "n_samples")
 
 

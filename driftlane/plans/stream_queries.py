@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftlane.operators import drift, profile
 from driftlane.operators.longform import feature_rows
+from driftlane.plans.drift_queries import _STATUS, _decile_edges, _psi_sql
 from driftlane.plans.incident_queries import _EVIDENCE, _TARGETS
 from driftlane.plans.registry import query, stamp
 from driftlane.plans.view_sql import stamp_sql
@@ -161,7 +162,33 @@ def stream_corrected_accuracy(spark, sf_dir):
     return report.drop("window_end", "corrected").withColumn("window_start", stamp("window_start"))
 
 
-@query("stream_window_drift")
+_WINDOW = "CAST(floor(epoch(created_at) / 15552000) AS BIGINT)"
+_OPEN = "(SELECT CAST(floor((epoch(max(l_shipdate)) - 86400) / 15552000) AS BIGINT) FROM lineitem)"
+
+
+def _windowed(rows: str, value: str) -> str:
+    """All rows as current ones of their window, and the baseline rows as those of every window."""
+    return f"""(SELECT model_id || '|' || {_WINDOW} AS model_id, TRUE AS is_current{value} FROM {rows} WHERE {_WINDOW} < {_OPEN}
+      UNION ALL SELECT model_id || '|' || w, FALSE{value} FROM {rows},
+        (SELECT DISTINCT {_WINDOW} AS w FROM feat WHERE {_WINDOW} < {_OPEN}) WHERE NOT is_current)"""
+
+
+_FEATURES_AT = {
+    "numeric": "(" + " UNION ALL ".join(f"SELECT model_id, is_current, created_at, '{c}' AS feature, {c} AS v FROM feat" for c in T.NUMERIC_FEATURES) + ")",
+    "category": "(" + " UNION ALL ".join(f"SELECT model_id, is_current, created_at, '{c}' AS feature, {c} AS v FROM feat" for c in T.CATEGORICAL_FEATURES) + ")",
+}
+
+
+@query(
+    "stream_window_drift",
+    _psi_sql(
+        _windowed(_FEATURES_AT["numeric"], ", feature, v"), _windowed(_FEATURES_AT["category"], ", feature, v"), _windowed("feat", ""),
+        _decile_edges(_windowed(_FEATURES_AT["numeric"], ", feature, v")), "1",
+        f"""SELECT {stamp_sql("TIMESTAMP '1970-01-01' + to_seconds(CAST(split_part(model_id, '|', 2) AS BIGINT) * 15552000)")} AS window_start,
+            split_part(model_id, '|', 1) AS model_id, feature AS feature_name, psi_score, sample_size, {_STATUS} AS status
+            FROM scored JOIN samples USING (model_id) WHERE sample_size > 0""",
+    ),
+)
 def stream_window_drift(spark, sf_dir):
     before = T.feature_table(spark, sf_dir).filter(F.col("created_at") < F.lit(T.DRIFT_SPLIT))
 

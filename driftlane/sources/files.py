@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlane.functions.ids import model_name
+from driftlane.functions.ids import model_name, model_version
 from driftlane.operators.quality import number_or_zero
 
 # Fixed schemas of the telemetry tables.
@@ -60,6 +60,16 @@ _EVENT_TIME = {
     "canary_deployments": "started_at",
 }
 
+# Fixed schemas of the baseline tables; each also has the ``model_id``.
+BASELINES = {
+    "numeric": (
+        "feature string, mean double, std double, median double, p25 double, p75 double, deciles array<double>, n_missing bigint"
+    ),
+    "categorical": "feature string, category string, cnt bigint",
+    "prediction": "mean_confidence double, positive_class_ratio double, deciles array<double>",
+    "metrics": "n_samples bigint, precision double, recall double, f1 double, roc_auc double",
+}
+
 SNAPSHOT = (
     "numeric map<string, struct<mean double, std double, median double, p25 double, p75 double, "
     "deciles array<double>, n_missing bigint>>, "
@@ -74,6 +84,11 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
 
 
+def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
+    """A raw CSV with a header, every column as text; a missing path fails at once."""
+    return spark.read.option("header", True).csv(path)
+
+
 def write_holdout(holdout: DataFrame, path: str) -> None:
     holdout.write.mode("overwrite").option("header", True).csv(path)
 
@@ -90,13 +105,37 @@ def append_table(rows: DataFrame, root: str, table: str) -> None:
     Rebalancing gathers the rows of a folder into few files and splits a large
     tenant or a busy day over several writers.
     """
+    dated, folders = _foldered(rows, table)
+    dated.hint("rebalance", *folders).write.mode("append").partitionBy(*folders).parquet(f"{root}/{table}")
+
+
+def _foldered(rows: DataFrame, table: str) -> tuple[DataFrame, list[str]]:
+    """Rows with their day and tenant (if any), and the folders these make."""
     dated = rows.withColumn("dt", F.to_date(_EVENT_TIME[table]))
-    folders = ["dt"]
     if "model_id" in rows.columns:
-        dated, folders = dated.withColumn("model_name", model_name(F.col("model_id"))), ["model_name", "dt"]
-    elif "model_name" in rows.columns:
-        folders = ["model_name", "dt"]
-    dated.hint("rebalance", *folders).write.mode("append").partitionBy(*folders).parquet(f"{root}/{table}")
+        return dated.withColumn("model_name", model_name(F.col("model_id"))), ["model_name", "dt"]
+    return dated, ["model_name", "dt"] if "model_name" in rows.columns else ["dt"]
+
+
+def commit_batch(rows: DataFrame, root: str, table: str, batch: str) -> None:
+    """Append the rows of a batch, once however often it is tried.
+
+    A batch has a folder of its own, which a repeated append replaces. The entry in the
+    table of commits is written last: until then readers don't see the batch.
+    """
+    dated, folders = _foldered(rows, table)
+    dated.hint("rebalance", *folders).write.mode("overwrite").partitionBy(*folders).parquet(f"{root}/{table}/batch={batch}")
+    entry = rows.sparkSession.range(1).select(F.lit(batch).alias("batch"))
+    entry.coalesce(1).write.mode("overwrite").parquet(f"{root}/{table}_commits/of={batch}")
+
+
+def read_committed(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """The rows of all committed batches; filters on ``model_name`` and ``dt`` prune folders."""
+    names = [part.rsplit(" ", 1)[0] for part in TABLES[table].split(", ")]
+    tenant = "model_name string, " if "model_id" in names else ""
+    rows = spark.read.schema(f"{TABLES[table]}, batch string, {tenant}dt date").parquet(f"{root}/{table}")
+    commits = spark.read.schema("batch string").parquet(f"{root}/{table}_commits")
+    return rows.join(commits, "batch", "left_semi").drop("batch")
 
 
 def store_derived(rows: DataFrame, root: str, table: str) -> None:
@@ -153,6 +192,30 @@ def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"numeric": numeric, "categorical": categorical, "prediction": prediction, "metrics": metrics}
 
 
+def write_snapshot(numeric: DataFrame, categories: DataFrame, path: str) -> None:
+    """Profiles as one baseline document per model, in the form that ``read_snapshot`` reads.
+
+    A document holds what a model's features have, which is bounded by their number and
+    by their categories.
+    """
+    numbers = numeric.groupBy("model_id").agg(F.map_from_entries(F.collect_list(F.struct(
+        "feature", F.struct("mean", "std", "median", "p25", "p75", "deciles", "n_missing")
+    ))).alias("numeric"))
+    per_feature = categories.groupBy("model_id", "feature").agg(
+        F.map_from_entries(F.collect_list(F.struct("category", "cnt"))).alias("value_counts"),
+        F.sum("n_null").alias("n_missing"), F.count(F.lit(1)).alias("n_unique"),
+    )
+    texts = per_feature.groupBy("model_id").agg(F.map_from_entries(F.collect_list(F.struct(
+        "feature", F.struct("value_counts", "n_missing", "n_unique")
+    ))).alias("categorical"))
+    documents = numbers.join(texts, "model_id", "full").select(
+        F.col("model_id").alias("of"), model_name(F.col("model_id")).alias("model_name"), model_version(F.col("model_id")).alias("version"),
+        F.struct("numeric", "categorical").alias("training_data_snapshot"),
+    )
+    # A file per model, in a folder of its own.
+    documents.repartition("of").write.partitionBy("of").json(path)
+
+
 def save_baseline(root: str, **tables: DataFrame) -> None:
     """Store baseline tables: numeric, categorical, prediction, metrics.
 
@@ -167,11 +230,21 @@ def save_baseline(root: str, **tables: DataFrame) -> None:
 
 def load_baseline(spark: SparkSession, root: str, name: str, model_id: str | None = None) -> DataFrame:
     """A baseline table, of all models or of one ``name:version``, which reads that folder only."""
-    rows = spark.read.parquet(f"{root}/baseline_{name}").withColumn("model_id", F.col("model_id").cast("string"))
-    rows = rows.select("model_id", *[c for c in rows.columns if c != "model_id"])
+    rows = spark.read.schema(f"model_id string, {BASELINES[name]}").parquet(f"{root}/baseline_{name}")
     return rows if model_id is None else rows.filter(F.col("model_id") == model_id)
 
 
+def load_newest(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A baseline table with the rows of each model's newest version, by its number."""
+    rows = load_baseline(spark, root, name)
+    number = F.regexp_extract("model_id", r":\D*(\d+)", 1).try_cast("int")
+    # Folder names alone are read for this.
+    newest = rows.select("model_id").distinct().groupBy(model_name(F.col("model_id")).alias("name")).agg(
+        F.max(F.struct(number.alias("number"), "model_id"))["model_id"].alias("model_id")
+    )
+    return rows.join(newest.select("model_id"), "model_id", "left_semi")
+
+
 def prediction_as_feature(prediction: DataFrame) -> DataFrame:
     """Stored score deciles in the shape of a numeric feature called ``_prediction``."""
     return prediction.select(
