@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftlane.functions.positions import SALT, in_lots, lot_offsets, numbered, positions, salted, same
 from driftlane.llm.common import LOWER, UPPER
-from driftlane.llm.ranking import SALT, in_lots, lot_offsets, numbered, positions, salted, same
 from driftlane.session import materialise
 
 FANOUT = 16

@@ -16,8 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftlane.functions.positions import SALT, in_lots, lot_offsets, numbered, positions, salted, same
 from driftlane.llm.list_ranking import list_ranks
-from driftlane.llm.ranking import SALT, in_lots, lot_offsets, numbered, positions, salted, same
 from driftlane.session import materialise
 
 #: Turns of a conversation, and arcs of the tour, that one window sees at most.

@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftlane.functions.positions import SALT, positions, salted
 from driftlane.llm.mixing import size_of
-from driftlane.llm.ranking import SALT, positions, salted
 from driftlane.session import materialise
 
 MEASURES = ["bytes", "tokens", "rows"]

@@ -8,11 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from driftlane.functions.positions import SALT, positions, salted
 from driftlane.llm import list_ranking
 from driftlane.llm import prefix_trie as trie
 from driftlane.llm.list_ranking import list_ranks
 from driftlane.llm.merkle import manifest
-from driftlane.llm.ranking import SALT, positions, salted
 from driftlane.llm.sharding import pack, shard_documents
 
 
