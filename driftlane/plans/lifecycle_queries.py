@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from driftlane import config as C
-from driftlane.operators import canary, drift, modeling, profile, quality, scenario, splits
+from driftlane.operators import canary, drift, modeling, profile, quality, scenario, splits, tenants
 from driftlane.operators.accuracy import classification_metrics, labelled
 from driftlane.operators.longform import feature_rows
 from driftlane.operators.scenario import Perturbation
 from driftlane.plans.drift_queries import _decile_edges, _psi_sql
+from driftlane.plans.model_queries import ORDERS, training_rows
 from driftlane.plans.registry import query
 from driftlane.plans.report_queries import metrics_sql
 from driftlane.session import materialise, shared_folder
@@ -214,6 +215,20 @@ def raw_files_to_stored_baselines(spark, sf_dir):
     )
 
 
+@query(
+    "fit_all_tenants",
+    """SELECT model_name, CAST(place AS INT) AS place, 0.0::DOUBLE AS gradient
+FROM (VALUES ('churn-model', 20), ('fraud-model', 9), ('order-model', 5)) m(model_name, size), range(0, 20) r(place) WHERE place < size""",
+)
+def fit_all_tenants(spark, sf_dir):
+    """Three tenants fitted in one pass per step; each model's gradient vanishes at its fit."""
+    raw = [(t, quality.training_rows(_raw(spark, sf_dir, t), t)) for t in (C.CHURN, C.FRAUD)]
+    parts = [tenants.prepared_rows(materialise(rows), t) for t, rows in (*raw, (ORDERS, training_rows(spark, sf_dir)))]
+    prepared = materialise(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    found = tenants.gradients(prepared, tenants.fit_tenants(prepared))
+    return found.select("model_name", "place", F.abs(F.round("gradient", 6)).alias("gradient"))
+
+
 # --- splits ---------------------------------------------------------------------------
 
 

@@ -130,3 +130,28 @@ def test_response_curve_equals_separate_reports(spark):
         for r in drift.drift_report(long(scenario.perturbed(base, steps, F.col("id"))), edges, expected, NOW).collect():
             want[name, r.feature_name] = (r.psi_score, r.sample_size)
     assert got == want and len(got) == 8
+
+
+def test_all_tenants_in_one_fit_equal_single_fits(spark):
+    from driftlane.operators import tenants
+
+    g = np.random.default_rng(6)
+    a = C.Tenant(name="a", id_column="id", target="label", numeric=("x", "y"), categorical=("c",))
+    b = C.Tenant(name="b", id_column="id", target="label", numeric=("x",), categorical=())
+    rows = spark.createDataFrame(
+        [(i, None if i % 13 == 0 else float(g.normal(i % 2, 2)), float(g.normal()), str(i % 3) if i % 7 else None, int(i % 5 == 0 or g.random() < 0.2)) for i in range(400)],
+        "id int, x double, y double, c string, label int",
+    )
+    prepared = tenants.prepared_rows(rows, a).unionByName(tenants.prepared_rows(rows.where("id < 90"), b))
+    fitted = {r.model_name: r.coefficients for r in tenants.fit_tenants(prepared).collect()}
+    model = modeling.fit(rows, a)
+    single = model.stages[-1]
+    np.testing.assert_allclose(fitted["a"], [*single.coefficients, single.intercept], atol=2e-4)
+    assert len(fitted["b"]) == 2
+    scored = {r.id: r for r in tenants.score_tenants(prepared.where("model_name = 'a'"), spark.createDataFrame(
+        [("a", fitted["a"])], "model_name string, coefficients array<double>")).collect()}
+    for r in modeling.score(model, rows).collect():
+        assert scored[str(r.id)].probability_1 == pytest.approx(r.probability_1, abs=1e-3)
+    # Categories that were not there when codes were made.
+    new = rows.limit(3).withColumn("c", F.lit("never seen"))
+    assert all(r.features[2] == -1.0 for r in tenants.prepared_rows(new, a, fitted_on=rows).collect())
