@@ -1,16 +1,20 @@
 """Secret scan: fixed patterns, and automata inferred from the credentials they find.
 
-The values that the patterns find are labelled credentials. From a sample of each kind
-a prefix tree is built and its statistically compatible states are merged, which gives
-a probabilistic automaton of the kind's format. Every other token that mixes letters
-and digits is scored by it: the likelihood per character against that of ordinary text.
+The values that the patterns find are labelled credentials. They are read as formats: runs
+of digits, letters, hexadecimal or mixed characters, punctuation, and a beginning that
+all share. From a sample of each kind a prefix tree is built and its statistically
+compatible states are merged, which gives a probabilistic automaton of the kind's format,
+its lengths and parts included. Ordinary tokens give an automaton in the same way. Every
+other token is scored by how much likelier a format is than ordinary text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,19 +35,59 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 _LONG_HEX = re.compile(rf"(?<![0-9a-f])[0-9a-f]{{{LEAST['hex']},}}")
 _ASSIGN_NAMES = ("password", "passwd", "secret", "token", "api")
 LEARNED = "format"
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
-_LETTER, _DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
+#: A candidate is any token of this least length, the least of the base; no other gate stands before the score.
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{{{min(LEAST.values())},}}")
+_SEGMENT = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9]")
+_HEX_DIGITS = (frozenset("0123456789abcdef"), frozenset("0123456789ABCDEF"))
 END = ""
+#: States seen less often aren't tested; probability of what a state has never seen; scores that a task remembers.
+SEEN, UNSEEN, REMEMBERED = 10, 1e-5, 100_000
+#: A kind with fewer values has no automaton.
+LEAST_VALUES = 20
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of the fit: values of a kind and tokens of ordinary text that are read, by order of a hash."""
+    """Bounds of the fit: values of a kind and ordinary tokens, with digits and without, that are read, by order of a hash."""
 
     values: int = 1_000
     ordinary: int = 5_000
-    #: Significance of the test that two states differ.
-    alpha: float = 0.05
+    #: Significances of the test that two states differ; the one under which held-out values are likeliest is taken.
+    alphas: tuple[float, ...] = (0.2, 0.05, 0.01)
+
+
+def _class_of(segment: str) -> str:
+    """The symbols of a run of letters and digits, one per character."""
+    n = len(segment)
+    if segment.isdigit():
+        return "0" * n
+    if segment.isalpha():
+        if segment.islower():
+            return "a" * n
+        if segment.isupper():
+            return "A" * n
+        return "A" + "a" * (n - 1) if segment[1:].islower() else "b" * n
+    for upper, digits in enumerate(_HEX_DIGITS):
+        if digits.issuperset(segment):
+            return ("h", "H")[upper] * n
+    return ("n" if segment == segment.lower() else "N" if segment == segment.upper() else "m") * n
+
+
+def symbols(value: str) -> str:
+    """A token's format: its runs by the characters they are made of, and its punctuation."""
+    return "".join(_class_of(s) if s[0].isalnum() else s for s in _SEGMENT.findall(value))
+
+
+def shared_beginning(values: list[str], share: float = 0.9) -> str:
+    """The characters that nearly all values begin with."""
+    beginning = ""
+    while values:
+        following = Counter(v[len(beginning) : len(beginning) + 1] for v in values if v.startswith(beginning))
+        character, n = following.most_common(1)[0] if following else ("", 0)
+        if not character or n < share * len(values):
+            break
+        beginning += character
+    return beginning
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -90,7 +134,6 @@ class Automaton:
             self.states[here].counts[END] += 1
         self.width = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge_all()
-        self.alphabet = len({c for s in self.states for c in s.counts}) + 1
 
     def _merge_all(self) -> None:
         """Settled states grow from the root; each state next to them is merged into one of them or settles."""
@@ -113,12 +156,19 @@ class Automaton:
         self.states = kept
 
     def _compatible(self, one: int, other: int) -> bool:
-        """Hoeffding's bound on every difference of the two states' shares, and of the states after them."""
+        """Hoeffding's bound on every difference of the two states' shares, ends included, and of the states after them.
+
+        A state that was seen too rarely for a test agrees only with one after which
+        everything has been seen that follows it.
+        """
         pairs = [(one, other)]
         while pairs:
             a, b = (self.states[i] for i in pairs.pop())
-            bound = self.width * (1 / math.sqrt(a.reached) + 1 / math.sqrt(b.reached))
-            if bound < 1:
+            if min(a.reached, b.reached) < SEEN:
+                if not b.counts.keys() <= a.counts.keys():
+                    return False
+            else:
+                bound = self.width * (1 / math.sqrt(a.reached) + 1 / math.sqrt(b.reached))
                 for character in {*a.counts, *b.counts}:
                     if abs(a.counts[character] / a.reached - b.counts[character] / b.reached) > bound:
                         return False
@@ -146,74 +196,146 @@ class Automaton:
                     a.to[character] = target
 
     def log_likelihood(self, value: str) -> float:
-        """Smoothed; a character never seen in a state leads back to the root."""
+        """Of the whole string, its end included; what a state has never seen leads back to the root."""
         here, total = 0, 0.0
-        for character in value:
+        for character in (*value, END):
             state = self.states[here]
-            total += math.log((state.counts[character] + 0.1) / (state.reached + 0.1 * self.alphabet))
+            total += math.log((1 - UNSEEN) * state.counts.get(character, 0) / state.reached + UNSEEN)
             here = state.to.get(character, 0)
         return total
 
 
+@dataclass(frozen=True)
+class Format:
+    """What a kind's credentials look like: how they begin, and the automaton of their symbols."""
+
+    beginning: str
+    automaton: Automaton
+
+    def read(self, value: str, shape: str) -> str:
+        """The symbols, with the shared beginning as itself; its characters are shifted so that they are no classes."""
+        if self.beginning and value.startswith(self.beginning):
+            return "".join(chr(0xE000 + ord(c)) for c in self.beginning) + shape[len(self.beginning) :]
+        return shape
+
+    def log_likelihood(self, value: str, shape: str) -> float:
+        return self.automaton.log_likelihood(self.read(value, shape))
+
+
 @dataclass(frozen=True)
 class Grammar:
-    """Automata by kind with the least score of a credential, and the character shares of ordinary tokens."""
+    """Formats by kind with the number of their values and the least score; automata of ordinary tokens with their numbers."""
+
+    formats: dict[str, tuple[Format, float, float]]
+    ordinary: list[tuple[Automaton, float]]
+    known: dict[tuple, bool] = field(default_factory=dict, compare=False)
 
-    automata: dict[str, tuple[Automaton, float]]
-    ordinary: dict[str, float]
-    unseen: float
+    def score(self, kind: str, value: str, shape: str | None = None) -> float:
+        """How many more tokens of this shape are to be expected among the kind's credentials than among ordinary ones, as a logarithm.
 
-    def score(self, automaton: Automaton, value: str) -> float:
-        usual = sum(self.ordinary.get(c, self.unseen) for c in value)
-        return (automaton.log_likelihood(value) - usual) / len(value)
+        Ordinary tokens are what nobody labelled, so some are credentials; with numbers
+        in place of shares a few of them don't outweigh the labelled ones.
+        """
+        form, number, _ = self.formats[kind]
+        shape = symbols(value) if shape is None else shape
+        usual = [math.log(n) + automaton.log_likelihood(shape) for automaton, n in self.ordinary]
+        top = max(usual, default=0.0)
+        return math.log(number) + form.log_likelihood(value, shape) - (top + math.log(sum(math.exp(u - top) for u in usual)) if usual else 0.0)
 
     def accepts(self, value: str) -> bool:
-        return any(self.score(automaton, value) >= least for automaton, least in self.automata.values())
+        if not self.formats:
+            return False
+        shape = symbols(value)
+        key = (shape, *(value.startswith(form.beginning) for form, _, _ in self.formats.values()))
+        found = self.known.get(key)
+        if found is None:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            found = self.known[key] = any(self.score(kind, value, shape) >= least for kind, (_, _, least) in self.formats.items())
+        return found
+
+
+def candidates(text: str, base: list[tuple]) -> Iterator[tuple[int, int, str]]:
+    """All tokens outside of the base spans, without the full stop of a sentence."""
+    ends = [(s[0], s[1]) for s in base]
+    for m in CANDIDATE.finditer(text):
+        value = m[0].rstrip(".")
+        start = m.start()
+        if len(value) >= LEAST["assign"] and (not ends or all(start + len(value) <= s or start >= e for s, e in ends)):
+            yield start, start + len(value), value
 
 
-def candidates(text: str) -> Iterator[re.Match]:
-    for m in CANDIDATE.finditer(text):
-        if _DIGIT.search(m[0]) and _LETTER.search(m[0]):
-            yield m
+def _sample(found: set[str], most: int) -> list[tuple[int, str]]:
+    """The values of the smallest hashes; those of all values are among those of their parts."""
+    return heapq.nsmallest(most, ((zlib.crc32(v.encode()), v) for v in found))
+
 
+def _labelled(limits: Limits):
+    """Distinct values of a batch by kind; tokens outside of them are ``mixed`` with digits, else ``word``. Only samples leave."""
 
-def _labelled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Distinct values of a batch by kind; tokens outside of them are ``ordinary``."""
-    for frame in frames:
-        found = set()
-        for text in frame["text"]:
-            if text:
-                spans = base_spans(text)
-                found.update((kind, value) for _, _, kind, value in spans)
-                found.update(
-                    ("ordinary", m[0]) for m in candidates(text) if all(m.end() <= s or m.start() >= e for s, e, *_ in spans)
-                )
-        yield pd.DataFrame(sorted(found), columns=["kind", "value"])
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found: dict[str, set[str]] = {}
+            for text in frame["text"]:
+                if text:
+                    spans = base_spans(text)
+                    for _, _, kind, value in spans:
+                        found.setdefault(kind, set()).add(value)
+                    for _, _, value in candidates(text, spans):
+                        found.setdefault("word" if value.isalpha() else "mixed", set()).add(value)
+            rows = [
+                (kind, place, value) for kind, values in found.items()
+                for place, value in _sample(values, limits.values if kind in KINDS else limits.ordinary)
+            ]
+            yield pd.DataFrame(rows, columns=["kind", "place", "value"])
+
+    return read
+
+
+def _fitted(values: list[str], alphas: tuple[float, ...]) -> Format:
+    """From half of the values, at the significance under which the other half is likeliest."""
+    learned, held_out = values[::2], values[1::2]
+    beginning = shared_beginning(learned)
+    plain = Format(beginning, None)
+    shapes = [plain.read(v, symbols(v)) for v in learned]
+    found = [Format(beginning, Automaton(shapes, alpha)) for alpha in alphas]
+    return max(found, key=lambda f: sum(f.log_likelihood(v, symbols(v)) for v in held_out))
+
+
+def _number(places: list[int], most: int) -> float:
+    """How many distinct values there are, from the largest of the smallest hashes."""
+    return float(len(places)) if len(places) < most else (most - 1) * 2**32 / (places[-1] + 1)
 
 
 def learn(docs: DataFrame, limits: Limits = Limits()) -> Grammar:
     """Automata from the values that the base finds in all documents, a bounded number of each kind.
 
     Which values are read is decided by a hash of the value. Half of them make the
-    automaton, the other half its threshold: the score that 98 % of them reach. A kind
-    with fewer than 20 values makes none, and no token of it is added.
+    automaton, the other half chooses its significance. The threshold lies above all held-out
+    ordinary tokens but one in a thousand, a quarter of the way to the score that 98 % of
+    the held-out credentials reach. A kind with fewer than 20 values makes no automaton,
+    and no token of it is added.
     """
-    values = docs.select("text").mapInPandas(_labelled, "kind string, value string").where("value IS NOT NULL").distinct()
+    values = docs.select("text").mapInPandas(_labelled(limits), "kind string, place bigint, value string").distinct()
     values = materialise(values)
-    read = {}
-    for kind in (*KINDS, "ordinary"):
-        most = limits.ordinary if kind == "ordinary" else limits.values
-        rows = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(most).collect()
+    read, number = {}, {}
+    for kind in (*KINDS, "word", "mixed"):
+        most = limits.values if kind in KINDS else limits.ordinary
+        rows = values.where(F.col("kind") == kind).orderBy("place", "value").limit(most).collect()
         read[kind] = [row["value"] for row in rows]
-    shares = Counter("".join(read["ordinary"]))
-    total = sum(shares.values()) + 128
-    ordinary = {c: math.log((n + 1) / total) for c, n in shares.items()}
-    grammar = Grammar({}, ordinary, math.log(1 / total))
+        number[kind] = _number([row["place"] for row in rows], most)
+    usual = [([symbols(v) for v in read[k][::2]], number[k]) for k in ("word", "mixed")]
+    grammar = Grammar({}, [(Automaton(shapes, limits.alphas[-1]), n) for shapes, n in usual if shapes])
+    others = read["word"][1::2] + read["mixed"][1::2]
     for kind in KINDS:
-        if len(read[kind]) >= 20:
-            automaton = Automaton(read[kind][::2], limits.alpha)
-            scores = sorted(grammar.score(automaton, v) for v in read[kind][1::2])
-            grammar.automata[kind] = (automaton, max(scores[len(scores) // 50], 0.05))
+        if len(read[kind]) >= LEAST_VALUES:
+            grammar.formats[kind] = (_fitted(read[kind], limits.alphas), number[kind], 0.0)
+            reached = sorted(grammar.score(kind, v) for v in read[kind][1::2])
+            low = reached[len(reached) // 50]
+            high = sorted((grammar.score(kind, v) for v in others), reverse=True)
+            high = max(high[len(high) // 1000], 0.0) if high else 0.0
+            form, n, _ = grammar.formats[kind]
+            grammar.formats[kind] = (form, n, high + max(low - high, 4.0) / 4)
     return grammar
 
 
@@ -222,10 +344,7 @@ def scan(text: str | None, grammar: Grammar) -> tuple[list[tuple[int, int, str,
     if not text:
         return [], []
     base = base_spans(text)
-    extra = [
-        (m.start(), m.end(), LEARNED) for m in candidates(text)
-        if all(m.end() <= s or m.start() >= e for s, e, *_ in base) and grammar.accepts(m[0])
-    ]
+    extra = [(start, end, LEARNED) for start, end, value in candidates(text, base) if grammar.accepts(value)] if grammar.formats else []
     order = {kind: i for i, kind in enumerate((*KINDS, LEARNED))}
     return base, sorted([s[:3] for s in base] + extra, key=lambda s: (s[0], order[s[2]]))
 

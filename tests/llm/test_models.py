@@ -13,6 +13,8 @@ import corpus_pipeline
 from driftlane.llm import html_text, secrets, toxicity
 
 
+GIVEN = Path("/root/testdata/sf0.001/pages.parquet")
+
 # Toxicity
 
 @pytest.fixture(scope="module")
@@ -98,7 +100,7 @@ def test_base_spans(leaky):
 
 
 def test_automata_find_the_format(leaky):
-    grammar = secrets.learn(leaky)
+    grammar = secrets.learn(leaky.where(f"doc_id < {leaky.count() - 1}"))
     assert grammar.accepts(HEXES[3][:22]) and grammar.accepts(hashlib.sha1(b"new").hexdigest())
     assert not grammar.accepts("mail2.example.com/path/to.html")
     spans = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(leaky, grammar).collect()}
@@ -111,6 +113,60 @@ def test_automaton_of_a_repeating_format():
     assert automaton.log_likelihood("abab") > automaton.log_likelihood("aabb")
 
 
+def test_automaton_knows_lengths_and_parts():
+    automaton = secrets.Automaton(["h" * 8 + "-" + "0" * 4] * 40 + ["h" * 8] * 40, 0.05)
+    assert len(automaton.states) > 12
+    likely = automaton.log_likelihood("h" * 8 + "-" + "0" * 4)
+    assert likely > -2 > automaton.log_likelihood("h" * 7) and automaton.log_likelihood("h" * 8 + "-" + "0" * 3) < likely - 8
+
+
+def test_symbols():
+    assert secrets.symbols("Grumpf12ab-0af3.DEAD12_sk/QwErTy=4711") == "mmmmmmmmmm-hhhh.HHHHHH_aa/bbbbbb=0000"
+    assert secrets.symbols("") == "" and secrets.symbols("Word") == "Aaaa"
+    assert secrets.shared_beginning(["AKIA1", "AKIA2", "AKIB3"] + ["AKIA9"] * 20) == "AKIA" and secrets.shared_beginning([]) == ""
+
+
+def test_planted_formats_outside_of_the_base(spark):
+    """Keys of three formats, named in one half of the texts and bare in the other; ordinary numbers, hosts and words around."""
+    draw = random.Random(5)
+
+    def some(alphabet, n):
+        return "".join(draw.choice(alphabet) for _ in range(n))
+
+    low, up = "0123456789abcdef", "0123456789ABCDEF"
+    makers = [lambda: some(low, 20), lambda: "sk_" + some("abcdefghijklmnopqrstuvwxyz0123456789", 18), lambda: some(up, 8) + "-" + some(up, 8)]
+    words = ["lorem", "ipsum12", "4111111111111111", "mail2.example.com", "10.20.30.41", "555-1234", "Grumpf", "3.14159", "x86_64", "2024-05-01", "dolores"]
+    rows, bare = [], {}
+    for i in range(600):
+        value = makers[i % 3]()
+        around = [draw.choice(words) for _ in range(12)]
+        if i < 300:
+            rows.append((i, " ".join([*around[:6], f'token = "{value}"', *around[6:]])))
+        else:
+            text = " ".join([*around[:6], value, *around[6:]])
+            bare[i] = f"format:{text.index(value)}:{text.index(value) + len(value)}"
+            rows.append((i, text))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    grammar = secrets.learn(docs.where("doc_id < 300"))
+    assert len(grammar.formats["assign"][0].automaton.states) > 3
+    spans = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(docs, grammar).collect()}
+    found = sum(span in spans[i].split(",") for i, span in bare.items())
+    false = sum(s.startswith("format") for i in spans for s in spans[i].split(",")) - found
+    assert found >= 0.95 * len(bare) and false <= 3
+
+
+@pytest.mark.skipif(not GIVEN.exists(), reason="the given tables are not here")
+def test_grammar_of_the_given_documents(spark):
+    """Structure in every automaton; bare keys of the learned length are found, ordinary tokens of the table aren't."""
+    docs = spark.read.parquet(str(GIVEN.parent / "../sf0.1/documents.parquet")).select("doc_id", "text")
+    grammar = secrets.learn(docs)
+    assert {"assign", "hex"} <= set(grammar.formats)
+    assert all(len(form.automaton.states) > 1 for form, _, _ in grammar.formats.values())
+    assert all(grammar.accepts(h.upper()) and grammar.accepts(h[:16]) for h in HEXES)
+    for ordinary in ("4952935900253052", "mail8.example.com", "169.122.221.182", "hunter2pass", "threatening", "decade"):
+        assert not grammar.accepts(ordinary)
+
+
 def test_secrets_are_masked(leaky, odd_documents, no_documents):
     grammar = secrets.learn(leaky)
     masked = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(leaky, grammar).collect()} if "n_chars" in leaky.columns else None
@@ -186,9 +242,6 @@ def renamed(source):
     return re.sub(r"""\s(class|id|role)=("[^"]*"|'[^']*'|[^\s>]+)""", "", plain)
 
 
-GIVEN = Path("/root/testdata/sf0.001/pages.parquet")
-
-
 @pytest.mark.skipif(not GIVEN.exists(), reason="the given tables are not here")
 def test_pages_without_names_keep_their_text(spark):
     """Learned from pages that name their parts, read on others from which all names are taken."""
