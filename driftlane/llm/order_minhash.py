@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlane.llm import sketches
@@ -31,11 +31,12 @@ BANDS = [
     for cells in (tuple(SIDE * i + j for j in half), tuple(SIDE * j + i for j in half))
 ]
 #: Rounds in which a bucket that isn't all connected gets a leader of its own, before its texts meet by rare shingles.
-ROUNDS = 2
+ROUNDS = 1
 #: Sketches that candidates must share at least; at the similarity asked for it is more, all but surely.
 AGREEING = 10
-#: Counters of shingles, each for all whose hash begins alike. They only order shingles, so sharing one loses nothing.
-SLOTS = 1 << 18
+
+#: Ratio of the longest to the shortest text of a range of lengths.
+LENGTHS = 1.06
 
 _SKETCHED = "doc_id bigint, key string, th bigint, node binary, sketch array<bigint>"
 
@@ -79,43 +80,23 @@ def _sketch_rows(batch: pa.RecordBatch, texts: list[bytes], size: int) -> pa.Rec
     )
 
 
-def _labelled_shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles with repeats told apart, their slots and texts, and how many each text has."""
+def _labelled_shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles with repeats told apart, their texts, and how many each text has."""
     shingles, made = sketches.shingle_hashes(*sketches.word_hashes(texts), size)
     owner = np.repeat(np.arange(len(texts)), made)
-    labelled = sketches.occurrence_labelled(shingles, owner)
-    return labelled, (labelled >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64), owner, made
-
-
-def _counted(size: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for _, texts in _chunks(batch):
-                total += np.bincount(_labelled_shingles(texts, size)[1], minlength=SLOTS)
-        held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["slot", "n"])
+    return sketches.occurrence_labelled(shingles, owner), owner, made
 
-    return rows
 
-
-def _rarest(size: int, least: float, counts: np.ndarray):
-    """The rarest shingles of each text: so many that texts with similarity ``least`` share one.
-
-    Of n shingles similar texts share ``least * n`` at least, so in one order for all
-    texts the first ``n - least * n + 1`` of both can't all be different.
-    """
+def _shingled(size: int):
+    """``node, shingle, made``: every shingle of a text, and how many it has."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in _chunks(batch):
-                labelled, slots, owner, made = _labelled_shingles(texts, size)
-                order = np.lexsort((labelled, counts[slots], owner))
-                rank = np.arange(len(order)) - np.repeat(np.cumsum(made) - made, made)
-                kept = made - np.ceil(least * made - 1e-6).astype(np.int64) + 1
-                held = order[rank < np.repeat(kept, made)]
+                labelled, owner, made = _labelled_shingles(texts, size)
                 yield pa.RecordBatch.from_arrays(
-                    [part["node"].take(pa.array(owner[held])), pa.array(labelled[held].view(np.int64))], names=["node", "bucket"]
+                    [part["node"].take(pa.array(owner)), pa.array(labelled.view(np.int64)), pa.array(made[owner])],
+                    names=["node", "shingle", "made"],
                 )
 
     return rows
@@ -272,13 +253,43 @@ class _Search:
         return rest
 
     def rare_members(self, open_nodes: DataFrame) -> DataFrame:
-        """``bucket, node`` of the rarest shingles of some nodes' texts."""
+        """``bucket, node`` of the rarest shingles of some nodes' texts, per range of lengths of the other text.
+
+        Similar texts of n and m shingles share ``least / (1 + least) * (n + m)`` at least, t say.
+        So in one order for all texts the first ``n - t + 1`` of the one and ``m - t + 1`` of
+        the other can't all be different. The order is by the number of texts that have
+        a shingle. Those that no other text has come first and make no bucket: a text
+        that has enough of them meets nobody. The lengths that m may have are cut into
+        narrow ranges, because t for texts of like length is nearly n: for each range a
+        text enters the buckets of its first shingles, and a bucket is of a shingle and
+        two ranges, both of which must have texts.
+        """
         places = self.nodes.join(open_nodes, "node", "left_semi").select("node", "id", "th").hint("merge")
-        texts = materialise(places.join(self.rows, ["id", "th"]).select("node", "text"))
-        found = texts.mapInArrow(_counted(self.size), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-        counts = np.zeros(SLOTS, np.int64)
-        counts[found["slot"].to_numpy()] = found["n"].to_numpy()
-        return materialise(texts.mapInArrow(_rarest(self.size, self.least, counts), "node binary, bucket bigint"))
+        texts = places.join(self.rows, ["id", "th"]).select("node", "text")
+        rows = materialise(texts.mapInArrow(_shingled(self.size), "node binary, shingle bigint, made bigint"))
+        held = materialise(rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"))
+        own = Window.partitionBy("node")
+        ranked = rows.join(held, "shingle").withColumns({
+            "rank": F.row_number().over(own.orderBy("n", "shingle")), "shared": F.count("*").over(own),
+        })
+
+        def range_of(length: Column) -> Column:
+            return F.floor(F.log(length) / F.log(F.lit(LENGTHS)) + 1e-9)
+
+        made = F.col("made")
+        other = F.explode(F.sequence(range_of(made * self.least), range_of(made / self.least))).alias("other")
+        placed = ranked.select("node", "shingle", "made", range_of(made).alias("mine"), (made - F.col("shared") + F.col("rank")).alias("place"), other)
+        shortest = F.greatest(F.floor(F.pow(F.lit(LENGTHS), F.col("other")) * (1 - 1e-9)), F.ceil(made * self.least - 1e-6))
+        needed = F.ceil((made + shortest) * (self.least / (1 + self.least)) - 1e-6)
+        low, high = F.least("mine", "other"), F.greatest("mine", "other")
+        entered = placed.where(F.col("place") <= made - needed + 1).select(
+            F.xxhash64("shingle", low, high).alias("bucket"), "node", F.when(F.col("mine") != F.col("other"), F.col("mine")).alias("side")
+        )
+        entered = materialise(entered)
+        both = entered.groupBy("bucket").agg(F.min("side").alias("one"), F.max("side").alias("two"), F.count("*").alias("n")).where(
+            "n > 1 AND (one IS NULL OR one != two)"
+        )
+        return materialise(entered.join(both.select("bucket"), "bucket", "left_semi").select("bucket", "node"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_column: str = "doc_id") -> DataFrame:
@@ -321,12 +332,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_colum
     for seed in range(1, ROUNDS + 1):
         left = None if left is None else search.meet(left, seed)
     if left is not None:
-        # Texts of buckets that are still open meet by rare shingles, with twice the leaders each round, until none is.
+        # Texts of buckets that are still open meet by rare shingles, with four times the leaders each round, until none is.
         left = search.rare_members(_open(search.labelled(left)).select("node").distinct())
         leaders, seed = 1, ROUNDS + 1
         while left is not None:
             left = search.meet(left, seed, leaders)
-            leaders, seed = 2 * leaders, seed + 1
+            leaders, seed = 4 * leaders, seed + 1
     if search.tested is None:
         search.examine(members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
 
