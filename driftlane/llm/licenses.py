@@ -1,7 +1,7 @@
 """License scan by ordered signature rules.
 
 A rule is a keyword with what must stand left and right of it, as regular expressions
-over lower-cased words. Only texts with a stem of a keyword are split into words, and
+over lower-cased words: names of licenses in four forms, and sentences of notices that name none. Only texts with a stem of a keyword are split into words, and
 only the rules of a keyword that stands there are tried. Of the rules that match at one
 keyword the longest wins, then the one of higher priority; a detection that lies inside
 the words of another one is dropped.
@@ -31,12 +31,25 @@ gpl-1 | (the )?(gnu )? | general | public licen[sc]e( version)? v?1( 0)? | gpl 1
 gpl-2 | (the )?(gnu )? | general | public licen[sc]e( version)? v?2( 0)? | gpl 2 0( only| or later)?
 gpl-3 | (the )?(gnu )? | general | public licen[sc]e( version)? v?3( 0)? | gpl 3 0( only| or later)?
 gpl | (the )?(gnu )? | general | public licen[sc]e | gpl
+gpl-2 | (the )?(gnu )? | gplv2 | ( 0)?( or later| only)? |
+gpl-3 | (the )?(gnu )? | gplv3 | ( 0)?( or later| only)? |
+gpl-2 | (the )?(gnu )? | gpl | ( version)? v?2( 0)?( or later| only)? |
+gpl-3 | (the )?(gnu )? | gpl | ( version)? v?3( 0)?( or later| only)? |
+gpl | (the )?(gnu )? | gpl | |
 lgpl-2 | (the )?(gnu )? | library | general public licen[sc]e( version)? v?2( 0)? | lgpl 2 0( only| or later)?
 lgpl-2.1 | (the )?(gnu )? | lesser | general public licen[sc]e( version)? v?2 1 | lgpl 2 1( only| or later)?
 lgpl-3 | (the )?(gnu )? | lesser | general public licen[sc]e( version)? v?3( 0)? | lgpl 3 0( only| or later)?
 lgpl | (the )?(gnu )? | lesser | general public licen[sc]e | lgpl
+lgpl-2.1 | (the )?(gnu )? | lgplv2 | 1( or later| only)? |
+lgpl-3 | (the )?(gnu )? | lgplv3 | ( 0)?( or later| only)? |
+lgpl-2.1 | (the )?(gnu )? | lgpl | ( version)? v?2 1( or later| only)? |
+lgpl-3 | (the )?(gnu )? | lgpl | ( version)? v?3( 0)?( or later| only)? |
+lgpl | (the )?(gnu )? | lgpl | |
 agpl-3 | (the )?(gnu )? | affero | general public licen[sc]e( version)? v?3( 0)? | agpl 3 0( only| or later)?
 agpl | (the )?(gnu )? | affero | general public licen[sc]e | agpl
+agpl-3 | (the )?(gnu )? | agplv3 | ( 0)?( or later| only)? |
+agpl-3 | (the )?(gnu )? | agpl | ( version)? v?3( 0)?( or later| only)? |
+agpl | (the )?(gnu )? | agpl | |
 fdl | (the )?(gnu )? | free | documentation licen[sc]e( version| v)?( 1 [123])? | gfdl( 1 [123])?
 mpl-1.1 | (the )? | mozilla | public licen[sc]e( version)? v?1 1 | mpl 1 1
 mpl-2.0 | (the )? | mozilla | public licen[sc]e( version)? v?2( 0)? | mpl 2 0
@@ -80,6 +93,19 @@ public-domain | (the )? | public | domain( dedication)? | pddl 1 0
 proprietary | | proprietary | ( software)? licen[sc]e | licenseref proprietary
 reserved | all | rights | reserved | licenseref reserved
 """
+#: Sentences of notices that don't name their license: label | left | keyword | right.
+NOTICES = r"""
+mit | permission is | hereby | granted free of charge to any person obtaining a copy
+boost | permission is | hereby | granted free of charge to any person or organi[sz]ation obtaining
+isc | distribute this software( and its documentation)? for any purpose with or without fee is | hereby | granted
+bsd | | redistribution | and use in source and binary forms with or without modification are permitted
+bsd-3 | names? of (its|the|any) (copyright holders? |contributors |authors? )?(and contributors )?may( not)? be used to | endorse | or promote products derived from this software
+bsd-4 | all | advertising | materials mentioning features or use of this software must display
+zlib | in no event will the authors? be | held | liable for any damages arising from the use of this software
+unlicense | this is free and | unencumbered | software released into the public domain
+disclaimer | without | warranty | of any kind( either)?( express(ed)? or implied)?
+disclaimer | without any | warranty | without even the implied warranty of
+"""
 #: Form | what stands before the name | confidence; the short identifier has a form of its own.
 FORMS = (
     ("name", "", 0.6),
@@ -87,9 +113,12 @@ FORMS = (
               "(the terms (and conditions )?of )?(version [1-4]( 0)? of )?", 0.95),
     ("reference", "(see|read|copy of|subject to|compatible with|accordance with|according to|terms of) ", 0.85),
 )
-TAG_CONFIDENCE = 0.99
+TAG_CONFIDENCE, NOTICE_CONFIDENCE = 0.99, 0.9
 #: Every match has one of these somewhere in the lower-cased text.
-STEMS = ("licen", "spdx", "rights", "public", "creative", "cc0", "bsd")
+STEMS = (
+    "licen", "spdx", "rights", "public", "creative", "cc0", "bsd", "gpl", "hereby", "redistribution", "endorse", "advertising", "liable",
+    "unencumbered", "warranty",
+)
 CC_BY = r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"
 #: The base: phrase and label (fixed values).
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -104,7 +133,11 @@ def rules() -> list[tuple[str, str, str, str, int, float]]:
         right = right if not right or right.startswith("( ") else f" {right}"
         for form, before, confidence in FORMS:
             made.append((label, keyword, f"{before}{left}", right, confidence))
-        made.append((label, "spdx", "", f" licen[sc]e identifier {tag}", TAG_CONFIDENCE))
+        if tag:
+            made.append((label, "spdx", "", f" licen[sc]e identifier {tag}", TAG_CONFIDENCE))
+    for row in NOTICES.strip().splitlines():
+        label, left, keyword, right = (part.strip() for part in re.split(r"(?<=\s)\|(?=\s)", row + " "))
+        made.append((label, keyword, left and left + " ", f" {right}", NOTICE_CONFIDENCE))
     return [
         (label, keyword, f"(?:^|(?<= ))({left})$", f"^({right})(?= |$)", number, confidence)
         for number, (label, keyword, left, right, confidence) in enumerate(sorted(made, key=lambda r: -r[4]))
