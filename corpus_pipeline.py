@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from driftlane.llm import secrets, toxicity
 from driftlane.llm.common import row_key, table
 from driftlane.llm.decontamination import decontaminate
-from driftlane.llm.mixing import fair_queue
+from driftlane.llm.mixing import MADE, fair_queue
 from driftlane.llm.order_minhash import near_duplicates
 from driftlane.session import shared_folder
 
@@ -52,7 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with the words it takes of each and when it takes the first copy."""
     mixed = fair_queue(docs, keep=tuple(docs.columns)).where("taken > 0")
     return mixed.select(
-        *docs.columns, "size", "source_size", "target", "taken", F.size("slots").alias("n_copies"),
+        *[f"{c}_given" if c in MADE and c != "doc_id" else c for c in docs.columns], "size", "source_size", "target", "taken", F.size("slots").alias("n_copies"),
         F.get("slots", F.lit(0))["finish"].alias("finish"),
     )
 

@@ -16,6 +16,8 @@ from driftlane.session import materialise
 
 TOKEN = r"[^\x20\x09-\x0D]+"
 BIN_DIGITS = 3
+#: Names of the result.
+MADE = ("doc_id", "size", "source_size", "target", "slots", "taken")
 
 
 def size_of(text: Column) -> Column:
@@ -60,6 +62,8 @@ def fair_queue(
 ) -> DataFrame:
     """One row per document: ``doc_id, size, source_size, target, slots, taken`` and the columns in ``keep``.
 
+    A kept column with the name of one of these comes back as ``<name>_given``.
+
     ``slots`` has ``(round, finish, words)`` for each copy that the mix takes; the copy
     that the budget ends in is taken in part, so a source takes its target to the word.
     ``taken`` is their sum. Documents are shuffled by a digest of their id and size, so
@@ -74,7 +78,7 @@ def fair_queue(
     # With the size, so that rows without an id are spread as well.
     shuffled = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("size").cast("string")))
     sized = docs.select(
-        F.col(id_column).alias("doc_id"), *[F.col(c) for c in keep if c != id_column],
+        F.col(id_column).alias("doc_id"), *[F.col(c).alias(f"_kept_{c}") for c in keep if c != id_column],
         F.when(source.isNull(), F.lit("z")).otherwise(F.concat(F.lit("s"), source)).alias("source_key"),
         size_of(F.col("text")).alias("size"),
     )
@@ -103,7 +107,8 @@ def fair_queue(
 
     slots = F.filter(F.array(*[slot(i) for i in range(repeats)]), lambda s: s["words"] > 0)
     return placed.withColumn("slots", slots).select(
-        "doc_id", *[c for c in keep if c != id_column], "size", "source_size", "target", "slots",
+        "doc_id", *[F.col(f"_kept_{c}").alias(f"{c}_given" if c in MADE else c) for c in keep if c != id_column],
+        "size", "source_size", "target", "slots",
         F.aggregate("slots", F.lit(0).cast("bigint"), lambda total, s: total + s["words"]).alias("taken"),
     )
 
