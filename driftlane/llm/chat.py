@@ -22,14 +22,14 @@ def _ranked(conversations: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = conversations.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"),
-        F.floor(F.coalesce("turn", F.lit(0)) / BLOCK).alias("range"),
+        F.floor(F.col("turn") / BLOCK).alias("range"),  # null turns are a range before all others
     )
     counts = rows.groupBy("conv_id", "range").agg(F.count("*").alias("count"))
     ahead = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("conv_id", "range", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("ahead"))
     inside = Window.partitionBy("conv_id", "range").orderBy("turn", "role", "text")
     numbered = rows.withColumn("inside", F.row_number().over(inside) - 1)
-    same = F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.range") == F.col("b.range"))
+    same = F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & F.col("a.range").eqNullSafe(F.col("b.range"))
     return numbered.alias("a").join(counts.alias("b"), same).select(
         "a.conv_id", (F.col("inside") + F.col("ahead")).alias("n"), "role", "text"
     )

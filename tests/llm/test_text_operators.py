@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftlane.llm.chat import chat_texts
 from driftlane.llm.decontamination import decontaminate
 from driftlane.llm.fingerprints import fingerprint_pairs
-from driftlane.llm.licenses import FAMILIES, rules, scan_licenses
+from driftlane.llm.licenses import FAMILIES, NOTICES, rules, scan_licenses
 from driftlane.llm.mixing import fair_queue, training_order
 
 
@@ -40,6 +40,18 @@ def test_mix_targets(spark):
     assert sorted(again.collect()) == sorted(mixed.select("doc_id", "taken").collect())
 
 
+def test_mix_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame(
+        [(i, "w " * (1 + i % 4), "a", -i, f"bin{i}", i * 10, "place") for i in range(30)],
+        "doc_id bigint, text string, source string, size int, bin string, start int, place string",
+    )
+    mixed = fair_queue(docs, keep=("text", "source", "size", "bin", "start", "place")).collect()
+    assert len(mixed) == 30
+    for r in mixed:
+        i = r["doc_id"]
+        assert (r["size_given"], r["bin"], r["start"], r["place"], r["size"]) == (-i, f"bin{i}", i * 10, "place", 1 + i % 4)
+
+
 def test_mix_of_nothing(no_documents):
     assert fair_queue(no_documents).collect() == []
 
@@ -141,7 +153,9 @@ def test_next_text_over_many_ranges(spark):
 # Licenses
 
 def test_rules_are_hundreds():
-    assert len(rules()) == 4 * len(FAMILIES.strip().splitlines()) > 200
+    families, notices = FAMILIES.strip().splitlines(), NOTICES.strip().splitlines()
+    identified = sum(bool(row.split("|")[-1].strip()) for row in families)
+    assert len(rules()) == 3 * len(families) + identified + len(notices) > 250
 
 
 CASES = [
@@ -154,11 +168,29 @@ CASES = [
     ("the GNU Lesser General Public License v2.1", 1, 3, 3, "gpl", "gpl,lgpl-2.1"),
     ("submit a permit to commit", 0, None, None, "", ""),
     ("rights reserved; public licenses", 0, None, None, "", ""),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", 0, None, None, "", "mit"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", 0, None, None, "", "isc"),
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted. Neither the name of the copyright holder "
+     "nor the names of its contributors may be used to endorse or promote products derived from this software", 0, None, None, "", "bsd,bsd-3"),
+    ("All advertising materials mentioning features or use of this software must display the following", 0, None, None, "", "bsd-4"),
+    ("In no event will the authors be held liable for any damages arising from the use of this software.", 0, None, None, "", "zlib"),
+    ("This is free and unencumbered software released into the public domain.", 0, None, None, "", "unlicense"),
+    ("The software is provided as is, without warranty of any kind, express or implied", 0, None, None, "", "disclaimer"),
+    ("GPLv3", 0, None, None, "", "gpl-3"), ("Licensed under GPL v2 or later", 0, None, None, "", "gpl-2"),
+    ("LGPL-2.1+ and the AGPL", 0, None, None, "", "agpl,lgpl-2.1"), ("it is hereby noted, held liable, no warranty", 0, None, None, "", ""),
     (None, 0, None, None, "", ""), ("", 0, None, None, "", ""),
     ("x " * 20000 + "cc by", 1, 20000, 20000, "cc-by", "cc-by"),
 ]
 
 
+def test_null_turns_come_before_negative_ones(spark):
+    turns = [(1, -5, "a", "second"), (1, None, "b", "first"), (1, 3, "c", "third"), (2, None, "x", "only")]
+    frame = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    got = {r["conv_id"]: r["text"] for r in chat_texts(frame).collect()}
+    assert [got[1].index(w) for w in ("first", "second", "third")] == sorted(got[1].index(w) for w in ("first", "second", "third"))
+    assert "only" in got[2]
+
+
 def test_licenses(spark):
     frame = spark.createDataFrame([(i, c[0], 3) for i, c in enumerate(CASES)], "doc_id bigint, text string, words int")
     got = {r["doc_id"]: r for r in scan_licenses(frame).collect()}
