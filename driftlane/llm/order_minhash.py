@@ -31,12 +31,12 @@ BANDS = [
     for cells in (tuple(SIDE * i + j for j in half), tuple(SIDE * j + i for j in half))
 ]
 #: Rounds in which a bucket that isn't all connected gets a leader of its own, before its texts meet by rare shingles.
-ROUNDS = 1
+ROUNDS = 0
 #: Sketches that candidates must share at least; at the similarity asked for it is more, all but surely.
 AGREEING = 10
 
 #: Ratio of the longest to the shortest text of a range of lengths.
-LENGTHS = 1.06
+LENGTHS = 1.03
 
 _SKETCHED = "doc_id bigint, key string, th bigint, node binary, sketch array<bigint>"
 
@@ -191,11 +191,25 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(materialise(different.select("bucket")), "bucket", "left_semi")
 
 
+def _merged(members: DataFrame, seed: int) -> DataFrame:
+    """Buckets with nearly the same members as one: a pair is looked at once, not once in each.
+
+    Buckets are put together if three members of least hash are the same, which has the
+    chance of their overlap to the third. What is put together only adds candidates.
+    """
+    least = members.groupBy("bucket").agg(
+        *[F.min(F.xxhash64("node", F.lit(seed), F.lit(i))).alias(f"m{i}") for i in range(3)]
+    ).select("bucket", F.xxhash64("m0", "m1", "m2").alias("merged"))
+    return members.join(materialise(least), "bucket").select(F.col("merged").alias("bucket"), "node", "label").distinct()
+
+
 class _Search:
     """What is known of the texts, their tested pairs and their links so far."""
 
     def __init__(self, rows: DataFrame, nodes: DataFrame, size: int, least: float) -> None:
         self.rows, self.nodes, self.size, self.least = rows, nodes, size, least
+        #: Texts and sketches of the nodes in buckets of several: later rounds read these, not the corpus.
+        self.texts: DataFrame | None = None
         self.tested: DataFrame | None = None
         self.labels: DataFrame | None = None
 
@@ -212,17 +226,15 @@ class _Search:
         """Align the texts of candidates that agree enough, and connect those that are similar enough."""
         if self.tested is not None:
             pairs = pairs.join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = materialise(_with_agreement(pairs, self.nodes).select("a", "b"))
+        pairs = materialise(_with_agreement(pairs, self.texts).select("a", "b"))
         if pairs.isEmpty():
-            self.tested = self.tested if self.tested is not None else materialise(pairs.withColumn("similarity", F.lit(0.0)))
-            self.labels = self.labels if self.labels is not None else materialise(pairs.select(F.col("a").alias("node"), F.col("b").alias("label")))
+            if self.tested is None:
+                self.connect_none()
             return
-        at = self.nodes.select("node", "id", "th")
         # Candidates grow with the corpus: always merged with the texts, never broadcast.
-        wanted = pairs.join(at.withColumnRenamed("node", "a"), "a").hint("merge")
-        texts = wanted.join(self.rows, ["id", "th"]).select("a", "b", "text")
-        placed = texts.join(at.withColumnRenamed("node", "b"), "b").hint("merge").join(
-            self.rows.withColumnRenamed("text", "other_text"), ["id", "th"]
+        texts = self.texts.select("node", "text").hint("merge")
+        placed = pairs.join(texts.withColumnRenamed("node", "a"), "a").join(
+            texts.select(F.col("node").alias("b"), F.col("text").alias("other_text")).hint("merge"), "b"
         )
         scored = materialise(placed.select("a", "b", "text", "other_text").mapInArrow(
             _verified(self.size, self.least), "a binary, b binary, similarity double"
@@ -243,11 +255,21 @@ class _Search:
         ))
         self.tested = self.tested.unionByName(scored)
 
+    def connect_none(self) -> None:
+        """Nothing was a candidate: no pair is tested, every node is a class of its own."""
+        spark = self.nodes.sparkSession
+        self.tested = spark.createDataFrame([], "a binary, b binary, similarity double")
+        self.labels = spark.createDataFrame([], "node binary, label binary")
+
     def meet(self, members: DataFrame, seed: int, leaders: int = 1, own_of_bucket: bool = True) -> DataFrame | None:
         """One round of leaders in buckets that are still open; the members left, or None if there is no such bucket."""
-        held = materialise(_open(self.labelled(members)))
+        held = materialise(_merged(materialise(_open(self.labelled(members))), seed))
         if held.isEmpty():
             return None
+        if self.texts is None:
+            open_nodes = held.select("node").distinct()
+            places = self.nodes.join(open_nodes, "node", "left_semi").select("node", "sketch", "id", "th").hint("merge")
+            self.texts = materialise(places.join(self.rows, ["id", "th"]).select("node", "sketch", "text"))
         pairs, rest = _pairs(held, seed, leaders, own_of_bucket)
         self.examine(pairs)
         return rest
@@ -264,8 +286,7 @@ class _Search:
         text enters the buckets of its first shingles, and a bucket is of a shingle and
         two ranges, both of which must have texts.
         """
-        places = self.nodes.join(open_nodes, "node", "left_semi").select("node", "id", "th").hint("merge")
-        texts = places.join(self.rows, ["id", "th"]).select("node", "text")
+        texts = self.texts.select("node", "text").join(open_nodes, "node", "left_semi")
         rows = materialise(texts.mapInArrow(_shingled(self.size), "node binary, shingle bigint, made bigint"))
         held = materialise(rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"))
         own = Window.partitionBy("node")
@@ -339,7 +360,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_colum
             left = search.meet(left, seed, leaders)
             leaders, seed = 4 * leaders, seed + 1
     if search.tested is None:
-        search.examine(members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+        search.connect_none()
 
     links = search.links()
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(
