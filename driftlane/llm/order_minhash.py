@@ -32,13 +32,13 @@ BANDS = [
 ]
 #: Rounds in which a bucket that isn't all connected gets a leader of its own, before its texts meet by rare shingles.
 ROUNDS = 0
-#: Sketches that candidates must share at least; at the similarity asked for it is more, all but surely.
-AGREEING = 10
+#: Bits of a text's map: each says whether an odd number of its shingles has that hash.
+BITS = 1024
 
 #: Ratio of the longest to the shortest text of a range of lengths.
 LENGTHS = 1.03
 
-_SKETCHED = "doc_id bigint, key string, th bigint, node binary, sketch array<bigint>"
+_SKETCHED = "doc_id bigint, key string, th bigint, node binary, sketch array<bigint>, made bigint, bits array<bigint>"
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -67,16 +67,19 @@ def _sketch_rows(batch: pa.RecordBatch, texts: list[bytes], size: int) -> pa.Rec
     words, counts = sketches.word_hashes(texts)
     shingles, made = sketches.shingle_hashes(words, counts, size)
     owner = np.repeat(np.arange(len(texts)), made)
+    labelled = sketches.occurrence_labelled(shingles, owner)
     rows = [[] for _ in texts]
     if len(shingles):
-        found = sketches.order_sketches(sketches.occurrence_labelled(shingles, owner), made, COUNT)
+        found = sketches.order_sketches(labelled, made, COUNT)
         for number, row in zip(np.flatnonzero(made > 0), found.tolist()):
             rows[number] = row
     ends = np.cumsum(counts)
     nodes = [sketches.content_key(words[e - c : e]) for e, c in zip(ends, counts)]
+    bits = pa.array(sketches.parity_bits(labelled, owner, len(texts), BITS).tolist(), pa.list_(pa.int64()))
     return pa.RecordBatch.from_arrays(
-        [batch["doc_id"], batch["key"], batch["th"], pa.array(nodes, pa.binary()), pa.array(rows, pa.list_(pa.int64()))],
-        names=["doc_id", "key", "th", "node", "sketch"],
+        [batch["doc_id"], batch["key"], batch["th"], pa.array(nodes, pa.binary()), pa.array(rows, pa.list_(pa.int64())),
+         pa.array(made, pa.int64()), bits],
+        names=["doc_id", "key", "th", "node", "sketch", "made", "bits"],
     )
 
 
@@ -117,45 +120,39 @@ def _verified(size: int, least: float):
     return pairs
 
 
-def _pairs(members: DataFrame, seed: int, leaders: int, own_of_bucket: bool) -> tuple[DataFrame, DataFrame]:
-    """Members of open buckets with leaders they aren't connected with, ``a < b``, and the members that don't lead.
+def _may_be_similar(one: str, other: str, least: float) -> Column:
+    """Whether two texts can be similar, by their maps: it is never false for texts that are.
 
-    ``members`` has ``bucket, node, label``. ``leaders`` rows per member, about, however
+    Of n and m shingles similar texts share ``least / (1 + least) * (n + m)`` at least, which
+    bounds how many only one of them has. Each bit that differs takes one of those.
+    """
+    differing = F.lit(0)
+    for i in range(BITS // 64):
+        differing = differing + F.bit_count(F.get(f"{one}.bits", F.lit(i)).bitwiseXOR(F.get(f"{other}.bits", F.lit(i))))
+    return differing <= (F.col(f"{one}.made") + F.col(f"{other}.made")) * ((1 - least) / (1 + least)) + 1e-6
+
+
+def _pairs(members: DataFrame, maps: DataFrame, least: float, seed: int, leaders: int, own_of_bucket: bool) -> tuple[DataFrame, DataFrame]:
+    """Members of open buckets with leaders they aren't connected with and may be similar to, ``a < b``, and the members that don't lead.
+
+    ``members`` has ``bucket, node, label``, ``maps`` each node's ``made`` and ``bits``. ``leaders`` rows per member, about, however
     large the bucket. The first leader has the least hash of the node, the same in all
     buckets of a group, or of (bucket, node), so that buckets of the same members have
     different ones. A leader has met all of its bucket and need not stay.
     """
     mark = F.xxhash64("bucket", "node", F.lit(seed)) if own_of_bucket else F.xxhash64("node", F.lit(seed))
     marked = members.withColumn("mark", mark)
-    least = materialise(marked.groupBy("bucket").agg(F.count("*").alias("n"), F.min("mark").alias("least")))
+    first = materialise(marked.groupBy("bucket").agg(F.count("*").alias("n"), F.min("mark").alias("least")))
     leads = (F.col("mark") == F.col("least")) | (F.pmod("mark", "n") < leaders - 1)
-    shared = materialise(marked.join(least, "bucket").select("bucket", "node", "label", leads.alias("leads")))
-    chosen = shared.where("leads").select(
-        "bucket", F.col("node").alias("leader"), F.col("label").alias("leader_label")
-    )
-    one, other = shared.select("bucket", "node", "label").alias("s"), chosen.alias("c")
-    apart = (F.col("s.bucket") == F.col("c.bucket")) & (F.col("s.label") != F.col("c.leader_label"))
+    shared = materialise(marked.join(first, "bucket").select("bucket", "node", "label", leads.alias("leads")).join(maps, "node"))
+    one, other = shared.alias("s"), shared.where("leads").alias("c")
+    apart = (F.col("s.bucket") == F.col("c.bucket")) & (F.col("s.label") != F.col("c.label")) & _may_be_similar("s", "c", least)
     pairs = one.join(other, apart).select(
-        F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")
+        F.least("s.node", "c.node").alias("a"), F.greatest("s.node", "c.node").alias("b")
     ).distinct()
     return pairs, shared.where("not leads").select("bucket", "node")
 
 
-def _agreement(one: str, other: str) -> Column:
-    return F.aggregate(
-        F.zip_with(one, other, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda t, v: t + v
-    )
-
-
-def _with_agreement(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``a, b, agreeing`` of the pairs that share enough sketches."""
-    one = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
-    other = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", _agreement("sketch_a", "sketch_b").alias("agreeing")).where(
-        F.col("agreeing") >= AGREEING
-    )
-
-
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` for every node of ``a, b`` edges: the least node it is connected with.
 
@@ -208,7 +205,7 @@ class _Search:
 
     def __init__(self, rows: DataFrame, nodes: DataFrame, size: int, least: float) -> None:
         self.rows, self.nodes, self.size, self.least = rows, nodes, size, least
-        #: Texts and sketches of the nodes in buckets of several: later rounds read these, not the corpus.
+        #: Texts and maps of the nodes in buckets of several: later rounds read these, not the corpus.
         self.texts: DataFrame | None = None
         self.tested: DataFrame | None = None
         self.labels: DataFrame | None = None
@@ -223,10 +220,10 @@ class _Search:
         return self.tested.where(F.col("similarity") >= self.least)
 
     def examine(self, pairs: DataFrame) -> None:
-        """Align the texts of candidates that agree enough, and connect those that are similar enough."""
+        """Align the texts of candidates, and connect those that are similar enough."""
         if self.tested is not None:
             pairs = pairs.join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = materialise(_with_agreement(pairs, self.texts).select("a", "b"))
+        pairs = materialise(pairs)
         if pairs.isEmpty():
             if self.tested is None:
                 self.connect_none()
@@ -268,9 +265,9 @@ class _Search:
             return None
         if self.texts is None:
             open_nodes = held.select("node").distinct()
-            places = self.nodes.join(open_nodes, "node", "left_semi").select("node", "sketch", "id", "th").hint("merge")
-            self.texts = materialise(places.join(self.rows, ["id", "th"]).select("node", "sketch", "text"))
-        pairs, rest = _pairs(held, seed, leaders, own_of_bucket)
+            places = self.nodes.join(open_nodes, "node", "left_semi").select("node", "made", "bits", "id", "th").hint("merge")
+            self.texts = materialise(places.join(self.rows, ["id", "th"]).select("node", "made", "bits", "text"))
+        pairs, rest = _pairs(held, self.texts.select("node", "made", "bits"), self.least, seed, leaders, own_of_bucket)
         self.examine(pairs)
         return rest
 
@@ -337,7 +334,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_colum
     sketched = materialise(rows.mapInArrow(_sketched(size), _SKETCHED))
     lowest = F.lit(-(2**63)).cast("bigint")
     nodes = sketched.groupBy("node").agg(
-        F.min(F.struct(F.coalesce("doc_id", lowest).alias("id"), "th", "sketch")).alias("head")
+        F.min(F.struct(F.coalesce("doc_id", lowest).alias("id"), "th", "sketch", "made", "bits")).alias("head")
     ).select("node", "head.*")
     nodes = materialise(nodes)
     own = rows.select(F.coalesce("doc_id", lowest).alias("id"), "th", "text")

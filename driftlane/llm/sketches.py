@@ -76,6 +76,23 @@ def order_sketches(labelled: np.ndarray, made: np.ndarray, count: int) -> np.nda
     return result
 
 
+def parity_bits(labelled: np.ndarray, owner: np.ndarray, n_texts: int, bits: int) -> np.ndarray:
+    """A map per text: for each of ``bits`` hash values whether an odd number of its shingles has it; 64 in a number.
+
+    Two maps differ in no more bits than there are shingles that only one of the texts has.
+    """
+    result = np.zeros((n_texts, bits // 64), np.int64)
+    step = max(1, (1 << 22) // bits)  # texts at a time, for memory
+    edges = np.searchsorted(owner, np.arange(0, n_texts + step, step))
+    for number, (low, high) in enumerate(zip(edges[:-1], edges[1:])):
+        begin = number * step
+        place = (owner[low:high] - begin) * bits + (labelled[low:high] & np.uint64(bits - 1)).astype(np.int64)
+        here = min(step, n_texts - begin)
+        odd = (np.bincount(place, minlength=here * bits) & 1).astype(np.uint8)
+        result[begin : begin + here] = np.packbits(odd).view(">i8").reshape(here, bits // 64)
+    return result
+
+
 def content_key(words: np.ndarray) -> bytes:
     """128 bits for a sequence of words."""
     return hashlib.blake2b(words.tobytes(), digest_size=16).digest()

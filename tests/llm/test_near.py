@@ -114,3 +114,22 @@ def test_components(spark):
     frame = spark.createDataFrame([(a, b) if draw.random() < 0.5 else (b, a) for a, b in edges], "a bigint, b bigint")
     got = dict(tuple(r) for r in order_minhash.components(frame).collect())
     assert got == {**{n: n // 20 * 20 for n in range(60)}, **{n: 100 for n in range(100, 140)}}
+
+
+def test_maps_never_rule_out_similar_texts(spark):
+    """Bits that differ are at most the shingles that only one text has, repeats counted."""
+    draw = random.Random(31)
+    for _ in range(60):
+        a = [draw.randrange(40) for _ in range(draw.randint(1, 400))]
+        b = list(a)
+        for _ in range(draw.randint(0, 12)):
+            b[(at := draw.randrange(len(b) + 1)) : at + draw.randint(0, 2)] = [draw.randrange(40)] * draw.randint(0, 2)
+        made = [len(a), len(b)]
+        owner = np.repeat([0, 1], made)
+        labelled = sketches.occurrence_labelled(np.array(a + b, dtype=np.uint64), owner)
+        maps = sketches.parity_bits(labelled, owner, 2, order_minhash.BITS)
+        differing = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(*maps.tolist()))
+        one, other = set(labelled[: made[0]].tolist()), set(labelled[made[0] :].tolist())
+        assert differing <= len(one ^ other) and (len(one ^ other) > 300 or differing >= 0.5 * len(one ^ other) - 8)
+    none = sketches.parity_bits(np.zeros(0, np.uint64), np.zeros(0, np.int64), 3, order_minhash.BITS)
+    assert none.shape == (3, 16) and not none.any()
