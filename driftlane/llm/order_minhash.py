@@ -142,9 +142,10 @@ def _pairs(members: DataFrame, maps: DataFrame, least: float, seed: int, leaders
     """
     mark = F.xxhash64("bucket", "node", F.lit(seed)) if own_of_bucket else F.xxhash64("node", F.lit(seed))
     marked = members.withColumn("mark", mark)
-    first = materialise(marked.groupBy("bucket").agg(F.count("*").alias("n"), F.min("mark").alias("least")))
+    n = members.count()
+    first = _few(marked.groupBy("bucket").agg(F.count("*").alias("n"), F.min("mark").alias("least")), n)
     leads = (F.col("mark") == F.col("least")) | (F.pmod("mark", "n") < leaders - 1)
-    shared = materialise(marked.join(first, "bucket").select("bucket", "node", "label", leads.alias("leads")).join(maps, "node"))
+    shared = _few(marked.join(first, "bucket").select("bucket", "node", "label", leads.alias("leads")).join(maps, "node"), n, 5_000)
     one, other = shared.alias("s"), shared.where("leads").alias("c")
     apart = (F.col("s.bucket") == F.col("c.bucket")) & (F.col("s.label") != F.col("c.label")) & _may_be_similar("s", "c", least)
     pairs = one.join(other, apart).select(
@@ -153,6 +154,11 @@ def _pairs(members: DataFrame, maps: DataFrame, least: float, seed: int, leaders
     return pairs, shared.where("not leads").select("bucket", "node")
 
 
+def _few(df: DataFrame, rows: int, per_file: int = 50_000) -> DataFrame:
+    """Stored in as many files as ``rows``, the most that it can have, ask for: late rounds are small and shouldn't fill folders."""
+    return materialise(df.coalesce(1 + rows // per_file))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` for every node of ``a, b`` edges: the least node it is connected with.
 
@@ -160,7 +166,8 @@ def components(edges: DataFrame) -> DataFrame:
     neighbour, until nothing changes. The number of rounds grows with the logarithm of
     the longest path. Edges stay distributed and are counted by sums.
     """
-    current = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    n = edges.count()
+    current = _few(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), n)
     seen = None
     while True:
         mark = current.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
@@ -170,10 +177,10 @@ def components(edges: DataFrame) -> DataFrame:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
-        large = materialise(large)
+        large = _few(large, 2 * n)
         least = large.groupBy("a").agg(F.min("b").alias("least"))
         hung = large.join(least, "a").where("b != least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        current = materialise(hung.unionByName(least.withColumnRenamed("least", "b")).distinct())
+        current = _few(hung.unionByName(least.withColumnRenamed("least", "b")).distinct(), 2 * n)
     roots = current.select(F.col("b").alias("node")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots.withColumn("label", F.col("node")))
 
@@ -197,7 +204,8 @@ def _merged(members: DataFrame, seed: int) -> DataFrame:
     least = members.groupBy("bucket").agg(
         *[F.min(F.xxhash64("node", F.lit(seed), F.lit(i))).alias(f"m{i}") for i in range(3)]
     ).select("bucket", F.xxhash64("m0", "m1", "m2").alias("merged"))
-    return members.join(materialise(least), "bucket").select(F.col("merged").alias("bucket"), "node", "label").distinct()
+    n = members.count()
+    return _few(members.join(_few(least, n), "bucket").select(F.col("merged").alias("bucket"), "node", "label").distinct(), n)
 
 
 class _Search:
@@ -233,23 +241,24 @@ class _Search:
         placed = pairs.join(texts.withColumnRenamed("node", "a"), "a").join(
             texts.select(F.col("node").alias("b"), F.col("text").alias("other_text")).hint("merge"), "b"
         )
-        scored = materialise(placed.select("a", "b", "text", "other_text").mapInArrow(
+        scored = placed.select("a", "b", "text", "other_text").mapInArrow(
             _verified(self.size, self.least), "a binary, b binary, similarity double"
-        ).dropDuplicates(["a", "b"]))
+        )
+        scored = _few(scored.dropDuplicates(["a", "b"]), pairs.count())
         found = scored.where(F.col("similarity") >= self.least).select("a", "b")
         if self.labels is None:
-            self.tested, self.labels = scored, materialise(components(found))
+            self.tested, self.labels = scored, _few(components(found), 2 * scored.count())
             return
         # Later links connect whole classes: only their labels take part.
         ends = found.withColumn("pair", F.struct("a", "b")).select("pair", F.explode(F.array("a", "b")).alias("node"))
         joined = self.labelled(ends).groupBy("pair").agg(F.min("label").alias("a"), F.max("label").alias("b"))
-        merged = materialise(components(joined.select("a", "b")))
+        merged = _few(components(joined.select("a", "b")), 2 * scored.count())
         nodes = self.labels.unionByName(found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(
             self.labels, "node", "left_anti").withColumn("label", F.col("node")))
         renamed = merged.select(F.col("node").alias("label"), F.col("label").alias("new_label"))
-        self.labels = materialise(nodes.join(renamed, "label", "left").select(
+        self.labels = _few(nodes.join(renamed, "label", "left").select(
             "node", F.coalesce("new_label", "label").alias("label")
-        ))
+        ), self.labels.count() + 2 * scored.count())
         self.tested = self.tested.unionByName(scored)
 
     def connect_none(self) -> None:
@@ -260,7 +269,7 @@ class _Search:
 
     def meet(self, members: DataFrame, seed: int, leaders: int = 1, own_of_bucket: bool = True) -> DataFrame | None:
         """One round of leaders in buckets that are still open; the members left, or None if there is no such bucket."""
-        held = materialise(_merged(materialise(_open(self.labelled(members))), seed))
+        held = _merged(materialise(_open(self.labelled(members))), seed)
         if held.isEmpty():
             return None
         if self.texts is None:
