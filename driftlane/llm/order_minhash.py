@@ -244,7 +244,8 @@ class _Search:
         scored = placed.select("a", "b", "text", "other_text").mapInArrow(
             _verified(self.size, self.least), "a binary, b binary, similarity double"
         )
-        scored = _few(scored.dropDuplicates(["a", "b"]), pairs.count())
+        # Aligning is the work of the tasks that write: few pairs each.
+        scored = _few(scored.dropDuplicates(["a", "b"]), pairs.count(), 500)
         found = scored.where(F.col("similarity") >= self.least).select("a", "b")
         if self.labels is None:
             self.tested, self.labels = scored, _few(components(found), 2 * scored.count())
