@@ -37,6 +37,8 @@ BITS = 1024
 
 #: Ratio of the longest to the shortest text of a range of lengths.
 LENGTHS = 1.03
+#: Rows of hashes and labels that one task groups and joins without a shuffle; tables of more rows are dealt out.
+FEW = 100_000
 
 _SKETCHED = "doc_id bigint, key string, th bigint, node binary, sketch array<bigint>, made bigint, bits array<bigint>"
 
@@ -141,9 +143,9 @@ def _pairs(members: DataFrame, maps: DataFrame, least: float, seed: int, leaders
     different ones. A leader has met all of its bucket and need not stay.
     """
     mark = F.xxhash64("bucket", "node", F.lit(seed)) if own_of_bucket else F.xxhash64("node", F.lit(seed))
-    marked = members.withColumn("mark", mark)
     n = members.count()
-    first = _few(marked.groupBy("bucket").agg(F.count("*").alias("n"), F.min("mark").alias("least")), n)
+    marked = _together(members, n).withColumn("mark", mark)
+    first = _together(_few(marked.groupBy("bucket").agg(F.count("*").alias("n"), F.min("mark").alias("least")), n), n)
     leads = (F.col("mark") == F.col("least")) | (F.pmod("mark", "n") < leaders - 1)
     shared = _few(marked.join(first, "bucket").select("bucket", "node", "label", leads.alias("leads")).join(maps, "node"), n, 5_000)
     one, other = shared.alias("s"), shared.where("leads").alias("c")
@@ -159,6 +161,11 @@ def _few(df: DataFrame, rows: int, per_file: int = 50_000) -> DataFrame:
     return materialise(df.coalesce(1 + rows // per_file))
 
 
+def _together(stored: DataFrame, rows: int) -> DataFrame:
+    """As one partition if there are ``FEW`` rows at most: late rounds are small and shouldn't be shuffled."""
+    return stored.coalesce(1) if rows <= FEW else stored
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` for every node of ``a, b`` edges: the least node it is connected with.
 
@@ -167,32 +174,34 @@ def components(edges: DataFrame) -> DataFrame:
     the longest path. Edges stay distributed and are counted by sums.
     """
     n = edges.count()
-    current = _few(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), n)
+    turned = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    current = _few(_together(turned, n).distinct(), n)
     seen = None
     while True:
+        current = _together(current, n)
         mark = current.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if mark == seen or not mark["n"]:
             break
         seen = mark
-        both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = _together(current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b"))), n)
         least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
-        large = _few(large, 2 * n)
+        large = _together(_few(large, 2 * n), n)
         least = large.groupBy("a").agg(F.min("b").alias("least"))
         hung = large.join(least, "a").where("b != least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        current = _few(hung.unionByName(least.withColumnRenamed("least", "b")).distinct(), 2 * n)
+        current = _few(_together(hung.unionByName(least.withColumnRenamed("least", "b")), n).distinct(), 2 * n)
     roots = current.select(F.col("b").alias("node")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots.withColumn("label", F.col("node")))
 
 
-def _open(members: DataFrame) -> DataFrame:
-    """The members of buckets that hold several classes; of buckets with the same members, those of one."""
+def _open(members: DataFrame, n: int) -> DataFrame:
+    """The members, ``n`` rows, of buckets that hold several classes; of buckets with the same members, those of one."""
     several = members.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min("label").alias("one"), F.max("label").alias("other"),
         F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
     ).where(F.col("one") != F.col("other"))
     different = several.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"))
-    return members.join(materialise(different.select("bucket")), "bucket", "left_semi")
+    return members.join(_together(_few(different.select("bucket"), n), n), "bucket", "left_semi")
 
 
 def _merged(members: DataFrame, seed: int) -> DataFrame:
@@ -201,11 +210,12 @@ def _merged(members: DataFrame, seed: int) -> DataFrame:
     Buckets are put together if three members of least hash are the same, which has the
     chance of their overlap to the third. What is put together only adds candidates.
     """
+    n = members.count()
+    members = _together(members, n)
     least = members.groupBy("bucket").agg(
         *[F.min(F.xxhash64("node", F.lit(seed), F.lit(i))).alias(f"m{i}") for i in range(3)]
     ).select("bucket", F.xxhash64("m0", "m1", "m2").alias("merged"))
-    n = members.count()
-    return _few(members.join(_few(least, n), "bucket").select(F.col("merged").alias("bucket"), "node", "label").distinct(), n)
+    return _few(members.join(_together(_few(least, n), n), "bucket").select(F.col("merged").alias("bucket"), "node", "label").distinct(), n)
 
 
 class _Search:
@@ -218,20 +228,27 @@ class _Search:
         self.tested: DataFrame | None = None
         self.labels: DataFrame | None = None
 
-    def labelled(self, members: DataFrame) -> DataFrame:
-        """With the label of each node's class so far; at first a node is its own."""
+    def labelled(self, members: DataFrame, n: int) -> DataFrame:
+        """The members, ``n`` rows, with the label of each node's class so far; at first a node is its own."""
+        members = _together(members, n)
         if self.labels is None:
             return members.withColumn("label", F.col("node"))
-        return members.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        labels = _together(self.labels, max(n, self.labels.count()))
+        return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    def opened(self, members: DataFrame) -> DataFrame:
+        """The members of buckets that are still open, with their labels."""
+        n = members.count()
+        return _few(_open(self.labelled(members, n), n), n)
 
     def links(self) -> DataFrame:
         return self.tested.where(F.col("similarity") >= self.least)
 
-    def examine(self, pairs: DataFrame) -> None:
-        """Align the texts of candidates, and connect those that are similar enough."""
+    def examine(self, pairs: DataFrame, most: int) -> None:
+        """Align the texts of candidates, about ``most`` rows at most, and connect those that are similar enough."""
         if self.tested is not None:
             pairs = pairs.join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
+        pairs = _few(pairs, most)
         if pairs.isEmpty():
             if self.tested is None:
                 self.connect_none()
@@ -246,20 +263,22 @@ class _Search:
         )
         # Aligning is the work of the tasks that write: few pairs each.
         scored = _few(scored.dropDuplicates(["a", "b"]), pairs.count(), 500)
-        found = scored.where(F.col("similarity") >= self.least).select("a", "b")
+        n = scored.count()
+        found = _together(scored.where(F.col("similarity") >= self.least).select("a", "b"), n)
         if self.labels is None:
-            self.tested, self.labels = scored, _few(components(found), 2 * scored.count())
+            self.tested, self.labels = scored, _few(components(found), 2 * n)
             return
         # Later links connect whole classes: only their labels take part.
         ends = found.withColumn("pair", F.struct("a", "b")).select("pair", F.explode(F.array("a", "b")).alias("node"))
-        joined = self.labelled(ends).groupBy("pair").agg(F.min("label").alias("a"), F.max("label").alias("b"))
-        merged = _few(components(joined.select("a", "b")), 2 * scored.count())
-        nodes = self.labels.unionByName(found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(
-            self.labels, "node", "left_anti").withColumn("label", F.col("node")))
+        joined = self.labelled(ends, 2 * n).groupBy("pair").agg(F.min("label").alias("a"), F.max("label").alias("b"))
+        n_nodes = self.labels.count() + 2 * n
+        labels, merged = (_together(x, n_nodes) for x in (self.labels, _few(components(joined.select("a", "b")), 2 * n)))
+        nodes = _together(labels.unionByName(found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(
+            labels, "node", "left_anti").withColumn("label", F.col("node"))), n_nodes)
         renamed = merged.select(F.col("node").alias("label"), F.col("label").alias("new_label"))
         self.labels = _few(nodes.join(renamed, "label", "left").select(
             "node", F.coalesce("new_label", "label").alias("label")
-        ), self.labels.count() + 2 * scored.count())
+        ), n_nodes)
         self.tested = self.tested.unionByName(scored)
 
     def connect_none(self) -> None:
@@ -270,7 +289,7 @@ class _Search:
 
     def meet(self, members: DataFrame, seed: int, leaders: int = 1, own_of_bucket: bool = True) -> DataFrame | None:
         """One round of leaders in buckets that are still open; the members left, or None if there is no such bucket."""
-        held = _merged(materialise(_open(self.labelled(members))), seed)
+        held = _merged(self.opened(members), seed)
         if held.isEmpty():
             return None
         if self.texts is None:
@@ -278,7 +297,7 @@ class _Search:
             places = self.nodes.join(open_nodes, "node", "left_semi").select("node", "made", "bits", "id", "th").hint("merge")
             self.texts = materialise(places.join(self.rows, ["id", "th"]).select("node", "made", "bits", "text"))
         pairs, rest = _pairs(held, self.texts.select("node", "made", "bits"), self.least, seed, leaders, own_of_bucket)
-        self.examine(pairs)
+        self.examine(pairs, leaders * held.count())
         return rest
 
     def rare_members(self, open_nodes: DataFrame) -> DataFrame:
@@ -361,7 +380,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_colum
         left = None if left is None else search.meet(left, seed)
     if left is not None:
         # Texts of buckets that are still open meet by rare shingles, with four times the leaders each round, until none is.
-        left = search.rare_members(_open(search.labelled(left)).select("node").distinct())
+        left = search.rare_members(search.opened(left).select("node").distinct())
         leaders, seed = 1, ROUNDS + 1
         while left is not None:
             left = search.meet(left, seed, leaders)

@@ -133,3 +133,43 @@ def test_maps_never_rule_out_similar_texts(spark):
         assert differing <= len(one ^ other) and (len(one ^ other) > 300 or differing >= 0.5 * len(one ^ other) - 8)
     none = sketches.parity_bits(np.zeros(0, np.uint64), np.zeros(0, np.int64), 3, order_minhash.BITS)
     assert none.shape == (3, 16) and not none.any()
+
+
+def test_few_rows_are_not_shuffled(spark, monkeypatch):
+    """Stages of 61 tasks would be those behind a shuffle; the result is that of the dealt out form."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 91), (92, 91)], "a bigint, b bigint").coalesce(2)
+    held = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    context = spark.sparkContext
+
+    def run(group):
+        context.setJobGroup(group, group)
+        try:
+            rows = sorted(tuple(r) for r in order_minhash.components(edges).collect())
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+        tracker = context.statusTracker()
+        stages = [tracker.getStageInfo(i) for j in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(j).stageIds]
+        return rows, max(s.numTasks for s in stages if s)
+
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        together, few = run("together")
+        monkeypatch.setattr(order_minhash, "FEW", -1)
+        dealt_out, many = run("dealt out")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert together == dealt_out == [(i, 0) for i in range(41)] + [(90, 90), (91, 90), (92, 90)]
+    assert few <= 4 and many >= 61
+
+
+def test_few_rows_find_the_same_classes(spark, monkeypatch):
+    draw = random.Random(5)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(120)]
+    texts = [" ".join(edited(draw, base, draw.randint(1, 30))) for _ in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = classes(docs)
+    monkeypatch.setattr(order_minhash, "FEW", -1)
+    assert found == classes(docs)
