@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ ROUNDS = 0
 #: Bits of a text's map: each says whether an odd number of its shingles has that hash.
 BITS = 1024
 
+#: Bytes of text that a task makes shingles of at once; a text beyond it is taken alone.
+PART = CHUNK // 4
 #: Ratio of the longest to the shortest text of a range of lengths.
 LENGTHS = 1.03
 #: Rows of hashes and labels that one task groups and joins without a shuffle; tables of more rows are dealt out.
@@ -44,18 +47,25 @@ _SKETCHED = "doc_id bigint, key string, th bigint, node binary, sketch array<big
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Parts of a batch of about ``CHUNK`` bytes of text, with their texts."""
-    texts = batch["text"].to_pylist()
+    """Parts of a batch of about ``PART`` bytes of text, with their texts."""
+    lengths = pc.binary_length(batch["text"]).to_pylist()
     begin = 0
-    while begin < len(texts):
+    while begin < len(lengths):
         end, total = begin, 0
-        while end < len(texts) and (end == begin or total + len(texts[end]) < CHUNK):
-            total += len(texts[end]) + 1
+        while end < len(lengths) and (end == begin or total + lengths[end] < PART):
+            total += lengths[end] + 1
             end += 1
-        yield batch.slice(begin, end - begin), texts[begin:end]
+        part = batch.slice(begin, end - begin)
+        yield part, part["text"].to_pylist()
         begin = end
 
 
+def _lists(rows: np.ndarray, of: np.ndarray) -> pa.Array:
+    """A list for each of ``of``: the next of ``rows`` where it is true, else an empty one."""
+    ends = np.cumsum(np.where(of, rows.shape[1], 0))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(rows.ravel(), pa.int64()))
+
+
 def _sketched(size: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,16 +80,12 @@ def _sketch_rows(batch: pa.RecordBatch, texts: list[bytes], size: int) -> pa.Rec
     shingles, made = sketches.shingle_hashes(words, counts, size)
     owner = np.repeat(np.arange(len(texts)), made)
     labelled = sketches.occurrence_labelled(shingles, owner)
-    rows = [[] for _ in texts]
-    if len(shingles):
-        found = sketches.order_sketches(labelled, made, COUNT)
-        for number, row in zip(np.flatnonzero(made > 0), found.tolist()):
-            rows[number] = row
+    found = sketches.order_sketches(labelled, made, COUNT) if len(shingles) else np.zeros((0, COUNT), np.int64)
     ends = np.cumsum(counts)
     nodes = [sketches.content_key(words[e - c : e]) for e, c in zip(ends, counts)]
-    bits = pa.array(sketches.parity_bits(labelled, owner, len(texts), BITS).tolist(), pa.list_(pa.int64()))
+    bits = _lists(sketches.parity_bits(labelled, owner, len(texts), BITS), np.ones(len(texts), bool))
     return pa.RecordBatch.from_arrays(
-        [batch["doc_id"], batch["key"], batch["th"], pa.array(nodes, pa.binary()), pa.array(rows, pa.list_(pa.int64())),
+        [batch["doc_id"], batch["key"], batch["th"], pa.array(nodes, pa.binary()), _lists(found, made > 0),
          pa.array(made, pa.int64()), bits],
         names=["doc_id", "key", "th", "node", "sketch", "made", "bits"],
     )
@@ -111,8 +117,8 @@ def _verified(size: int, least: float):
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = []
-            for one, other in zip(batch["text"].to_pylist(), batch["other_text"].to_pylist()):
-                words, counts = sketches.word_hashes([one, other])
+            for one, other in zip(batch["text"], batch["other_text"]):
+                words, counts = sketches.word_hashes([one.as_py(), other.as_py()])
                 shingles, made = sketches.shingle_hashes(words, counts, size)
                 scores.append(sketches.shared_in_order(shingles[: made[0]], shingles[made[0] :], least))
             yield pa.RecordBatch.from_arrays(

@@ -29,8 +29,12 @@ PREFIXES = (4, 5, 6)
 MANY = 60
 _WORDS = re.compile(WORD)
 _LOWERED = str.maketrans(UPPER, LOWER)
-#: Words, and beginnings of words, whose terms a worker remembers.
-REMEMBERED = 200_000
+#: Beginnings of words whose terms a worker remembers, and words; twice as many of these at most.
+REMEMBERED = 50_000
+#: Texts whose terms a worker lists at once.
+LISTED = 500
+#: What is known of a word that the model doesn't use.
+_NOTHING: tuple[None, tuple] = (None, ())
 
 
 @dataclass(frozen=True)
@@ -99,8 +103,10 @@ def text_words(text: str | None) -> set[str]:
 
 def _term_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        terms = [sorted(text_terms(text_words(text))) for text in frame["text"]]
-        yield pd.DataFrame({"toxic": frame["toxic"], "terms": terms})
+        for begin in range(0, len(frame), LISTED):
+            part = frame.iloc[begin : begin + LISTED]
+            terms = [np.array(sorted(text_terms(text_words(text))), np.int32) for text in part["text"]]
+            yield pd.DataFrame({"toxic": part["toxic"].to_numpy(), "terms": terms})
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limits: Limits) -> DataFrame:
@@ -196,14 +202,16 @@ def _descend(
 def score_texts(machine: Machine) -> Column:
     """A column expression: the score of ``text``, read as a whole. Equal texts score the same, empty ones the bias."""
 
-    def known_terms(word: str) -> tuple[int | None, list[tuple[int, ...]]]:
+    def known_terms(word: str) -> tuple[int | None, tuple[tuple[int, ...], ...]]:
         """The word's row, and those of its families of which a term has a row."""
         own, families = word_terms(word)
         rows = machine.position
-        return rows.get(own), [f for f in families if any(t in rows for t in f)]
+        found = rows.get(own), tuple(f for f in families if any(t in rows for t in f))
+        return _NOTHING if found == _NOTHING else found
 
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, tuple[int | None, list[tuple[int, ...]]]] = {}
+        known: dict[str, tuple[int | None, tuple[tuple[int, ...], ...]]] = {}
+        before: dict[str, tuple[int | None, tuple[tuple[int, ...], ...]]] = {}
         rows = machine.position
         for batch in batches:
             found = []
@@ -214,9 +222,10 @@ def score_texts(machine: Machine) -> Column:
                 for word in words:
                     own = known.get(word)
                     if own is None:
+                        # Words that weren't met again since the last change go; frequent ones stay.
                         if len(known) >= REMEMBERED:
-                            known.clear()
-                        own = known[word] = known_terms(word)
+                            before, known = known, {}
+                        own = known[word] = before.get(word) or known_terms(word)
                     if own[0] is not None:
                         terms.add(own[0])
                     for family in own[1]:
